@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lang_id, ngram_join, secrets
+from . import lang_id, ngram_join, packing, secrets
 
 QUERIES = {
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_language_id": lang_id.op10_language_id,
