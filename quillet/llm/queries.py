@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lang_id, ngram_join, packing, secrets
+from . import lang_id, ngram_join, packing, secrets, token_store
 
 QUERIES = {
+    "op1_token_store": token_store.op1_token_store,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op9_ngram_join": ngram_join.op9_ngram_join,
