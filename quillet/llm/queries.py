@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lang_id, ngram_join, packing, secrets, token_store
+from . import lang_id, mixing, ngram_join, packing, secrets, token_store
 
 QUERIES = {
+    "op2_source_mixing": mixing.op2_source_mixing,
     "op1_token_store": token_store.op1_token_store,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op4_secret_scan": secrets.op4_secret_scan,
