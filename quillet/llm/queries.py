@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import lang_id, mixing, ngram_join, packing, secrets, token_store
+from . import lang_id, mixing, ngram_join, packing, secrets, token_store, url_filter
 
 QUERIES = {
-    "op2_source_mixing": mixing.op2_source_mixing,
     "op1_token_store": token_store.op1_token_store,
-    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op2_source_mixing": mixing.op2_source_mixing,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_language_id": lang_id.op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_filter": url_filter.SQL}
