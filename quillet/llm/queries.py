@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lang_id, mixing, ngram_join, packing, secrets, token_store, url_filter
+from . import lang_id, mixing, ngram_join, packing, secrets, spotsigs, token_store, url_filter
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_language_id": lang_id.op10_language_id,
 }
