@@ -61,7 +61,10 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a journal (seq, time, stream, event, request_id, tokens)."""
-    e = table(spark, sf_dir, "events")
+    return as_journal(table(spark, sf_dir, "events"))
+
+
+def as_journal(e: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for pair in (("click", "start"), ("view", "received"), ("purchase", "reply"), ("signup", "invalid"), ("error", "error")) for x in pair])
     return e.select(F.col("event_id").alias("seq"), F.col("ts").alias("time"), (F.col("user_id") % 20).alias("stream"), F.try_element_at(kind, "event_type").alias("event"), (F.col("event_id") % 3000).cast("string").alias("request_id"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
 

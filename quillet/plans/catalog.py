@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.python_code import python_documents
 from ..operators import accept, graph, journal, locate, metrics, retrieval, rules, votes
+from ..sources import readers
+from ..sources.staging import new_path
+from ..streaming import journal as streaming_journal
 from . import bindings as B
+from . import fixtures
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -292,3 +297,38 @@ def repair_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per customer the first finished order, by order key, and how many come before it."""
     o = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entry_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("commit"), (F.col("o_orderstatus") == "F").alias("accepted"))
     return accept.repair_choice(o).withColumnRenamed("entry_id", "o_custkey")
+
+
+@query
+def py_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code documents of the small corpus (its parse errors are rows)."""
+    return python_documents(fixtures.files(spark))
+
+
+@query
+def py_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call edges between the corpus's functions."""
+    docs = python_documents(fixtures.files(spark)).filter("error is null and symbol <> '<module>'")
+    each = lambda c: docs.select("path", F.explode(c).alias("symbol"))
+    return graph.build_edges(each("calls"), each("defines"))
+
+
+@query
+def py_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan rules on the corpus's lines: one hit for each source line and rule, from the smallest document."""
+    docs = python_documents(fixtures.files(spark)).filter("error is null").select("path", "file", "symbol", "start_line", "end_line", "text")
+    found = rules.hits(docs, rules.SCAN_RULES)
+    found = found.select("file", (F.col("start_line") + F.col("line") - 1).alias("source_line"), "rule", "path", (F.col("end_line") - F.col("start_line") + 1).alias("n_lines"), (F.col("symbol") == "<module>").alias("is_module"))
+    return rules.smallest_span(found)
+
+
+@query
+def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts, replies and tokens of each stream and day, from the events read as a stream to its end."""
+    path = new_path(spark, "usage")
+    schema = B.table(spark, sf_dir, "events").schema
+    raw = readers.stream_parquet(spark, f"{sf_dir}/events.parquet", schema)
+    counters = streaming_journal.trial_counters(B.as_journal(raw))
+    run = counters.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    run.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows")).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows").withColumn("begin", F.date_format("begin", "yyyy-MM-dd"))

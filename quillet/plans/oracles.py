@@ -135,4 +135,5 @@ SELECT stream, count(*) FILTER (event = 'start') AS requests, coalesce(sum(token
     "token_counts": rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{1,}}')) AS INT) AS identifiers, CAST(len(regexp_extract_all(text, '{WORDS}')) AS INT) AS context_tokens, CAST(octet_length(encode(text)) AS INT) AS byte_bound FROM documents",
     "retained_callees": """WITH req AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem), kept AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem WHERE l_quantity >= 10) SELECT k AS l_orderkey, bool_and((k, i) IN (SELECT k, i FROM kept)) AS complete FROM req GROUP BY k""",
     "repair_choice": """SELECT o_custkey, max(CASE WHEN p = c THEN o_orderpriority END) AS commit, count(*) FILTER (c IS NULL OR p < c) AS rejected FROM (SELECT *, o_orderkey AS p, min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) OVER (PARTITION BY o_custkey) AS c FROM orders) GROUP BY o_custkey""",
+    "usage_stream": f"WITH {JOUR} SELECT stream, strftime(time, '%Y-%m-%d') AS begin, count(*) FILTER (event = 'start') AS starts, count(*) FILTER (event = 'reply') AS replies, sum(tokens)::BIGINT AS tokens FROM j GROUP BY ALL",
 }
