@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lang_id, mixing, ngram_join, packing, secrets, spotsigs, substring_dedup, token_store, url_filter
+from . import image_copies, lang_id, mixing, ngram_join, packing, secrets, spotsigs, substring_dedup, token_store, url_filter
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_image_copies": image_copies.op3_image_copies,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
