@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.python_code import python_documents
-from ..operators import accept, graph, journal, locate, metrics, retrieval, rules, votes
+from ..functions import lexical
+from ..operators import accept, context, experts, graph, journal, locate, metrics, retrieval, rules, votes
 from ..sources import readers
 from ..sources.staging import new_path
 from ..streaming import journal as streaming_journal
@@ -332,3 +333,32 @@ def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = counters.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     run.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows")).start().awaitTermination()
     return spark.read.parquet(f"{path}/rows").withColumn("begin", F.date_format("begin", "yyyy-MM-dd"))
+
+
+@query
+def augmentation_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a budget of 1,488 tokens is dealt over the evidence of each benchmark item."""
+    return context.shares(bm25_topk(spark, sf_dir).select("query_id", "path", "rank"), 1488)
+
+
+@query
+def fallback_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files of an unknown language: their calls and definitions by patterns, counted."""
+    files = B.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"), F.lit("unknown").alias("language"))
+    return lexical.fallback_documents(files).select("file", F.size("calls").alias("calls"), F.array_join("calls", ",").alias("names"))
+
+
+@query
+def synthetic_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small corpus's functions as candidates: local and graph context, the scan and authorization experts, one vote and a quorum."""
+    docs = python_documents(fixtures.files(spark)).filter("error is null and symbol <> '<module>'").select("path", "symbol", "text", "calls", "defines")
+    each = lambda c: docs.select("path", F.explode(c).alias("symbol"))
+    candidates = docs.select(F.col("path").alias("query_id"), "path", F.col("symbol").alias("query"))
+    out = None
+    for system, mode in (("V1", "local"), ("V3", "graph"), ("V4", "graph")):
+        found = context.retrieve(docs, graph.build_edges(each("calls"), each("defines")), candidates, mode).withColumnRenamed("query_id", "case_id")
+        ballots = experts.scan_votes(found).withColumn("vote_order", F.lit(0)).union(experts.authorization_votes(found).withColumn("vote_order", F.lit(1)))
+        verdict = votes.majority(ballots) if system == "V4" else votes.single(ballots)
+        verdict = verdict.select(F.lit(system).alias("system"), "case_id", "label", F.round("confidence", 6).alias("confidence"))
+        out = verdict if out is None else out.union(verdict)
+    return out

@@ -136,4 +136,7 @@ SELECT stream, count(*) FILTER (event = 'start') AS requests, coalesce(sum(token
     "retained_callees": """WITH req AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem), kept AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem WHERE l_quantity >= 10) SELECT k AS l_orderkey, bool_and((k, i) IN (SELECT k, i FROM kept)) AS complete FROM req GROUP BY k""",
     "repair_choice": """SELECT o_custkey, max(CASE WHEN p = c THEN o_orderpriority END) AS commit, count(*) FILTER (c IS NULL OR p < c) AS rejected FROM (SELECT *, o_orderkey AS p, min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) OVER (PARTITION BY o_custkey) AS c FROM orders) GROUP BY o_custkey""",
     "usage_stream": f"WITH {JOUR} SELECT stream, strftime(time, '%Y-%m-%d') AS begin, count(*) FILTER (event = 'start') AS starts, count(*) FILTER (event = 'reply') AS replies, sum(tokens)::BIGINT AS tokens FROM j GROUP BY ALL",
+    "augmentation_shares": _BM25 + """, c AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS i FROM bm), f AS (SELECT *, least(1488 - (n - 1), greatest(1488 // n, 512)) AS first FROM c)
+SELECT query_id, path, rank, CAST(CASE WHEN n = 1 THEN 1488 WHEN i = 0 THEN first ELSE (1488 - first) // (n - 1) + CASE WHEN i - 1 < (1488 - first) % (n - 1) THEN 1 ELSE 0 END END AS BIGINT) AS share FROM f""",
+    "fallback_parse": r"""SELECT CAST(page_id AS VARCHAR) AS file, CAST(len(c) AS INT) AS calls, array_to_string(c, ',') AS names FROM (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '\b([A-Za-z_]\w*)\s*\(', 1))) AS c FROM pages)""",
 }
