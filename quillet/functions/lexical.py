@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import LINE_END
+
 # Patterns for definitions, calls, guards and routes.
 NAMED = r"(?m)^\s*(?:class|def|function|func)\s+([A-Za-z_]\w*)"
 KEYED = r"(?m)^\s*([A-Za-z_][\w.-]*)\s*:"
@@ -38,7 +40,7 @@ def routes(text: Column, language: Column) -> Column:
 def fallback_documents(files: DataFrame) -> DataFrame:
     """One document for each file (path, text, language): path::file@1-last, defines, calls, routes and guards sorted and distinct."""
     text = F.coalesce("text", F.lit(""))
-    broken = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1)
+    broken = F.split(text, LINE_END, -1)
     count = F.size(broken) - F.when(F.element_at(broken, -1) == "", 1).otherwise(0)
     calls = _sorted_set(_all(text, CALL))
     guards = F.filter(calls, lambda c: c.rlike(GUARD))

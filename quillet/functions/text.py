@@ -9,6 +9,8 @@ IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]{1,}"
 #: A word (any script) or a single mark; (?U) makes \w and \s follow Unicode.
 CONTEXT_TOKEN = r"(?U)\w+|[^\w\s]"
 Z95 = 1.959963984540054
+#: Ends of lines as Python's splitlines has them.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def tokenize(text: Column) -> Column:

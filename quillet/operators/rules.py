@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import LINE_END
+
 # Patterns by category, as Java regular expressions.
 SCAN_RULES = {
     "command-execution": r"(?i)subprocess\.|os\.(?:system|popen)|Runtime\.getRuntime\(\)\.exec|shell\s*=\s*True",
@@ -39,8 +41,6 @@ GUARD = (
     r"|\b[A-Za-z_]\w*\.(?:user|owner|tenant|organization|project|account)_id\s*(?:==|!=)\s*(?:current_)?(?:user|owner|tenant|organization|project|account)_id\b"
     r"|\b(?:current_)?(?:user|owner|tenant|organization|project|account)_id\s*(?:==|!=)\s*[A-Za-z_]\w*\.(?:user|owner|tenant|organization|project|account)_id\b"
 )
-#: Ends of lines as Python's splitlines has them.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 def lines(docs: DataFrame) -> DataFrame:

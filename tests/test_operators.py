@@ -171,3 +171,47 @@ def test_admission_stream(spark, tmp_path):
     q = stream.admitted(src, 3).writeStream.format("memory").queryName("admitted").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("admitted"), "seq", "admitted") == [(0, True), (1, True), (2, True), (3, False), (4, False)]
+
+
+def test_context_shares_and_modes(spark):
+    from quillet.operators import context
+
+    ranked = spark.createDataFrame([(1, r) for r in range(3)], "query_id int, rank int")
+    assert [r["share"] for r in context.shares(ranked, 1488).orderBy("rank").collect()] == [512, 488, 488]
+    docs = spark.createDataFrame([("a", "call helper now"), ("b", "helper body text"), ("c", "unrelated words")], "path string, text string")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    cand = spark.createDataFrame([(1, "a", "helper body")], "query_id int, path string, query string")
+    for mode, want in (("local", ["a"]), ("graph", ["a", "b"]), ("text", ["a", "b"])):
+        assert sorted(r["path"] for r in context.retrieve(docs, edges, cand, mode).collect()) == want
+
+
+def test_experts(spark):
+    from quillet.operators import experts
+
+    ev = spark.createDataFrame([(1, "require_permission(u); db.delete(x)"), (2, "db.delete(x); require_permission(u)"), (3, "nothing")], "case_id int, text string")
+    assert rows(experts.authorization_votes(ev), "case_id", "label") == [(1, "SAFE"), (2, "VULNERABLE"), (3, "ABSTAIN")]
+    assert rows(experts.scan_votes(ev), "case_id", "label", "confidence") == [(1, "VULNERABLE", 0.85), (2, "VULNERABLE", 0.85), (3, "ABSTAIN", 0.35)]
+
+
+def test_policy(spark):
+    from quillet.operators import policy
+
+    cites = spark.createDataFrame([(1, "o1", "supporting"), (1, "e1", "counter"), (1, "zz", "evidence")], "case_id int, reference string, role string")
+    known = spark.createDataFrame([(1, "o1"), (1, "e1")], "case_id int, reference string")
+    alias = spark.createDataFrame([(1, "o1", "obs"), (1, "e1", "obs")], "case_id int, reference string, identity string")
+    assert rows(policy.unknown_citations(cites, known), "reference") == [("zz",)]
+    assert rows(policy.role_conflicts(cites, alias), "identity", "roles") == [("obs", "counter / supporting")]
+    tasks = spark.createDataFrame([(1, 0, "a", "x", ["b"]), (1, 1, "b", " ", ["q"])], "case_id int, position int, task_id string, objective string, dependencies array<string>")
+    assert rows(policy.plan_violations(tasks), "task_id", "issue") == [("a", "forward"), ("b", "blank"), ("b", "unknown")]
+    tools = lambda *t: spark.createDataFrame([(1, x) for x in t], "case_id int, tool string")
+    assert rows(policy.missing_validators(tools("p", "p", "q"), tools("p", "q")), "tool", "missing") == [("p", 1)]
+    assert policy.command_status(spark.createDataFrame([(1, "SANITIZED"), (1, "AMBIGUOUS"), (2, None)], "case_id int, status string")).orderBy("case_id").collect()[0]["status"] == "AMBIGUOUS"
+
+
+def test_fallback_documents(spark):
+    from quillet.functions import lexical
+
+    files = spark.createDataFrame([("r.js", "@Get('/a')\nrouter.post('/b', check_permission(x))\nfunction run() {}\n", "javascript"), ("s.go", 'r.HandleFunc("/h", f)\nfunc main() {}', "go")], "path string, text string, language string")
+    got = {r["file"]: r for r in lexical.fallback_documents(files).collect()}
+    assert got["r.js"]["routes"] == ["GET:/a", "POST:/b"] and got["r.js"]["guards"] == ["check_permission"] and got["r.js"]["path"] == "r.js::file@1-3"
+    assert got["s.go"]["routes"] == ["ANY:/h"] and "main" in got["s.go"]["defines"]
