@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +26,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillet-{uuid.uuid4().hex}/{name}"
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Writes in this block delete their shuffle files when they end, since later plans start from what they wrote."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later plans start from files that survive lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with swept(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
