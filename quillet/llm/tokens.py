@@ -19,7 +19,9 @@ REMEMBERED = 400_000
 _held: dict[tuple[str, str], "Encoder"] = {}
 #: Characters outside Latin letters, decimal digits, usual punctuation and plain white space.
 _ODD = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿]")
-_LOOSE = re.compile(r"[\t\n\r ] | [\t\n\r]")
+_CONTROL = re.compile("[^\t\n\r -~]")
+#: Blanks beside other white space.
+_LOOSE = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
 # The pieces that the two vocabularies' files define, for the characters above.
 PIECES = {
     "byte": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
@@ -34,6 +36,17 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memo(dict):
+    """Ids of words as little-endian 32-bit words, found by `learn` the first time."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.learn(word)
+        return found
+
+
 class Encoder:
     """ids(texts) -> uint32 arrays; style `byte` (byte-level, blanks kept) or `word` (word ends, blanks dropped)."""
 
@@ -42,35 +55,35 @@ class Encoder:
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.names, self.pieces = self.tool.model, _byte_names(), PIECES[style]
-        self.style, self.known, self.parts = style, {}, {}
-
-    def words(self, text: str) -> list[str] | None:
-        """The text as units that can be encoded one by one, or None."""
-        if _ODD.search(text):
-            return None
-        if self.style == "word":
-            return text.split()
-        if text[:1] == " " or text[-1:] == " " or _LOOSE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        self.model, self.names, self.findall = self.tool.model, _byte_names(), PIECES[style].findall
+        self.style, self.parts = style, Memo(self._piece)
+        self.known = Memo(self._word if style == "word" else self._blank_word)
 
     def _piece(self, piece: str) -> bytes:
-        """The ids of a piece as little-endian 32-bit words."""
-        if (ids := self.parts.get(piece)) is None:
-            written = piece.encode().decode("latin-1").translate(self.names)
-            ids = self.parts[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
-        return ids
+        written = piece.encode().decode("latin-1").translate(self.names)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
 
-    def _learn(self, word: str) -> bytes:
+    def _word(self, word: str) -> bytes:
         plain = word.lower() if self.style == "word" else word
-        if plain[1:].isalpha() and (plain[0] == " " or plain[0].isalpha()):
-            found = self._piece(plain)
-        else:
-            found = b"".join([self._piece(p) for p in self.pieces.findall(plain)])
-        self.known[word] = found
-        return found
+        return self.parts[plain] if plain.isalpha() else b"".join([self.parts[p] for p in self.findall(plain)])
+
+    def _blank_word(self, word: str) -> bytes:
+        """A word with the blank that stood before it."""
+        plain = " " + word
+        return self.parts[plain] if word.isalpha() else b"".join([self.parts[p] for p in self.findall(plain)])
+
+    def _one(self, text: str) -> np.ndarray:
+        if not (text.isascii() or not _ODD.search(text)) or (text.isascii() and _CONTROL.search(text)):
+            return self._whole(text)
+        if self.style == "word":
+            return np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), "<u4")
+        if text[0] == " " or text[-1] == " " or any(x in text for x in _LOOSE):
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        return np.frombuffer(b"".join([self._word(first), *map(self.known.__getitem__, rest)]), "<u4")
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -79,12 +92,7 @@ class Encoder:
                 self.known.clear()
             if len(self.parts) > REMEMBERED:
                 self.parts.clear()
-            units = self.words(t) if t else []
-            if units is None:
-                out.append(np.array(self.tool.encode(t, add_special_tokens=False).ids, np.uint32))
-            else:
-                known, learn = self.known.get, self._learn
-                out.append(np.frombuffer(b"".join([known(w) or learn(w) for w in units]), "<u4"))
+            out.append(self._one(t) if t else np.zeros(0, np.uint32))
         return out
 
 
