@@ -173,6 +173,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     on = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("h_") == F.col("cut_h")) & (F.col("copy_") == F.col("copy"))
     rows = texts.join(keyed, on)
     white = F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     "))
-    words = F.flatten(F.transform("cuts", lambda c: F.slice(F.split(white, " +"), (c["begin"] + 1).cast("int"), c["words"].cast("int"))))
+    taken = lambda w: F.flatten(F.transform("cuts", lambda c: F.slice(w, (c["begin"] + 1).cast("int"), c["words"].cast("int"))))
+    words = F.element_at(F.transform(F.array(F.split(white, " +")), taken), 1)  # split once for all cuts
     rows = rows.withColumn("text", F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " ")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
