@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import new_path, stage, unstage  # noqa: F401
+from ..sources.staging import new_path, stage, swept, unstage  # noqa: F401
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -17,6 +19,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[c].alias(name) for name, c in columns.items()])
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what no plan refers to; the context cleaner then deletes those shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     """Partitions for so many rows; at least the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))

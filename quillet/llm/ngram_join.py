@@ -10,13 +10,14 @@ A document's set holds its distinct 5-word shingles, as 64-bit hashes. Two docum
    parts untouched, so it agrees on one (pigeonhole). Parts of fewer than two shingles are left out where
    that is safe: a pair whose untouched parts are all that small has at least m - d such parts on either
    side, so a set with that many emits them as well (first those of one shingle, then the empty ones).
-3. Classes with an equal part are candidates. A group's candidates are read in key order, in one stream:
-   each member is paired with the least one, and members of small groups with each other. What is left of
-   larger groups is met again in step 5.
-4. The Hamming distance of whole sketches is at most the symmetric difference; candidates beyond the bound
-   go. The others are verified with their sets.
-5. In larger groups whose members still lie in several components, members of different components are
-   paired too, through the same filter and check, so no link is lost.
+3. Classes that send an equal key form a group. Groups are found in one stream in key order.
+4. Rounds link components: in a group, a member meets members of other components whose sketches' Hamming
+   distance (at most the symmetric difference) keeps the bound, and the pairs are verified with their sets.
+   The first round takes one group for each class, the second all groups that hold several components, later
+   ones those that paired something in the round before. In the first rounds a member meets the nearest such
+   member, then the nearest of each other component, and in the end all that are left; pairs that failed are
+   kept out. A group that pairs nothing has no pair left that could link its components, and components only
+   grow, so it is done; when all are, no link is lost.
 
 Defined cases: null or blank text: empty set, no link, its own component. Fewer than five words: the whole
 sequence is the one shingle. Rows that repeat a doc_id are judged each by its
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, pick, stage, unstage
+from .common import documents, mix, pick, release, stage, unstage
 from .links import components
 
-#: Members up to which a group's pairs are all formed at once; text bytes that are hashed together.
-SMALL_GROUP, CHUNK = 6, 1 << 20
+#: Text bytes that are hashed together; first rounds, over one group for each class; most rounds.
+CHUNK, EARLY, ROUNDS = 1 << 20, 1, 60
+#: Documents that common shingles are fitted on, about, and the number of different ones among them that makes a shingle common.
+COMMON_DOCS, COMMON_IN = 4000, 5
 _U = np.uint64
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -112,41 +115,35 @@ def band(n: int) -> int:
     return max(n, 1).bit_length() - 1
 
 
-def keys(s: np.ndarray, percent: int = 80) -> np.ndarray:
-    """The keys of a set: 64-bit words for band, part and the XOR of the part's shingles."""
+def keys(s: np.ndarray, common: np.ndarray, percent: int = 80) -> np.ndarray:
+    """The keys of a set: 64-bit words for band, part and the XOR of the part's shingles; common: sorted hashes."""
     n, out = len(s), []
     level = band(n)
+    rare = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s if len(common) else np.ones(n, bool)
     for at in (level, level - 1) if level and n * percent < 100 * 2**level else (level,):
         # a pair that links differs in at most this many shingles: the smaller set, in band `at`, holds all the rest
         allowed = min(n, 2 * 2**at - 1) * (100 - percent) // percent
         m = -(-124 * 2 * 2**at * (100 - percent) // (100 * percent)) + 2
         part = (mix(s, 100 + at) % _U(m)).astype(np.int64)
-        count = np.bincount(part, minlength=m)
+        count, telling = np.bincount(part, minlength=m), np.bincount(part[rare], minlength=m)
         order = np.argsort(part, kind="stable")
         xors = np.zeros(m, _U)
         full = np.flatnonzero(count)
         xors[full] = np.bitwise_xor.reduceat(mix(s, 7)[order], np.concatenate([[0], np.cumsum(count[full])[:-1]]))
-        empty, single = int((count == 0).sum()), int((count == 1).sum())
-        spare = m - allowed
-        fewest = 0 if empty >= spare else 1 if empty + single >= spare else 2
-        sent = np.flatnonzero(count >= fewest)
+        kind = np.where(count >= 2, np.where(telling > 0, 0, 1), np.where(count == 1, np.where(telling > 0, 2, 3), 4))
+        beyond = m - np.cumsum(np.bincount(kind, minlength=5))
+        sent = np.flatnonzero(kind <= int(np.argmax(beyond < m - allowed)))
         out.append(mix(xors[sent] ^ mix(np.array([at], _U), 13), 8) ^ mix(sent.astype(_U) + _U(at << 40), 9))
     return np.concatenate(out)
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity bits of a set, at least four for each shingle of the largest set of its band; bits fold to lower bands."""
-    bits = 1 << (band(len(s)) + 3)
+    """Parity bits of a set, two to four for each shingle; they fold to lower bands."""
+    bits = 1 << max(6, band(len(s)) + 2)
     toggled = np.bincount((mix(s, 10) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(toggled.astype(np.uint8), bitorder="little").tobytes()
 
 
-def hamming(a: bytes, b: bytes) -> int:
-    """Distance of two sketches; the longer one is folded to the shorter, which keeps it a lower bound."""
-    x, y = (np.frombuffer(v, np.uint8) for v in sorted((a, b), key=len))
-    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
-
-
 def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=schema.split())
 
@@ -163,7 +160,21 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
-def key_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def common_shingles(docs: DataFrame, rows: int, width: int) -> np.ndarray:
+    """Sorted hashes of shingles in COMMON_IN different sets or more of a sample; at most the sample's shingles / COMMON_IN."""
+
+    def run(batches):
+        for b in batches:
+            for s in sets(b.column(1).to_pylist(), width):
+                if len(s):
+                    yield _batch("h d1", pa.array(s.view(np.int64)), pa.array(np.full(len(s), digest(s)[0], np.int64)))
+
+    sample = docs.filter(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(1 + rows // COMMON_DOCS)) == 0)
+    counts = sample.select("doc_id", "text").mapInArrow(run, "h long, d1 long").distinct().groupBy("h").count()
+    return np.sort(np.array([r[0] for r in counts.filter(F.col("count") >= COMMON_IN).select("h").collect()], np.int64).view(_U))
+
+
+def key_rows(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
     """(key, d1, n) of each class, sent once by each task that holds it."""
 
     def run(batches):
@@ -174,7 +185,7 @@ def key_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 if len(s) and (d1 := digest(s)[0]) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(d1)
-                    k.append(keys(s, percent))
+                    k.append(keys(s, common, percent))
                     d.append(np.full(len(k[-1]), d1, np.int64))
                     n.append(np.full(len(k[-1]), len(s), np.int32))
                 if len(k) >= 500:
@@ -186,77 +197,109 @@ def key_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, d1 long, n int")
 
 
-def _fits(a: int, b: int, percent: int) -> bool:
-    return 100 * min(a, b) >= percent * max(a, b)
-
-
-def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, key, n): pairs of classes with an equal key; b null: a is a member of a larger group with that key."""
+def grouped(rows: DataFrame) -> DataFrame:
+    """(key, d1, n) of the keys that several classes send."""
     spark = rows.sparkSession
-    sorted_rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "d1")
+    ordered = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "d1")
 
     def run(batches):
-        key, last, few, large, told = None, None, [], False, set()
-        out: list[tuple] = []
+        before = None  # the last row, and whether it was sent
         for b in batches:
             k, d, n = (b.column(i).to_numpy() for i in range(3))
-            same = (k[1:] == k[:-1]) & (d[1:] != d[:-1])
-            hit = np.zeros(len(k), bool)  # rows beside another class of the same key, and the batch's ends
+            if not len(k):
+                continue
+            fresh = np.ones(len(k), bool)  # not the row before again
+            fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+            if before is not None:
+                fresh[0] = (k[0], d[0]) != before[:2]
+            k, d, n = k[fresh], d[fresh], n[fresh]
+            if not len(k):
+                continue
+            same = k[1:] == k[:-1]
+            hit = np.zeros(len(k), bool)
             hit[1:] |= same
             hit[:-1] |= same
-            hit[:1] = hit[-1:] = True
-            for kk, dd, nn in zip(k[hit].tolist(), d[hit].tolist(), n[hit].tolist()):
-                if kk != key:
-                    key, last, few, large = kk, dd, [(dd, nn)], False
-                    continue
-                if dd == last:
+            if before is not None and before[0] == k[0]:
+                hit[0] = True
+                if not before[3]:
+                    yield _batch("key d1 n", *(pa.array([x], pa.int64()) for x in before[:3]))
+            yield _batch("key d1 n", *(pa.array(x[hit].astype(np.int64)) for x in (k, d, n)))
+            before = (k[-1], d[-1], n[-1], bool(hit[-1]))
+
+    return ordered.mapInArrow(run, "key long, d1 long, n long")
+
+
+def _fold(sk: bytes, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(sk, np.uint8).reshape(-1, size), axis=0)
+
+
+def proposed(members: DataFrame, percent: int, wide: int) -> DataFrame:
+    """(key, a, b): in each group, pairs of classes of different components c within the sketches' bound.
+
+    wide 0: each member's nearest; 1: the nearest in each other component; 2: all.
+    members: (key, d1, n, c, sk, no), no: classes that d1 was already found not to link with.
+    """
+    spark = members.sparkSession
+    ordered = members.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "c", "d1")
+
+    def meet(group):
+        root = np.array([g[3] for g in group])
+        if (root == root[0]).all():
+            return
+        key, d, n, no = group[0][0], [g[1] for g in group], np.array([g[2] for g in group]), [set(g[5] or ()) for g in group]
+        size = min(len(g[4]) for g in group)
+        words = np.stack([_fold(g[4], size) for g in group])
+        for i in range(len(group)):
+            other = np.flatnonzero((root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            if not len(other):
+                continue
+            apart = np.bitwise_count(words[other] ^ words[i]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(apart * (100 + percent) <= (n[other] + n[i]) * (100 - percent))
+            met = set()
+            for j in other[near[np.argsort(apart[near], kind="stable")]].tolist():
+                if d[j] in no[i] or d[i] in no[j] or wide == 1 and root[j] in met:
                     continue
-                last = dd
-                if len(few) < SMALL_GROUP:
-                    meets = list(few)
-                    few.append((dd, nn))
-                else:
-                    meets = few[:1]
-                    if not large:
-                        out += [(x, None, key, m) for x, m in few]
-                        large = True
-                    out.append((dd, None, key, nn))
-                for x, m in meets:
-                    if _fits(m, nn, percent) and (x, dd) not in told:
-                        if len(told) < 500_000:
-                            told.add((x, dd))
-                        out.append((x, dd, None, None))
-            if len(out) >= 50_000:
-                yield _batch("a b key n", *(pa.array(c, pa.int64()) for c in zip(*out)))
+                yield key, min(d[i], d[j]), max(d[i], d[j])
+                if wide == 0:
+                    break
+                met.add(root[j])
+
+    def run(batches):
+        held, out = [], []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][0] != row[0]:
+                    out += meet(held)
+                    held = []
+                held.append(row)
+            if len(out) > 20_000:
+                yield _batch("key a b", *(pa.array(c, pa.int64()) for c in zip(*out)))
                 out = []
+        if held:
+            out += meet(held)
         if out:
-            yield _batch("a b key n", *(pa.array(c, pa.int64()) for c in zip(*out)))
+            yield _batch("key a b", *(pa.array(c, pa.int64()) for c in zip(*out)))
 
-    return sorted_rows.mapInArrow(run, "a long, b long, key long, n long")
+    return ordered.select("key", "d1", "n", "c", "sk", "no").mapInArrow(run, "key long, a long, b long")
 
 
 def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of nodes for pairs (a, b) of classes: the sketches' bound first, then the sets themselves.
-
-    held: (d1, node, s, sk) with each class's sorted shingle hashes and sketch.
-    """
-    one = held.select(F.col("d1").alias("a"), F.col("node").alias("na"), F.col("s").alias("sa"), F.col("sk").alias("ka"))
-    two = held.select(F.col("d1").alias("b"), F.col("node").alias("nb"), F.col("s").alias("sb"), F.col("sk").alias("kb"))
+    """(a, b, na, nb) of the pairs of classes (a, b) that link; held: (d1, node, s) with each class's sorted shingle hashes."""
+    one = held.select(F.col("d1").alias("a"), F.col("node").alias("na"), F.col("s").alias("sa"))
+    two = held.select(F.col("d1").alias("b"), F.col("node").alias("nb"), F.col("s").alias("sb"))
 
     def near(batches):
         for b in batches:
-            keep = [hamming(x, y) * (100 + percent) <= (len(p) + len(q)) // 8 * (100 - percent) for p, q, x, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)))]
-            rows = b.filter(pa.array(keep, pa.bool_()))
             good = []
-            for x, y in zip(*(rows.column(i).to_pylist() for i in (2, 3))):
-                s, t = np.frombuffer(x, _U), np.frombuffer(y, _U)
+            for x, y in zip(b.column(4), b.column(5)):
+                s, t = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
-            rows = rows.filter(pa.array(good, pa.bool_()))
-            yield _batch("a b", rows.column(0), rows.column(1))
+            rows = b.filter(pa.array(good, pa.bool_()))
+            yield _batch("a b na nb", *(rows.column(i) for i in range(4)))
 
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("na", "nb", "sa", "sb", "ka", "kb")
-    return joined.mapInArrow(near, "a long, b long")
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return joined.mapInArrow(near, "a long, b long, na long, nb long")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -267,8 +310,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     told = stage(classes(docs, width), "sets")
     full = told.filter("n > 0 and doc_id is not null")
     reps = stage(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "classes")
-    found = stage(candidates(key_rows(docs.filter("doc_id is not null"), width, percent), percent), "candidates")
-    pairs = stage(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+    known = docs.filter("doc_id is not null")
+    common = common_shingles(known, told.count(), width)
+    groups = stage(grouped(key_rows(known, common, width, percent)), "groups")
+    named = reps.join(groups.select("d1").distinct(), "d1").select(F.col("node").alias("doc_id"), "d1")
 
     def with_sets(batches):
         for b in batches:
@@ -280,22 +325,41 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
                 d, n, s, k = zip(*out)
                 yield _batch("d1 node s sk", pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.binary()), pa.array(k, pa.binary()))
 
-    large = found.filter("b is null").select("key", F.col("a").alias("d1"), "n").distinct()
-    wanted = pairs.select(F.col("a").alias("d1")).union(pairs.select("b")).union(large.select("d1")).distinct()
-    named = reps.join(wanted, "d1").select(F.col("node").alias("doc_id"), "d1")
-    held = stage(docs.join(named, "doc_id").select("doc_id", "text", "d1").mapInArrow(with_sets, "d1 long, node long, s binary, sk binary"), "held")
-    edges = stage(verified(pairs, held, percent), "links")
-    linked = stage(components(edges), "components")
-    # Members of larger groups that the links so far leave in several components.
-    groups = large.join(reps.select("d1", F.col("node")), "d1").join(linked, "node", "left").select("key", "d1", "n", F.coalesce("component", "node").alias("c"))
-    open_groups = groups.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    rest = stage(groups.join(open_groups, "key"), "rest")
-    if not rest.isEmpty():
-        other = rest.select("key", F.col("d1").alias("b"), F.col("n").alias("m"), F.col("c").alias("e"))
-        across = rest.withColumnRenamed("d1", "a").join(other, "key").filter(f"a < b and c <> e and 100 * least(n, m) >= {percent} * greatest(n, m)")
-        more = across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        edges = edges.union(stage(verified(more, held, percent), "more"))
-        linked = stage(components(edges), "components")
+    held = stage(known.join(named, "doc_id").select("doc_id", "text", "d1").mapInArrow(with_sets, "d1 long, node long, s binary, sk binary"), "held")
+    at, tested, links, linked = held.select("d1", "sk", F.col("node").alias("c")), None, None, None
+    for turn in range(ROUNDS):
+        rows = groups.join(at.select("d1", "c"), "d1")
+        count = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min("n").alias("small"), F.max("n").alias("large"))
+        apart = count.filter(f"lo <> hi and (m > 2 or 100 * small >= {percent} * large)").select("key")
+        rows = rows.join(apart, "key")
+        if turn < EARLY:  # one group for each class
+            rows = rows.groupBy("d1").agg(F.min_by(F.struct("key", "n", "c"), F.xxhash64(F.lit(turn), "key")).alias("r")).select("d1", "r.*")
+        rows = rows.select("key", "d1", "n", "c").join(at.select("d1", "sk"), "d1")
+        if tested is None:
+            rows = rows.select("*", F.lit(None).cast("array<bigint>").alias("no"))
+        else:
+            failed = tested.join(links.select("a", "b"), ["a", "b"], "left_anti").groupBy("a").agg(F.collect_list("b").alias("no"))
+            rows = rows.join(failed.select(F.col("a").alias("d1"), "no"), "d1", "left")
+        found = stage(proposed(rows, percent, min(2, max(0, turn - EARLY))), "pairs")
+        if found.isEmpty():
+            if turn >= EARLY:
+                break
+            continue
+        pairs = found.select("a", "b").distinct()
+        good = stage(verified(pairs, held, percent), "links")
+        tested, links = (pairs, good) if tested is None else (tested.union(pairs), links.union(good))
+        if linked is not None:
+            unstage(linked)
+        linked = stage(components(links.select(F.col("na").alias("a"), F.col("nb").alias("b"))), "components")
+        at = held.join(linked, "node", "left").select("d1", "sk", F.coalesce("component", "node").alias("c"))
+        if turn >= EARLY:
+            groups = stage(groups.join(found.select("key").distinct(), "key", "left_semi"), "groups")
+        release(groups.sparkSession)
+    else:
+        raise RuntimeError(f"components not settled after {ROUNDS} rounds")
+    if linked is None:
+        linked = told.sparkSession.createDataFrame([], "node long, component long")
+    unstage(held)
     nodes = told.join(reps.select("d1", "d2", "node"), ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     return nodes.join(linked, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
 
