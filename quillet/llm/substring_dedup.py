@@ -6,8 +6,8 @@ doc_id, or in the same one further ahead. Strings are judged on the input.
 Sparse arrays: every window of LENGTH bytes is named by its minimizer, the suffix in it that starts with the
 least hash of SEED bytes (the leftmost of equals). Equal windows have equal minimizers at equal places, so an
 array over minimizer suffixes suffices, about one for each 30 bytes. An entry covers the run of windows that
-share one suffix: (kh, uh, doc, at), kh the hash of the suffix's first SEED bytes, uh that of the whole covered
-string and the suffix's place in it, at the run's first window * 64 + the number of further ones. Arrays are in
+share one suffix: (kh, uh, doc, at), kh the hash of the suffix's first SEED bytes (64 bits), uh that of the whole
+covered string and the suffix's place in it (32 bits more), at the run's first window * 64 + the number of further ones. Arrays are in
 order of (kh, uh), a hash order, since only equality of suffixes counts here.
 
 The family: documents come in BATCHES, ascending in doc_id. Each Arrow batch sorts its own entries and drops
@@ -19,7 +19,7 @@ Last, a scan over the levels finds suffix starts that several different entries
 shorter or longer than a run, so their single windows are hashed from the texts (a few per cent of all bytes),
 sorted with their places, and all but the earliest of each kind are cuts.
 
-Hashes have 64 bits; equality is by hash. Defined cases: null text counts as empty; texts shorter than LENGTH bytes
+Equality is by hash: 96 bits for entries, 64 for windows. Defined cases: null text counts as empty; texts shorter than LENGTH bytes
 lose nothing by themselves; null doc_ids come after all others, as one document; rows that repeat a doc_id are one
 document in order (the same start is not earlier), so a repeated row keeps what its first copy keeps. Other
 columns are ignored; an empty table gives an empty result; texts count whole.
@@ -27,7 +27,6 @@ columns are ignored; an empty table gives an empty result; texts count whole.
 
 from __future__ import annotations
 
-import gc
 
 
 import numpy as np
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, new_path, stage
+from .common import documents, mix, new_path, release, stage, swept
 from .ngram_join import _power
 
 LENGTH, SEED, BATCHES = 100, 40, 4
@@ -43,7 +42,7 @@ _U = np.uint64
 _BYTE = mix(np.arange(256, dtype=_U), 21)
 _LAST = 2**63 - 1
 _NAMES = ["kind", "kh", "uh", "doc", "at"]
-_ENTRY = "kind int, kh long, uh long, doc long, at long"
+_ENTRY = "kind int, kh long, uh int, doc long, at long"
 
 
 class Hashes:
@@ -62,7 +61,7 @@ def entries(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[n
     """kh, uh and at of one text's entries; length - seed must stay under 63."""
     n = len(data)
     if n < length:
-        return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),)
+        return np.zeros(0, _U), np.zeros(0, np.int32), np.zeros(0, np.int64)
     hashes = Hashes(data)
     starts = np.arange(n - seed + 1)
     h = hashes.of(starts, starts + seed)
@@ -77,12 +76,23 @@ def entries(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[n
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     last = np.concatenate([first[1:], [m]]) - 1
     whole = hashes.of(first, last + length)
-    return h[least[first]], mix(whole + (least[first] - first).astype(_U), 1), first * 64 + (last - first)
+    uh = (mix(whole + (least[first] - first).astype(_U), 1) >> _U(32)).astype(np.uint32).view(np.int32)
+    return h[least[first]], uh, first * 64 + (last - first)
 
 
-def _rows(kind, kh, uh, doc, at) -> pa.RecordBatch:
-    kinds = np.full(len(kh), kind, np.int32) if np.isscalar(kind) else kind.astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(x.view(np.int64) if x.dtype == _U else x) for x in (kh, uh, doc, at))], names=_NAMES)
+def _rows(kind: np.ndarray, kh, uh, doc, at) -> pa.RecordBatch:
+    arrays = (kind.astype(np.int32), kh.view(np.int64), uh.astype(np.int32), doc, at)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=_NAMES)
+
+
+def _cut_rows(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Entries as cuts: at the first byte, uh the number of bytes; runs that touch in a document are one row."""
+    o = np.lexsort((at, doc))
+    doc, begin, stop = doc[o], at[o] >> 6, (at[o] >> 6) + (at[o] & 63) + LENGTH
+    opens = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (begin[1:] > stop[:-1])]))
+    closes = np.concatenate([opens[1:], [len(doc)]]) - 1
+    doc, begin, stop = doc[opens], begin[opens], stop[closes]
+    return _rows(np.ones(len(doc)), mix(doc.view(_U), 3), stop - begin, doc, begin)
 
 
 def local_arrays(docs: DataFrame) -> DataFrame:
@@ -106,7 +116,9 @@ def local_arrays(docs: DataFrame) -> DataFrame:
                     same = np.concatenate([[False], (kh[1:] == kh[:-1]) & (uh[1:] == uh[:-1])])
                     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(kh))))
                     later = same & ((doc > doc[head]) | (at >> 6 > at[head] >> 6))
-                    yield _rows(np.where(later, 1, 0), kh, uh, doc, at)
+                    yield _rows(np.zeros(int((~later).sum())), kh[~later], uh[~later], doc[~later], at[~later])
+                    if later.any():
+                        yield _cut_rows(doc[later], at[later])
                     found, size = [], 0
 
     return docs.mapInArrow(run, _ENTRY)
@@ -150,15 +162,20 @@ class Family:
                 if held is not None:
                     first_doc, first_at = np.where(at_head < 0, held[2], first_doc), np.where(at_head < 0, held[3], first_at)
                 later = (kind == 0) & ~fresh & ((doc > first_doc) | (at >> 6 > first_at >> 6))
-                out = np.where((kind == 1) | later, 1, np.where(fresh & ((kind == 0) | (kind == 2)), 0, 9))
-                some = out < 9
-                yield _rows(out[some], kh[some], uh[some], doc[some], at[some])
+                keep, told = fresh & ((kind == 0) | (kind == 2)), kind == 1
+                yield _rows(np.zeros(int(keep.sum())), kh[keep], uh[keep], doc[keep], at[keep])
+                if told.any():
+                    yield _rows(np.ones(int(told.sum())), np.zeros(int(told.sum()), np.int64), uh[told], doc[told], at[told])
+                if later.any():
+                    cut = _cut_rows(doc[later], at[later])
+                    yield cut.set_column(1, "kh", pa.array(np.zeros(cut.num_rows, np.int64)))
                 held = (kh[-1], uh[-1], first_doc[-1], first_at[-1])
 
         path = new_path(self.spark, "scan")
-        _in_order(rows).mapInArrow(scan, _ENTRY).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-        whole = self.spark.read.schema("kh long, uh long, doc long, at long, kind int").parquet(path)
-        cut = whole.filter("kind = 1").select("doc", F.shiftright("at", 6).alias("begin"), (F.shiftright("at", 6) + F.col("at").bitwiseAND(63) + LENGTH).alias("stop"))
+        with swept(self.spark):
+            _in_order(rows).mapInArrow(scan, _ENTRY).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+        whole = self.spark.read.schema("kh long, uh int, doc long, at long, kind int").parquet(path)
+        cut = whole.filter("kind = 1").select("doc", F.col("at").alias("begin"), (F.col("at") + F.col("uh")).alias("stop"))
         self.cuts.append(cut)
         self.levels.append((size, whole.filter("kind = 0").select("kh", "uh", "doc", "at")))
         for t in merged:
@@ -198,12 +215,6 @@ def _drop_kind(table: DataFrame, kind: int) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop what no plan refers to; the context cleaner then deletes those shuffle files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def single_windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(doc, begin, stop) of those windows of asked entries (doc, at) whose string starts earlier in another asked one."""
     lists = asked.groupBy("doc").agg(F.collect_set("at").alias("at")).withColumnRenamed("doc", "asked_doc")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, new_path, pick, stage, unstage
+from .common import documents, new_path, pick, stage, swept, unstage
 from .tokens import encoder
 
 #: Bits of the frequency scale, ids in a block, lanes at most, steps between checkpoints.
@@ -178,7 +178,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = ids.repartitionByRange(parts, F.col("doc_id")).sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(blocks, "part long, seq long, n_ids long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    with swept(spark):
+        ordered.mapInArrow(blocks, "part long, seq long, n_ids long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
     unstage(ids)
 
 
