@@ -1,8 +1,8 @@
 """Document fingerprints by SpotSigs.
 
-A signature starts at an anchor, a common word, and takes the next CHAIN content words after it (common words in
-between are passed over). A document's fingerprint is its set of signatures, as sorted 32-bit hashes in hex, so
-likeness is the Jaccard similarity of two fingerprints. Near pairs of a corpus come from `similar`: sets are
+A signature starts at an anchor, a common word, and is the chain of the next two content words after it (common
+words in between are passed over, so neighbouring anchors share a chain). A document's fingerprint is its set of
+signatures, as sorted 32-bit hashes in hex, so likeness is the Jaccard similarity of two fingerprints. Near pairs of a corpus come from `similar`: sets are
 partitioned by length, an index of rare signatures proposes partners in the same or the next partition, length
 bounds prune them, and the sets decide.
 
@@ -27,23 +27,42 @@ ANCHORS = (
     "le la les des et est en un une du que qui dans pour pas par "
     "el los las de y que en un una por con para del se no"
 ).split()
-CHAIN = 2
 #: Characters of text that lie in one range of neighbouring documents, about.
 RANGE_CHARS = 4_000_000
-_STOP = "(?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w))) + ")"
-#: An anchor, and ahead of it the next content words with any common ones among them.
-_SPOT = rf" ({_STOP})(?=((?: {_STOP}(?= ))*" + rf" [^ ]+(?: {_STOP}(?= ))*" * (CHAIN - 1) + r" [^ ]+) )"
+
+
+def _tree(words: list[str]) -> str:
+    """The words as one regular expression that tries each first letter once, and so on."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    branches = [h + _tree(rest) if h else "" for h, rest in sorted(heads.items(), reverse=True)]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+
+#: One anchor between blanks; no repetition of groups, so no text is too long for the matcher.
+_SPOT = " " + _tree(ANCHORS) + "(?= )"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chains(parts: Column) -> Column:
+    """From the stretches of content words behind each anchor, the first two words; a short one takes the next stretch's first."""
+    after = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    two = lambda a, b: F.when(F.instr(a, " ") > 0, F.substring_index(a, " ", 2)).otherwise(F.concat(a, F.lit(" "), F.substring_index(b, " ", 1)))
+    return F.filter(F.zip_with(parts, after, two), lambda c: c.isNotNull())
 
 
 def signatures(text: Column) -> Column:
     """array<int>: the sorted distinct hashes of a text's signatures."""
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    words = F.regexp_replace(words, "  +", " ")
-    heads = F.array_join(F.regexp_extract_all(words, F.lit(_SPOT), F.lit(0)), "|")
-    chains = F.array_join(F.regexp_extract_all(words, F.lit(_SPOT), F.lit(2)), " |")
-    bare = F.regexp_replace(F.concat(chains, F.lit(" ")), rf"(?: {_STOP}(?= ))+", "")
-    spots = F.zip_with(F.split(heads, r"\|"), F.split(bare, r"\|"), lambda h, c: F.hash(h, F.trim(c)))
-    return F.array_sort(F.array_distinct(F.when(heads == "", F.transform(F.split(F.trim(words), " "), lambda w: F.hash(w))).otherwise(spots)))
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[\x00-/:-`{-\x7f]+", " "), F.lit(" "))
+    cut = _let(F.split(F.regexp_replace(words, _SPOT, " |"), r"\|"), lambda s: F.slice(s, F.lit(2), F.size(s) - 1))
+    parts = F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
+    hashed = _let(_let(parts, _chains), lambda c: F.when(F.size(c) > 0, F.transform(c, lambda x: F.hash(x))).otherwise(F.transform(F.split(F.trim(words), " +"), lambda w: F.hash(w))))
+    return F.array_sort(F.array_distinct(hashed))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -56,13 +75,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def followed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): each document with the next by descending doc_id; after the last, the first.
+    """(doc_id, text, sigs, next_text, next_sigs): each document and its signatures with the next by descending doc_id; after the last, the first.
 
     Documents fall in ranges of neighbouring ids (limits from their quantiles); the first document of each range
     also stands as a guest at the end of the range before, so one window over a range finds every next document.
     """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    carried = ["doc_id", "text", "sigs"]
     known = rows.select("doc_id", F.length("text").alias("n")).agg(F.sum("n").alias("chars"), F.count("doc_id").alias("ids")).first()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (known["chars"] or 0) // RANGE_CHARS)
     limits = []
@@ -78,29 +98,35 @@ def followed(docs: DataFrame) -> DataFrame:
     before = {r: firsts[i - 1][0] for i, (r, _) in enumerate(firsts)}
     turn = Window.partitionBy("range").orderBy(F.desc("guest_order"), F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     if not firsts:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
+        return rows.select("doc_id", "text", signatures(F.col("text")).alias("sigs"), F.col("text").alias("next_text"), signatures(F.col("text")).alias("next_sigs"))
     # Of documents that share a range's largest id, the first by hash is the head.
     head = F.coalesce(*[F.when(F.col("range") == r, F.col("doc_id").eqNullSafe(F.lit(h).cast("long"))) for r, h in firsts], F.lit(False))
     to = F.coalesce(*[F.when(F.col("range") == r, F.lit(before[r])) for r, _ in firsts])
     stays = F.struct(F.col("range").alias("range"), F.lit(1).alias("guest_order"))
     goes = F.struct(to.alias("range"), F.lit(0).alias("guest_order"))
-    spread = rows.select("doc_id", "text", F.explode(F.when(head, F.array(stays, goes)).otherwise(F.array(stays))).alias("at")).select("doc_id", "text", "at.range", "at.guest_order")
+    rows = rows.withColumn("sigs", signatures(F.col("text")))
+    spread = rows.select(*carried, F.explode(F.when(head, F.array(stays, goes)).otherwise(F.array(stays))).alias("at")).select(*carried, "at.range", "at.guest_order")
     spread = spread.repartition(len(firsts), "range")
-    return spread.withColumn("next_text", F.lead("text").over(turn)).filter("guest_order = 1").select("doc_id", "text", "next_text")
+    led = spread.withColumns({"next_text": F.lead("text").over(turn), "next_sigs": F.lead("sigs").over(turn)})
+    return led.filter("guest_order = 1").select(*carried, "next_text", "next_sigs")
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, edited, next_text, sigs, edited_sigs, next_sigs) for each document."""
+    """(doc_id, text, edited, sigs, edited_sigs, next_sigs) for each document.
+
+    The edited text is the document with its last third replaced by the first characters of the next one.
+    """
     rows = followed(docs)
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - third), F.substr(F.coalesce("next_text", F.lit("")), F.lit(1), third))
-    return rows.withColumn("edited", edited)
+    return rows.select("doc_id", "text", edited.alias("edited"), "sigs", signatures(edited).alias("edited_sigs"), "next_sigs")
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = compared(documents(spark, sf_dir))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("edit"), signatures(F.coalesce("next_text", F.lit(""))).alias("next"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edit")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+    own, edit = F.col("sigs"), F.col("edited_sigs")
+    facts = [F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(own).alias("fingerprint"), fingerprint(edit).alias("edited_fingerprint")]
+    return rows.select("doc_id", *facts, likeness(own, edit).alias("near_edited"), likeness(own, F.col("next_sigs")).alias("near_next"))
 
 
 def similar(docs: DataFrame, *, percent: int = 80) -> tuple[DataFrame, DataFrame]:
