@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on long mixed tokens.
 
-Base spans come from three patterns (assign, access, hex). The method then takes every longer run of
-token characters that holds both letters and digits, infers its encoding (hex, base32, base62 or base64)
-and tests, under the hypothesis that its symbols are uniform and independent: the chi-squared statistic of
+Base spans come from three patterns (assign, access, hex). The method then takes every run of token
+characters that can carry enough bits, and every piece of a run between the separators + / _ - (groups of hex
+digits joined by hyphens stay one piece). What holds both letters and digits gets an encoding: hex, base32 or
+base36 in either case, base62 or base64. A run with separators in one case has none as a whole: only its pieces
+count. The battery tests, under the hypothesis that its symbols are uniform and independent: the chi-squared statistic of
 symbol counts, the number of runs above and below the middle of the alphabet, and the serial correlation
 of neighbours. The three standard scores combine to one chi-squared value with three degrees of freedom.
 Within each band of lengths (powers of two) the Benjamini-Hochberg rule decides over the whole corpus which
-tokens are not random; a short token has little power and is only judged among its like. What the rule
-doesn't reject, and what carries enough bits, is a secret of kind `random`. p-values are counted in bins of a
+tokens are not random; a short token has little power and is only judged among its like. What carries enough
+bits, and what the rule doesn't reject, is a secret of kind `random`; a piece inside such a run adds nothing. p-values are counted in bins of a
 hundredth of a decade, so only counts (some thousand rows at most) and one limit a band leave the rows.
 
 Defined cases: null text counts as empty: no spans. Spans are code points, end exclusive; a random span inside
@@ -17,6 +19,8 @@ are ignored; empty tables give empty results. Texts count whole. Everything runs
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,13 +31,16 @@ from .common import documents, stage
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Runs that are tested, their least information in bits, and the share of false rejections in a band.
-RUN, LEAST_BITS, LEVEL = r"[A-Za-z0-9+/_-]{20,}={0,2}", 80, 0.01
+#: Runs of a least length, their pieces, the least information in bits of what is tested, and the share of false rejections in a band.
+RUN, LEAST_BITS, LEVEL = r"[A-Za-z0-9+/_-]{%d,}={0,2}", 80, 0.01
+#: Hex digits joined by hyphens; possessive, so that a long run needs no stack.
+JOINED = r"(?<![A-Za-z0-9])(?=[{0}-]{{{1}}})[{0}]++(?:-[{0}]++(?![A-Za-z0-9]))++"
 KINDS = ("assign", "access", "hex", "random")
 # Alphabets in the order of their symbols.
 ALPHABETS = {
     "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base32": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
@@ -70,14 +77,21 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_base("assign", assign), _base("access", located(text, ACCESS)), _base("hex", located(text, HEX))))
 
 
+def piece(least_bits: int) -> str:
+    """The pattern of pieces that can carry so many bits."""
+    n = math.ceil(least_bits / 4)
+    return f"(?:{JOINED.format('0-9a-f', n)}|{JOINED.format('0-9A-F', n)}|[A-Za-z0-9]{{{math.ceil(least_bits / 6)},}})={{0,2}}"
+
+
 def encoding(run: Column) -> Column:
     """The name of the run's alphabet, or null where no encoding fits."""
     bare = F.regexp_replace(run, "=+$", "")
     mixed = bare.rlike("[0-9]") & bare.rlike("[A-Za-z]")
     return (
         F.when(~mixed, None)
-        .when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
-        .when(bare.rlike("^[A-Z2-7]+$"), F.lit("base32"))
+        .when(bare.rlike("^([0-9a-f][0-9a-f-]*|[0-9A-F][0-9A-F-]*)$"), F.lit("hex"))
+        .when(bare.rlike("^([a-z2-7]+|[A-Z2-7]+)$"), F.lit("base32"))
+        .when(bare.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), F.lit("base36"))
         .when(bare.rlike("[A-Z]") & bare.rlike("[a-z]"), F.when(bare.rlike("^[A-Za-z0-9]+$"), F.lit("base62")).otherwise(F.lit("base64")))
     )
 
@@ -85,7 +99,7 @@ def encoding(run: Column) -> Column:
 def symbols(run: Column, name: Column) -> Column:
     """The run's symbols as places in its alphabet."""
     alphabet = F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in ALPHABETS.items()])
-    plain = F.translate(F.when(name == "hex", F.lower(run)).otherwise(run), "-_=", "+/")
+    plain = F.when(name.isin("hex", "base32", "base36"), F.translate(F.lower(run), "-=", "")).otherwise(F.translate(run, "-_=", "+/"))
     return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.position(c, alphabet) - 1)
 
 
@@ -131,16 +145,24 @@ def limits(counts: DataFrame, level: float) -> dict[int, int]:
 def scan(docs: DataFrame, *, level: float = LEVEL, least_bits: int = LEAST_BITS) -> DataFrame:
     """(doc_id, text_hash, base_spans, secret_spans) for each row of docs; spans array<struct<start, kind, stop>>, kind a place in KINDS."""
     text = F.coalesce(docs["text"], F.lit(""))
-    held = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"), located(text, RUN).alias("tokens"))
+    runs = F.filter(located(text, RUN % math.ceil(least_bits / 6)), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]"))
+    held = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"), runs.alias("tokens"))
     held = stage(held.withColumn("row", F.monotonically_increasing_id()), "runs")
-    runs = held.filter(F.size("tokens") > 0).select("row", F.inline("tokens")).withColumn("kind", encoding(F.col("value"))).filter("kind is not null")
+    runs = held.filter(F.size("tokens") > 0).select("row", F.inline("tokens"))
+    # a run with its pieces; one that is a piece itself comes once
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("value").alias("stop"), F.col("value")))
+    runs = runs.select("row", F.col("start").alias("run"), F.col("stop").alias("end"), F.inline(F.array_union(whole, located(F.col("value"), piece(least_bits)))))
+    runs = runs.withColumns({"start": F.col("run") + F.col("start"), "stop": F.col("run") + F.col("stop"), "kind": encoding(F.col("value"))}).filter("kind is not null")
     sizes = F.coalesce(*[F.when(F.col("kind") == k, F.lit(len(v))) for k, v in ALPHABETS.items()])
-    tested = scores(runs.select("row", "start", "stop", symbols(F.col("value"), F.col("kind")).alias("v"), sizes.alias("k")))
-    bits, band, cell = F.col("n") * F.log2("k"), F.floor(F.log2("n")).cast("int"), F.floor(-100.0 * F.log10("p")).cast("int")
-    tested = stage(tested.select("row", "start", "stop", bits.alias("bits"), band.alias("band"), cell.alias("bin")), "tests")
+    taken = runs.select("row", "run", "end", "start", "stop", symbols(F.col("value"), F.col("kind")).alias("v"), sizes.alias("k"))
+    tested = scores(taken.filter(F.size("v") * F.log2("k") >= least_bits))
+    band, cell = F.floor(F.log2("n")).cast("int"), F.floor(-100.0 * F.log10("p")).cast("int")
+    tested = stage(tested.select("row", "run", "end", "start", "stop", band.alias("band"), cell.alias("bin")), "tests")
     rejected = limits(tested.groupBy("band", "bin").agg(F.count("*").alias("n")), level)
     least = F.coalesce(*[F.when(F.col("band") == b, F.lit(v)) for b, v in rejected.items()], F.lit(2**31 - 1))
-    random = tested.filter((F.col("bin") < least) & (F.col("bits") >= least_bits)).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "stop")).alias("more"))
+    whole = (F.col("start") == F.col("run")) & (F.col("stop") == F.col("end"))
+    random = tested.filter(F.col("bin") < least).withColumn("within", ~whole & F.max(whole).over(Window.partitionBy("row", "run"))).filter("not within")
+    random = random.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "stop")).alias("more"))
     joined = held.join(random, "row", "left").withColumn("base_", F.col("base"))
     outside = F.filter("more", lambda x: ~F.exists("base_", lambda b: (b["start"] <= x["start"]) & (b["stop"] >= x["stop"])))
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", outside)))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -280,6 +281,24 @@ def test_secrets(docs, odd, empty):
     assert secrets.scan(odd).count() == 5 and secrets.scan(empty).count() == 0 and secrets.redact(empty, secrets.scan(empty)).count() == 0
 
 
+def test_random_tokens_of_every_encoding(spark):
+    """One token of each kind, without a keyword: alone, behind a prefix, and inside a path."""
+    r = random.Random(41)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    draw = lambda symbols, n: r.choice("23") + "".join(r.choice(symbols) for _ in range(n - 2)) + (r.choice("xyz") if "z" in symbols else r.choice("XYZ") if "Z" in symbols else "a")
+    tokens = {"base36": draw(lower + digits, 24), "BASE36": draw(upper + digits, 24), "base32": draw(lower + "234567", 26), "base62 of 14": draw(lower + upper + digits, 13) + "Q"}
+    hexes = str(uuid.UUID(int=r.getrandbits(128), version=4))
+    tokens |= {"uuid": hexes, "UUID": hexes.upper(), "base36 of 16": draw(lower + digits, 16)}
+    texts = {k: (f"the {v} tree", [v]) for k, v in tokens.items()}
+    texts |= {"sk": (f"sk-{tokens['base36']}.", [tokens["base36"]]), "path": (f"see /Users/Home/{hexes}-book now", [hexes]), "id": (f"id-{hexes}", [hexes])}
+    texts |= {"few bits": (f"the {draw(lower + digits, 13)} tree a1b2c3d4-e5f6 covid19-report-2021-words", []), "no digits": ("unquestionablyinternational tree", [])}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts.values())], "doc_id long, text string")
+    rows, clean = by_id(secrets.scan(df)), by_id(secrets.redact(df.withColumn("n_chars", F.length("text").cast("long")), secrets.scan(df)))
+    for i, (k, (t, want)) in enumerate(texts.items()):
+        assert [t[s["start"] : s["stop"]] for s in rows[i]["secret_spans"] if s["kind"] == 3] == want, k
+        assert not any(w in clean[i]["text"] for w in want)
+
+
 def test_spotsigs(docs, odd, empty):
     rows = {r["doc_id"]: r for r in spotsigs.compared(docs).select("*", spotsigs.fingerprint(F.col("sigs")).alias("fp")).collect()}
     order = sorted(range(len(texts())), reverse=True)
