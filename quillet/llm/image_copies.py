@@ -230,7 +230,11 @@ def edited(data: bytes | None, seed: int) -> bytes | None:
 
 
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pictures of all embeddings; edited copies of those with an id divisible by 50 ask for their originals."""
+    """Pictures of all embeddings; edited copies of those with an id divisible by 50 ask for their originals.
+
+    One row an image with its class; asked images also have the list of all classes found, whose members are the
+    rows with that class_id.
+    """
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = rows.select(rows["vec_id"].alias("id"), rows["embedding"].alias("embedding")).filter("id is not null")
 
@@ -252,6 +256,9 @@ def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = images.join(asked.select(F.col("class").alias("id")).distinct(), "id", "left_semi").mapInArrow(edit, "id long, image binary")
     corpus = stage(described(images), "features")
     found = search(described(queries), corpus)
-    best = found.groupBy("query").agg(F.count("*").alias("matches"), F.max_by("match", F.struct("agree", -F.col("match"))).alias("best_class"), F.max("agree").alias("agree"), F.bool_or(F.col("query") == F.col("match")).alias("found"))
+    best = found.groupBy("query").agg(F.count("*").alias("matches"), F.array_sort(F.collect_list(F.struct(F.col("match").alias("class_id"), "agree"))).alias("copies"), F.max_by("match", F.struct("agree", -F.col("match"))).alias("best_class"), F.max("agree").alias("agree"), F.bool_or(F.col("query") == F.col("match")).alias("found"))
     out = asked.join(best, F.col("class") == F.col("query"), "left")
-    return out.select(F.col("id").alias("vec_id"), F.col("class").alias("class_id"), F.coalesce("matches", F.lit(0)).alias("matches"), "best_class", F.coalesce("agree", F.lit(0)).alias("agree"), F.coalesce("found", F.lit(False)).alias("found"))
+    none = F.from_json(F.lit("[]"), best.schema["copies"].dataType)
+    out = out.select(F.col("id").alias("vec_id"), F.col("class").alias("class_id"), F.lit(True).alias("asked"), F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("copies", none).alias("copies"), "best_class", F.coalesce("agree", F.lit(0)).alias("agree"), F.coalesce("found", F.lit(False)).alias("found"))
+    # the rest only say their class; they meet no join, whose key would be the class
+    return out.unionByName(member.filter("id % 50 <> 0").select(F.col("id").alias("vec_id"), F.col("class").alias("class_id"), F.lit(False).alias("asked")), allowMissingColumns=True)

@@ -354,3 +354,16 @@ def test_image_copies(spark):
     assert sum(best.get(i, (0, -1))[1] == i for i in range(0, 40, 4)) >= 9
     brute = image_copies.features(pictures[0])[1]
     assert len(brute) > 10 and not len(image_copies.features(b"")[1])
+
+
+def test_image_query_lists_every_copy_and_class(spark):
+    r = np.random.default_rng(12)
+    vectors = r.normal(size=(60, 64))
+    vectors[10], vectors[7], vectors[17] = vectors[0] + r.normal(size=64) / 100, vectors[0], vectors[10]
+    path = new_path(spark, "embeddings")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
+    rows = {r["vec_id"]: r for r in image_copies.op3_image_copies(spark, path).collect()}
+    assert {i: r["class_id"] for i, r in rows.items()} == {i: {7: 0, 17: 10}.get(i, i) for i in range(60)}
+    assert {i for i, r in rows.items() if r["asked"]} == {0, 50}
+    assert {0, 10} <= {c["class_id"] for c in rows[0]["copies"]} and len(rows[0]["copies"]) == rows[0]["matches"]
+    assert all(r["copies"] is None for r in rows.values() if not r["asked"])
