@@ -1,9 +1,10 @@
 """Local image descriptors: cropped or edited copies among images.
 
-Corners (Harris responses, local maxima) are taken at several scales; each gets an orientation from the intensity
+All corners (Harris responses, local maxima above a threshold) are taken at several scales; each gets an orientation from the intensity
 centroid around it and 240 binary tests of point pairs turned by that orientation. Descriptors meet through
-Hamming tables: ten tables, each keyed by 24 of the bits, so two descriptors are compared if they agree on one
-table's bits. Matches vote by geometric consensus: pairs of keypoints agree on turn, scale and shift in coarse
+Hamming tables: ten tables, each keyed by 24 of the bits and by every key one bit away, so two descriptors are
+compared if they differ in at most one bit of some table's: always up to 19 differing bits, and less often up to
+the 48 that a match may have. Matches vote by geometric consensus: pairs of keypoints agree on turn, scale and shift in coarse
 cells; an image is a copy if enough matches agree.
 
 Queries run in blocks of a bounded number of images against all images: a block's tables go to every task, and
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import mix, pick, stage, unstage
 
-#: Scales, corners of an image and scale, radius of a described patch, query images in a block.
-SCALES, CORNERS, RADIUS, BLOCK = (1.0, 0.75, 0.5), 40, 8, 500
+#: Scales, least response of a corner, radius of a described patch, query images in a block.
+SCALES, RESPONSE, RADIUS, BLOCK = (1.0, 0.75, 0.5), 1.0, 8, 100
 TABLES, TABLE_BITS, MOST_APART, LEAST_AGREE = 10, 24, 48, 6
+#: What is added to a key: nothing, or one bit.
+FLIPS = np.concatenate([[0], 1 << np.arange(TABLE_BITS)]).astype(np.uint32)
 _rng = np.random.default_rng(20262)
 #: Point pairs of the tests, near the middle more often.
 TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (TABLES * TABLE_BITS, 4)), -RADIUS + 1, RADIUS - 1)
@@ -67,8 +70,8 @@ def _blur(a: np.ndarray) -> np.ndarray:
     return (p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]) / 16
 
 
-def corners(g: np.ndarray, most: int) -> np.ndarray:
-    """(y, x) of the strongest local maxima of the Harris response, at least RADIUS + 1 from the edge."""
+def corners(g: np.ndarray) -> np.ndarray:
+    """(y, x) of the local maxima of the Harris response above RESPONSE, at least RADIUS + 1 from the edge."""
     edge = RADIUS + 1
     if min(g.shape) <= 2 * edge:
         return np.zeros((0, 2), int)
@@ -82,9 +85,7 @@ def corners(g: np.ndarray, most: int) -> np.ndarray:
             if dy or dx:
                 near = r[edge + dy : r.shape[0] - edge + dy, edge + dx : r.shape[1] - edge + dx]
                 top &= (inner > near) if (dy, dx) > (0, 0) else (inner >= near)
-    at = np.argwhere(top & (inner > 1.0))
-    order = np.argsort(-inner[at[:, 0], at[:, 1]], kind="stable")[:most]
-    return at[order] + edge
+    return np.argwhere(top & (inner > RESPONSE)) + edge
 
 
 def features(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +96,7 @@ def features(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     for s in SCALES:
         h, w = max(1, round(g0.shape[0] * s)), max(1, round(g0.shape[1] * s))
         g = _blur(resize(g0, h, w) if s != 1 else g0)
-        at = corners(g, CORNERS)
+        at = corners(g)
         if not len(at):
             continue
         patch = g[at[:, :1] + _disc[:, 0], at[:, 1:] + _disc[:, 1]]
@@ -128,8 +129,15 @@ class Tables:
         self.points = np.concatenate([p for _, p, _ in queries] or [np.zeros((0, 4), np.float32)])
         self.desc = np.concatenate([d for _, _, d in queries] or [np.zeros((0, 30), np.uint8)])
         keys = _keys(self.desc)
-        self.order = [np.argsort(keys[:, t], kind="stable") for t in range(TABLES)]
-        self.sorted = [keys[o, t] for t, o in enumerate(self.order)]
+        self.order, self.sorted, self.held = [], [], []
+        for t in range(TABLES):
+            near = (keys[:, t, None] ^ FLIPS).ravel()
+            order = np.argsort(near, kind="stable")
+            self.order.append((order // len(FLIPS)).astype(np.int32))
+            self.sorted.append(near[order])
+            held = np.zeros(1 << TABLE_BITS, bool)
+            held[near] = True
+            self.held.append(np.packbits(held, bitorder="little"))
 
     def matches(self, points: np.ndarray, desc: np.ndarray) -> list[tuple[int, int]]:
         """(query, agreeing matches) of one image, for queries with enough of them."""
@@ -137,10 +145,12 @@ class Tables:
             return []
         keys, pairs = _keys(desc), []
         for t in range(TABLES):
-            lo, hi = (np.searchsorted(self.sorted[t], keys[:, t], side) for side in ("left", "right"))
-            n = hi - lo
-            if n.any():
-                mine = np.repeat(np.arange(len(desc)), n)
+            key = keys[:, t]
+            asks = np.flatnonzero(self.held[t][key >> 3] >> (key & 7).astype(np.uint8) & 1)
+            if len(asks):
+                lo, hi = (np.searchsorted(self.sorted[t], key[asks], side) for side in ("left", "right"))
+                n = hi - lo
+                mine = np.repeat(asks, n)
                 theirs = self.order[t][np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
                 pairs.append(mine.astype(np.int64) << 32 | theirs)
         if not pairs:
@@ -163,12 +173,14 @@ def consensus(owner: np.ndarray, q: np.ndarray, p: np.ndarray, mine: np.ndarray)
     best: dict[int, int] = {}
     for half in (0.0, 0.5):  # cells twice, moved by half a cell
         cell = np.column_stack([owner, np.floor(turn / (np.pi / 4) + half) % 8, np.rint(np.log2(scale) * 2), np.floor(shift / 8 + half)]).astype(np.int64)
-        _, at = np.unique(cell, axis=0, return_inverse=True)
-        seen = np.unique(at.ravel().astype(np.int64) << 32 | mine)
-        for k, n in zip(*np.unique(seen >> 32, return_counts=True)):
-            who = int(owner[np.flatnonzero(at.ravel() == k)[0]]) if n >= LEAST_AGREE else None
-            if who is not None:
-                best[who] = max(best.get(who, 0), int(n))
+        order = np.lexsort(cell.T)
+        fresh = np.r_[True, (cell[order[1:]] != cell[order[:-1]]).any(axis=1)]
+        first = order[fresh]
+        seen = np.unique((np.cumsum(fresh) - 1) << 32 | mine[order])
+        count = np.bincount(seen >> 32, minlength=len(first))
+        for k in np.flatnonzero(count >= LEAST_AGREE):
+            who = int(owner[first[k]])
+            best[who] = max(best.get(who, 0), int(count[k]))
     return sorted(best.items())
 
 

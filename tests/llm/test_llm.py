@@ -367,3 +367,34 @@ def test_image_query_lists_every_copy_and_class(spark):
     assert {i for i, r in rows.items() if r["asked"]} == {0, 50}
     assert {0, 10} <= {c["class_id"] for c in rows[0]["copies"]} and len(rows[0]["copies"]) == rows[0]["matches"]
     assert all(r["copies"] is None for r in rows.values() if not r["asked"])
+
+
+def texture(r, size):
+    """A picture of soft blobs, flatter to the right, so that its strongest corners lie on the left."""
+    g = image_copies.resize(r.normal(size=(size // 6, size // 6)), size, size)
+    return 128 + g * np.linspace(60, 15, size)
+
+
+def test_image_copies_against_all_descriptors():
+    """Rotated, rescaled and noisy copies and small crops of larger images: recall against comparing all descriptors."""
+    r = np.random.default_rng(33)
+    large = [texture(r, 360) for _ in range(2)]
+    asked = {}
+    for i, g in enumerate(large):
+        asked[i, "crop"] = g[200:290, 260:350]
+        asked[i, "turned"] = np.rot90(g[100:220, 100:220])
+        asked[i, "rescaled"] = image_copies.resize(g[40:200, 40:200], 120, 120)
+        asked[i, "noisy"] = g[10:130, 200:320] * 0.9 + r.normal(0, 3, (120, 120))
+    described = [(n, *image_copies.features(image_copies.write_pgm(g))) for n, g in enumerate(asked.values())]
+    tables, brute, got = image_copies.Tables(described), set(), set()
+    bits = np.unpackbits(tables.desc, axis=1).astype(np.float32)
+    for i, g in enumerate(large):
+        points, desc = image_copies.features(image_copies.write_pgm(g))
+        own = np.unpackbits(desc, axis=1).astype(np.float32)
+        apart = own.sum(axis=1)[:, None] + bits.sum(axis=1)[None] - 2 * own @ bits.T
+        mine, theirs = np.nonzero(apart <= image_copies.MOST_APART)
+        brute |= {(q, i) for q, _ in image_copies.consensus(tables.owner[theirs], tables.points[theirs], points[mine], mine)}
+        got |= {(q, i) for q, _ in tables.matches(points, desc)}
+    assert got <= brute and len(got) >= 0.9 * len(brute)
+    for kind in ("crop", "turned", "rescaled", "noisy"):
+        assert sum((n, i) in got for n, (i, k) in enumerate(asked) if k == kind) == len(large), kind
