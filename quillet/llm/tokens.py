@@ -54,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.lower() for t in self.tool.get_added_tokens_decoder().values()]
         self.model, self.names, self.findall = self.tool.model, _byte_names(), PIECES[style].findall
         self.style, self.parts = style, Memo(self._piece)
         self.known = Memo(self._word if style == "word" else self._blank_word)
@@ -75,6 +75,9 @@ class Encoder:
     def _one(self, text: str) -> np.ndarray:
         if not (text.isascii() or not _ODD.search(text)) or (text.isascii() and _CONTROL.search(text)):
             return self._whole(text)
+        low = text.lower()
+        if any(x in low for x in self.added):
+            return self._whole(text)
         if self.style == "word":
             return np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), "<u4")
         if text[0] == " " or text[-1] == " " or any(x in text for x in _LOOSE):

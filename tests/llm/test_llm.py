@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quillet.llm import image_copies, lang_id, mixing, ngram_join, packing, secrets, spotsigs, substring_dedup, token_store, url_filter
+from quillet.llm import image_copies, lang_id, mixing, ngram_join, packing, secrets, spotsigs, substring_dedup, token_store, tokens, url_filter
 from quillet.sources.staging import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d1 int, key string, start int"
@@ -398,3 +398,13 @@ def test_image_copies_against_all_descriptors():
     assert got <= brute and len(got) >= 0.9 * len(brute)
     for kind in ("crop", "turned", "rescaled", "noisy"):
         assert sum((n, i) in got for n, (i, k) in enumerate(asked) if k == kind) == len(large), kind
+
+
+def test_added_tokens_as_the_plain_call():
+    from tokenizers import Tokenizer
+
+    for name, style in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        plain, own = Tokenizer.from_file(public_tokenizers.path(name)), tokens.Encoder(public_tokenizers.path(name), style)
+        marks = [t.content for t in plain.get_added_tokens_decoder().values()]
+        texts_ = [x for m in marks for x in (m, f"cat {m} tree", f"cat{m}tree {m}", f" the {m.upper()} Dog", m[:-1])] + ["a dog < | endoftext"]
+        assert marks and [a.tolist() for a in own.ids(texts_)] == [plain.encode(x, add_special_tokens=False).ids for x in texts_]
