@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import new_path, stage, swept, unstage  # noqa: F401
 
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -30,6 +31,16 @@ def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
 
 
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Let Python workers of this session take texts in batches of few bytes: long texts must not pile up by their number.
+
+    A setting other than Spark's own stays; a longer row is a batch by itself.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(limit))
+
+
 U = np.uint64
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -45,7 +56,3 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 def texts_of(column) -> list[str]:
     """Arrow strings as Python strings; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
-
-
-def ranged(df: DataFrame, spark: SparkSession, key: str = "doc_id") -> DataFrame:
-    return df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(key))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, pick, stage
+from .common import documents, pick, small_batches, stage, texts_of
 from .tokens import encoder
 
 SIZE, PER_PART, ROUNDS = 2048, 20_000, 8
@@ -37,14 +37,15 @@ def piece_rows(docs: DataFrame, path: str, *, size: int = SIZE, end_id: int = 0)
         tail = np.array([end_id], "<u4")
         for b in batches:
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.concatenate([*tool.ids([t.as_py() or ""]), tail]).astype("<u4")
+            for i, found in zip(b.column(0).to_pylist(), tool.ids(texts_of(b.column(1)))):
+                ids = np.concatenate([found, tail]).astype("<u4")
                 rows += [(i, k, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size].tobytes())) for k, at in enumerate(range(0, len(ids), size))]
             if rows:
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
+    small_batches(docs.sparkSession)
     return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -3,7 +3,8 @@
 One frequency table over the whole corpus is shared by all blocks. A block holds whole documents in ascending
 doc_id order and is coded by itself: its ids are dealt to interleaved lanes, each lane a 64-bit state with 32-bit
 renormalisation, and the lanes advance together as arrays. Checkpoints keep the lanes' states and the place in
-the word stream at regular steps, so that one block's segments decode apart; a checksum closes the block.
+the word stream at regular steps, so that one block's segments decode apart (`segment`) or side by side
+(`decode`); a checksum closes the block.
 
 A store is a folder with two Parquet tables. `model`: one row (freq: the scaled table, 32-bit words; scale).
 `blocks`: one row per block (part, seq, n_ids, block); parts ascend in doc_id, as do the blocks of a part. A
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, new_path, pick, stage, swept, unstage
+from .common import documents, new_path, parts_for, pick, small_batches, stage, swept, texts_of, unstage
 from .tokens import encoder
 
-#: Bits of the frequency scale, ids in a block, lanes at most, steps between checkpoints.
-SCALE, BLOCK, LANES, STEPS = 20, 1 << 18, 1024, 128
+#: Bits of the frequency scale, ids in a block, lanes at most, steps between checkpoints, ids in a part of the store.
+SCALE, BLOCK, LANES, STEPS, PART = 20, 1 << 18, 512, 128, 1 << 24
 _U = np.uint64
 _LOW, _HEAD = _U(1 << 31), struct.Struct("<4sIIIIQQQ")
 
@@ -93,9 +94,10 @@ class Coder:
         body = b"".join([*parts, words.astype("<u4").tobytes()])
         return body + struct.pack("<I", zlib.crc32(body))
 
-    def _segment(self, ids: np.ndarray, words: np.ndarray, lanes: int, begin: int, stop: int, at: int, x: np.ndarray) -> None:
+    def _one_segment(self, ids: np.ndarray, words: np.ndarray, lanes: int, steps: int, at: int, x: np.ndarray) -> None:
+        """Decode one segment of so many steps into ids, whose last step may be short."""
         x, mask, shift = x.copy(), _U((1 << self.scale) - 1), _U(self.scale)
-        for t in range(begin, stop):
+        for t in range(steps):
             m = min(lanes, len(ids) - t * lanes)
             k = x[:m]
             slot = k & mask
@@ -107,8 +109,21 @@ class Coder:
             at += len(need)
             x[:m] = k
 
-    def decode(self, block: bytes) -> tuple[int, list[tuple[int | None, np.ndarray]]]:
-        """(first, documents) of a block; ValueError if its checksum fails."""
+    def _segments(self, ids: np.ndarray, words: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
+        """Decode segments side by side: ids (segments, STEPS, lanes), at the place of each in the words, x the lanes' states of each."""
+        mask, shift = _U((1 << self.scale) - 1), _U(self.scale)
+        for t in range(ids.shape[1]):
+            slot = x & mask
+            s = self.symbol[slot.astype(np.int64)]
+            ids[:, t] = s
+            x = self.freq[s] * (x >> shift) + slot - self.start[s]
+            need = x < _LOW
+            place = at[:, None] + np.cumsum(need, axis=1) - 1
+            x[need] = (x[need] << _U(32)) | words[place[need]]
+            at = at + need.sum(axis=1)
+
+    def _read(self, block: bytes):
+        """(first, documents' table, lanes, ids in all, checkpoints (step, place, states), words) of a block; ValueError if its checksum fails."""
         if zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
             raise ValueError("block checksum differs")
         if self.symbol is None:
@@ -124,11 +139,26 @@ class Coder:
         for _ in range(n_marks):
             marks.append((*struct.unpack_from("<IQ", block, at), np.frombuffer(block, "<u8", lanes, at + 12)))
             at += 12 + 8 * lanes
-        words = np.frombuffer(block, "<u4", n_words, at).astype(_U)
-        ids = np.empty(n, np.int64)
-        stops = [t for t, _, _ in marks[1:]] + [-(-n // lanes)]
-        for (t, place, states), stop in zip(marks, stops):
-            self._segment(ids, words, lanes, t, stop, place, states.astype(_U))
+        return first, table, lanes, n, marks, np.frombuffer(block, "<u4", n_words, at).astype(_U)
+
+    def segment(self, block: bytes, k: int) -> np.ndarray:
+        """The ids of a block's k-th segment alone, from its checkpoint; IndexError past the last."""
+        _, _, lanes, n, marks, words = self._read(block)
+        step, place, states = marks[k]
+        stop = marks[k + 1][0] if k + 1 < len(marks) else -(-n // lanes)
+        ids = np.empty(min(n, stop * lanes) - step * lanes, np.int64)
+        self._one_segment(ids, words, lanes, stop - step, place, states.astype(_U))
+        return ids
+
+    def decode(self, block: bytes) -> tuple[int, list[tuple[int | None, np.ndarray]]]:
+        """(first, documents) of a block, its segments decoded side by side from their checkpoints."""
+        first, table, lanes, n, marks, words = self._read(block)
+        ids, last = np.empty(n, np.int64), marks[-1]
+        if len(marks) > 1:
+            steps = marks[1][0]
+            whole = ids[: last[0] * lanes].reshape(len(marks) - 1, steps, lanes)
+            self._segments(whole, words, np.array([m[1] for m in marks[:-1]], np.int64), np.stack([m[2] for m in marks[:-1]]).astype(_U))
+        self._one_segment(ids[last[0] * lanes :], words, lanes, -(-n // lanes) - last[0], last[1], last[2].astype(_U))
         cuts = np.cumsum(table["n"].astype(np.int64))
         return first, [(None if z else int(i), ids[e - c : e].astype("<u4")) for i, z, c, e in zip(table["id"], table["null"], table["n"].astype(np.int64), cuts)]
 
@@ -142,21 +172,17 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
 
         tool, press, tail = encoder(tokenizer, style), zstandard.ZstdCompressor(3), np.array([end_id], np.uint32)
         for b in batches:
-            held, size, ids = [], 0, []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                d = np.concatenate([*tool.ids([t.as_py() or ""]), tail])
-                ids.append(i)
+            held = []
+            for d in tool.ids(texts_of(b.column(1))):
+                d = np.concatenate([d, tail])
                 narrow = d.max() < 65536
                 held.append((b"2" if narrow else b"4") + press.compress(d.astype("<u2" if narrow else "<u4").tobytes()))
-                size += len(held[-1])
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "ids"])
-                    held, size, ids = [], 0, []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["doc_id", "ids"])
 
+    small_batches(spark)
     ids = stage(pick(docs, doc_id="doc_id", text="text").mapInArrow(encode, "doc_id long, ids binary"), "ids")
-    freq = scaled(_counts(ids))
+    counts = _counts(ids)
+    freq = scaled(counts)
     spark.createDataFrame([(bytearray(freq.astype("<u4").tobytes()), SCALE)], "freq binary, scale int").coalesce(1).write.parquet(f"{path}/model")
 
     def blocks(batches):
@@ -176,7 +202,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
         if held:
             yield close()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(spark, int(counts.sum()), PART)
     ordered = ids.repartitionByRange(parts, F.col("doc_id")).sortWithinPartitions("doc_id", "ids")
     with swept(spark):
         ordered.mapInArrow(blocks, "part long, seq long, n_ids long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
@@ -196,8 +222,8 @@ def _counts(ids: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for z in b.column(1):
-                c = np.bincount(_ids(z.as_py()))
+            if b.num_rows:
+                c = np.bincount(np.concatenate([_ids(z.as_py()) for z in b.column(1)]))
                 if len(c) > len(total):
                     total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
                 total[: len(c)] += c

@@ -146,9 +146,7 @@ def test_substring_dedup_odd(odd, empty):
 def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def test_token_store(spark, docs, odd, empty):
@@ -174,6 +172,8 @@ def test_coder_round_trip():
     block = coder.encode(docs, 11)
     first, back = coder.decode(block)
     assert first == 11 and [(i, d.tolist()) for i, d in back] == [(i, d.tolist()) for i, d in docs]
+    apart = [coder.segment(block, k) for k in range(len(coder._read(block)[4]))]  # each from its checkpoint alone
+    assert len(apart) > 3 and np.array_equal(np.concatenate(apart), ids)
     with pytest.raises(ValueError):
         coder.decode(block[:200] + bytes([block[200] ^ 1]) + block[201:])
 
