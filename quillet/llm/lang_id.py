@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, mix, pick
+from .common import documents, mix, pick, small_batches
 
 #: Ranks in a profile, and documents per language that a profile is learned from (a bounded sample by hash).
 PROFILE, TRAIN_DOCS = 300, 2000
+#: Characters that are counted together.
+CHUNK = 1 << 18
 UND = "und"
 _fold: list[np.ndarray] = []
 
@@ -37,28 +39,46 @@ def _letters() -> np.ndarray:
     return _fold[0]
 
 
+def _folded(text: str) -> np.ndarray:
+    """A text's letters in lower case as code points, words set apart by single zeros."""
+    out, zero = [np.zeros(1, np.uint64)], True
+    for at in range(0, len(text), CHUNK):
+        points = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
+        if (high := points > 65535).any():
+            points = np.array([ord(c.lower()[0]) if c.isalpha() else 32 for c in text[at : at + CHUNK]], np.uint32)
+            folded = np.where(high, np.where(points == 32, 0, points), _letters()[np.where(high, 0, points)]).astype(np.uint64)
+        else:
+            folded = _letters()[points].astype(np.uint64)
+        keep = folded != 0
+        keep[1:] |= folded[:-1] != 0
+        keep[0] |= not zero
+        out.append(folded[keep])
+        zero = folded[-1] == 0
+    return np.concatenate([*out, np.zeros(0 if zero else 1, np.uint64)])
+
+
+def _counted(c: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of folded letters that end behind the first `old` ones, with their counts."""
+    one = c[old:]
+    two = ((c[:-1] << np.uint64(21)) | c[1:])[max(old - 1, 0) :]
+    three = (c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:]
+    three = three[c[1:-1] != 0]
+    mark = np.uint64(1) << np.uint64(63)
+    return np.unique(np.concatenate([one[one != 0], two | mark, mix(three, 3) >> np.uint64(1)]), return_counts=True)
+
+
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """The hashes of a text's n-grams in ascending order, and their counts; None without a letter."""
+    """The hashes of a text's n-grams in ascending order, and their counts; None without a letter. Long texts are counted in pieces."""
     if not text:
         return None
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if (high := points > 65535).any():
-        points = np.array([ord(c.lower()[0]) if c.isalpha() else 32 for c in text], np.uint32)
-        folded = np.where(high, np.where(points == 32, 0, points), _letters()[np.where(high, 0, points)]).astype(np.uint64)
-    else:
-        folded = _letters()[points].astype(np.uint64)
-    if not folded.any():
+    c = _folded(text)
+    if not c.any():
         return None
-    padded = np.zeros(len(folded) + 2, np.uint64)
-    padded[1:-1] = folded
-    keep = np.ones(len(padded), bool)
-    keep[1:] = (padded[1:] != 0) | (padded[:-1] != 0)
-    c = padded[keep]
-    two = (c[:-1] << np.uint64(21)) | c[1:]
-    three = (c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:]
-    three = three[c[1:-1] != 0]
-    mark = np.uint64(1) << np.uint64(63)
-    return np.unique(np.concatenate([c[c != 0], two | mark, mix(three, 3) >> np.uint64(1)]), return_counts=True)
+    found = [_counted(c[max(0, at - 2) : at + CHUNK], 2 if at else 0) for at in range(0, len(c), CHUNK)]
+    if len(found) == 1:
+        return found[0]
+    grams, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
 
 
 def ranked(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -75,6 +95,7 @@ def learn(docs: DataFrame, *, size: int = PROFILE, per_lang: int = TRAIN_DOCS) -
 
     What comes to the driver is size n-grams for each language, whatever the input's size.
     """
+    small_batches(docs.sparkSession)
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").filter("lang is not null and text is not null")
     total = rows.groupBy("lang").count().select(F.col("lang").alias("l"), F.least(F.lit(1.0), per_lang / F.col("count")).alias("share"))
     chosen = rows.join(F.broadcast(total), F.col("lang") == F.col("l")).filter(F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
@@ -107,7 +128,9 @@ def distances(grams: np.ndarray, profiles: list[tuple[np.ndarray, np.ndarray]],
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], *, size: int = PROFILE) -> DataFrame:
-    """docs (any columns, among them text) with lang_pred and score appended, from text alone."""
+    """docs (any columns, among them text) with lang_pred and score appended, from text alone; older columns of these names go."""
+    docs = docs.drop("lang_pred", "score")
+    small_batches(docs.sparkSession)
     names = sorted(profiles)
     tables = [(profiles[n][o], o) for n in names for o in [np.argsort(profiles[n])]]
 

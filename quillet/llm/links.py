@@ -11,17 +11,17 @@ from .common import stage, unstage
 EDGES_IN_PART = 200_000
 
 
-def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for edges (a, b): the smallest node that links reach. Nodes without an edge don't appear.
 
     Alternates the large-star and small-star steps: each replaces a node's links by links to its least
     neighbour. Only minima are grouped, so a node with very many links is summed up before any shuffle,
-    and the joins on a node are plain ones that adaptive execution splits. Each round is staged.
+    and the joins on a node are plain ones that adaptive execution splits. Each round is staged; the number of rounds grows with the logarithm of the links.
     """
     now = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     # As many files as rows ask for: rounds over few links are not spread over the session's partitions.
     parts = 1 + now.count() // EDGES_IN_PART
-    for _ in range(max_rounds):
+    while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(F.col("a").alias("n"), "m")
         large = both.join(least, F.col("a") == F.col("n")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -36,7 +36,5 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         now = then
         if done:
             break
-    else:
-        raise RuntimeError(f"links not resolved after {max_rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(now.select("b", "b").distinct())

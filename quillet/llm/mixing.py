@@ -10,12 +10,13 @@ Targets: sources weigh 3, 1, 2, repeating, by code point, null last, and share `
 stops at `most` times its source's size, and the excess is shared out again by weight until no target is above.
 
 Streams are laid out without sorting a source in one task: documents fall in buckets by a hash, a window orders
-each bucket, and the buckets' totals are summed up. One row per source and one per (shard, source) pass the driver,
-at most SHARDS for each source. Reruns agree: all draws come from `seed`, hashes and block counts.
+each bucket, and the buckets' totals are summed up. Shards are the leaves of a tree: the driver makes its root, of one
+count for each source, and tasks draw the children of a node. One row per source passes the driver. Reruns agree: all draws come from `seed`, hashes and block counts.
 
 Defined cases: a null or blank text has size 0 and is taken 0 times. Null sources are one source, last. Rows that
 repeat a doc_id are parts of the stream each for itself; a null doc_id too. Other columns are ignored. An empty
-table gives an empty result. Whole texts count, of any length.
+table gives an empty result. Whole texts count, of any length. `mixed_documents` returns the input's columns, whatever
+their names; rows that agree in id, source and text are parts of the mix each for itself.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, mix, stage
+from .common import documents, mix, parts_for, stage
 
 # The weights by place.
 WEIGHTS = (3, 1, 2)
-#: Words of a block, most output shards, documents of a source in a bucket, most buckets of a source.
-BLOCK, SHARDS, BUCKET, BUCKETS, SEED = 64, 1000, 200, 20_000, 20261
+#: Words of a block, slots of a shard, children of a node of shards, documents of a source in a bucket.
+BLOCK, SLOTS, FAN, BUCKET, SEED = 64, 1000, 64, 2000, 20261
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,16 +58,17 @@ def targets(sizes: list[int], *, share: float = 1.5, most: float = 2.0) -> list[
     return out
 
 
-def draws(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
-    """Slots of each shard by source: multinomials over what remains, cut at it and drawn again; the totals are the quotas."""
-    rng, left, out = np.random.default_rng(seed), np.array(quotas, np.int64), []
-    for shard in range(shards):
-        want = int(left.sum()) // (shards - shard)
+def draws(quotas: list[int], sizes: list[int], seed: int) -> list[list[int]]:
+    """Slots by source of each child of so many shards: multinomials over what remains, cut at it and drawn again; the totals are the quotas."""
+    rng, left, out, rest = np.random.default_rng(seed), np.array(quotas, np.int64), [], sum(sizes)
+    for size in sizes:
+        want = int(left.sum()) * size // rest
         got = np.zeros(len(left), np.int64)
         while (need := want - int(got.sum())) > 0:
             room = left - got
             got += np.minimum(rng.multinomial(need, room / room.sum()), room)
         left -= got
+        rest -= size
         out.append(got.tolist())
     return out
 
@@ -88,15 +90,20 @@ def permuted(k: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _told(source: Column) -> Column:
+    """A source with null told apart, and last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
+
 def streams(docs: DataFrame) -> DataFrame:
     """(row, doc_id, src, size, at): each row's size and the place of its first word in its source's stream.
 
     `row` numbers the rows; src is the source with null told apart.
     """
-    src = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
+    src = _told(F.col("source"))
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("h"))
     rows = stage(rows.select("doc_id", src.alias("src"), "size", "h"), "sizes")
-    buckets = min(BUCKETS, 1 + rows.count() // BUCKET)
+    buckets = 1 + rows.count() // BUCKET
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "h"), F.lit(buckets)))
     totals = rows.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("src").orderBy("bucket")) - F.col("n")
@@ -114,25 +121,42 @@ def plan(laid: DataFrame, *, block: int = BLOCK, seed: int = SEED) -> tuple[Data
     blocks = [-(-n // block) for n in sizes]
     quotas = [min(2 * b, round(t / n * b)) if n else 0 for t, b, n in zip(wanted, blocks, sizes)]
     sources = spark.createDataFrame([(s, i, n, t, b) for i, ((s, n), t, b) in enumerate(zip(found, wanted, blocks))], "src string, number int, source_size long, target double, blocks long")
-    shards = min(SHARDS, 1 + sum(quotas) // 1000)
-    rows, given = [], [0] * len(quotas)
-    for shard, counts in enumerate(draws(quotas, shards, seed)):
-        for i, c in enumerate(counts):
-            if c:
-                rows.append((shard, i, given[i], c, blocks[i], seed))
-                given[i] += c
-    parts = spark.createDataFrame(rows, "shard int, number int, first long, n long, blocks long, seed long").repartition(min(len(rows) or 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-    def run(batches):
+    shards = 1 + sum(quotas) // SLOTS
+    node = "shard long, shards long, first array<long>, n array<long>"
+    nodes, parts = spark.createDataFrame([(0, shards, [0] * len(quotas), quotas)], node), parts_for(spark, shards, 1000)
+
+    def split(batches):
+        """The children of nodes, a multinomial each; a node of one shard stays."""
+        for b in batches:
+            out = []
+            for shard, many, first, n in zip(*(c.to_pylist() for c in b.columns)):
+                sizes = [many * (i + 1) // FAN - many * i // FAN for i in range(FAN)] if many > FAN else [1] * many
+                given = np.array(first, np.int64)
+                for size, got in zip(sizes, draws(n, sizes, [seed, shard, many]) if many > 1 else [n]):
+                    out.append((shard, size, given.tolist(), got))
+                    given += got
+                    shard += size
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["shard", "shards", "first", "n"])
+
+    reach = 1
+    while reach < shards:
+        nodes, reach = nodes.mapInArrow(split, node).repartition(parts, "shard"), reach * FAN
+
+    def slots(batches):
         for b in batches:
-            for shard, number, first, n, blocks_, seed_ in zip(*(b.column(i).to_pylist() for i in range(6))):
-                k = np.arange(first, first + n)
-                turn, image = k // blocks_, np.empty(n, np.int64)
-                for p in np.unique(turn):
-                    image[turn == p] = permuted(k[turn == p] - p * blocks_, blocks_, int(mix(np.array([seed_ * 1_000_003 + number * 1009 + p], np.uint64))[0]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(n)), pa.array(np.full(n, number, np.int32)), pa.array(turn.astype(np.int32)), pa.array(image)], names=["shard", "slot", "number", "pass", "block"])
+            for shard, _, firsts, counts in zip(*(c.to_pylist() for c in b.columns)):
+                rows = []
+                for number, (first, n) in enumerate(zip(firsts, counts)):
+                    k = np.arange(first, first + n)
+                    turn, image = k // max(blocks[number], 1), np.empty(n, np.int64)
+                    for p in np.unique(turn):
+                        image[turn == p] = permuted(k[turn == p] - p * blocks[number], blocks[number], int(mix(np.array([seed * 1_000_003 + number * 1009 + p], np.uint64))[0]))
+                    rows.append((np.full(n, shard), np.arange(n), np.full(n, number, np.int32), turn.astype(np.int32), image))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["shard", "slot", "number", "pass", "block"])
 
-    return sources, parts.mapInArrow(run, "shard int, slot long, number int, pass int, block long")
+    return sources, nodes.mapInArrow(slots, "shard long, slot long, number int, pass int, block long")
 
 
 def pieces(laid: DataFrame, sources: DataFrame, *, block: int = BLOCK) -> DataFrame:
@@ -163,17 +187,19 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     sources, slots = plan(laid)
     drawn = slots.select("number", "block", "pass").join(pieces(laid, sources), ["number", "block"])
     cuts = drawn.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("begin", "words"))).alias("cuts"), F.sum("words").alias("n"))
-    keyed = laid.select("row", F.col("doc_id").alias("cut_id"), F.col("h").alias("cut_h"), "size").join(cuts, "row")
-    # Rows that agree in id and text hold different places in a stream; each such row of docs meets one of them.
-    turn = F.row_number().over(Window.partitionBy("cut_id", "cut_h").orderBy("row"))
-    first = laid.select("row", F.col("doc_id").alias("cut_id"), F.col("h").alias("cut_h")).withColumn("copy", turn).select("row", "copy")
-    keyed = keyed.join(first, "row")
-    mine = Window.partitionBy("doc_id", "h_").orderBy("doc_id")
-    texts = docs.withColumn("h_", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("copy_", F.row_number().over(mine))
-    on = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("h_") == F.col("cut_h")) & (F.col("copy_") == F.col("copy"))
-    rows = texts.join(keyed, on)
-    white = F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     "))
+    keyed = laid.select("row", F.col("doc_id").alias("cut_id"), F.col("h").alias("cut_h"), F.col("src").alias("cut_src"), "size").join(cuts, "row")
+    # Rows that agree in id, source and text hold different places in a stream; each such row of docs meets one of them.
+    turn = F.row_number().over(Window.partitionBy("doc_id", "h", "src").orderBy("row"))
+    keyed = keyed.join(laid.select("row", turn.alias("copy")), "row")
+    mine = Window.partitionBy("own_id", "own_h", "own_src").orderBy("own_id")
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_h"), _told(F.col("source")).alias("own_src"))
+    rows = rows.withColumn("own_copy", F.row_number().over(mine))
+    on = F.col("own_id").eqNullSafe(F.col("cut_id")) & (F.col("own_h") == F.col("cut_h")) & (F.col("own_src") == F.col("cut_src")) & (F.col("own_copy") == F.col("copy"))
+    rows = rows.join(keyed, on)
+    text = F.col("whole.text")
+    white = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))
     taken = lambda w: F.flatten(F.transform("cuts", lambda c: F.slice(w, (c["begin"] + 1).cast("int"), c["words"].cast("int"))))
     words = F.element_at(F.transform(F.array(F.split(white, " +")), taken), 1)  # split once for all cuts
-    rows = rows.withColumn("text", F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " ")))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = rows.withColumn("mixed", F.when(F.col("n") == F.col("size"), text).otherwise(F.array_join(words, " ")))
+    made = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
+    return rows.select(*[made.get(c, F.col("whole")[c]).alias(c) for c in docs.columns])

@@ -19,26 +19,33 @@ A document's set holds its distinct 5-word shingles, as 64-bit hashes. Two docum
    kept out. A group that pairs nothing has no pair left that could link its components, and components only
    grow, so it is done; when all are, no link is lost.
 
+Classes are named by 64 bits of their digest; should two digests of a corpus agree in those, all is hashed anew.
+Shingles are 64-bit hashes: two of a corpus of N collide with N^2 / 2^65, which shifts one likeness by one shingle.
+
 Defined cases: null or blank text: empty set, no link, its own component. Fewer than five words: the whole
-sequence is the one shingle. Rows that repeat a doc_id are judged each by its
-own text; a class is named by its smallest doc_id. A null doc_id links with nothing and has
-a null component. Empty tables give empty results; other columns are ignored; texts count whole.
+sequence is the one shingle. Rows that repeat a doc_id are judged each by its own text. Rows with a null doc_id
+take part; a component's id is its smallest doc_id, null if it has none. Empty tables give empty results; other
+columns are ignored, whatever their names; texts count whole.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, pick, release, stage, unstage
+from .common import documents, mix, parts_for, pick, release, small_batches, stage, unstage
 from .links import components
 
-#: Text bytes that are hashed together; first rounds, over one group for each class; most rounds.
-CHUNK, EARLY, ROUNDS = 1 << 20, 1, 60
+#: Text bytes that are hashed together; first rounds, over one group for each class.
+CHUNK, EARLY = 1 << 19, 1
 #: Documents that common shingles are fitted on, about, and the number of different ones among them that makes a shingle common.
 COMMON_DOCS, COMMON_IN = 4000, 5
+#: Shingles whose keys are made together, classes that a task remembers as sent, rows of a key held before they leave, key rows in a partition.
+TOGETHER, SENT, HELD, PART = 200_000, 100_000, 1 << 16, 2_000_000
 _U = np.uint64
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -107,34 +114,47 @@ def sets(texts: list[str | None], width: int = 5):
         yield from flush()
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    return int(np.bitwise_xor.reduce(mix(s, 4)).view(np.int64)), int(mix(s, 5).sum(dtype=_U).view(np.int64))
+def digest(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    return int(np.bitwise_xor.reduce(mix(s, 4 + 1000 * salt)).view(np.int64)), int(mix(s, 5).sum(dtype=_U).view(np.int64))
 
 
 def band(n: int) -> int:
     return max(n, 1).bit_length() - 1
 
 
-def keys(s: np.ndarray, common: np.ndarray, percent: int = 80) -> np.ndarray:
-    """The keys of a set: 64-bit words for band, part and the XOR of the part's shingles; common: sorted hashes."""
-    n, out = len(s), []
-    level = band(n)
-    rare = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s if len(common) else np.ones(n, bool)
-    for at in (level, level - 1) if level and n * percent < 100 * 2**level else (level,):
+def keys_of(found: list[np.ndarray], common: np.ndarray, percent: int = 80) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of non-empty sets, and which set each is of: 64-bit words for band, part and the XOR of the part's shingles; common: sorted hashes."""
+    n, s = np.array([len(x) for x in found]), np.concatenate(found)
+    own, level = np.repeat(np.arange(len(n)), n), np.frexp(n)[1].astype(np.int64) - 1
+    rare = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s if len(common) else np.ones(len(s), bool)
+    out = []
+    for lower in (0, 1):
+        sets_ = np.flatnonzero((level > 0) & (n * percent < 100 << level)) if lower else np.arange(len(n))
+        if not len(sets_):
+            continue
+        place = np.full(len(n), -1)
+        place[sets_] = np.arange(len(sets_))
+        mine = np.flatnonzero(place[own] >= 0)
+        x, o, at = s[mine], place[own[mine]], level[sets_] - lower
         # a pair that links differs in at most this many shingles: the smaller set, in band `at`, holds all the rest
-        allowed = min(n, 2 * 2**at - 1) * (100 - percent) // percent
-        m = -(-124 * 2 * 2**at * (100 - percent) // (100 * percent)) + 2
-        part = (mix(s, 100 + at) % _U(m)).astype(np.int64)
-        count, telling = np.bincount(part, minlength=m), np.bincount(part[rare], minlength=m)
-        order = np.argsort(part, kind="stable")
-        xors = np.zeros(m, _U)
-        full = np.flatnonzero(count)
-        xors[full] = np.bitwise_xor.reduceat(mix(s, 7)[order], np.concatenate([[0], np.cumsum(count[full])[:-1]]))
+        allowed = np.minimum(n[sets_], (2 << at) - 1) * (100 - percent) // percent
+        m = -(-124 * (2 << at) * (100 - percent) // (100 * percent)) + 2
+        first = np.cumsum(m) - m
+        part = (mix(x + (100 + at[o]).astype(_U) * _U(0x9E3779B97F4A7C15)) % m[o].astype(_U)).astype(np.int64) + first[o]
+        count, telling = np.bincount(part, minlength=m.sum()), np.bincount(part[rare[mine]], minlength=m.sum())
+        xors, full = np.zeros(len(count), _U), np.flatnonzero(count)
+        xors[full] = np.bitwise_xor.reduceat(mix(x, 7)[np.argsort(part)], np.cumsum(count[full]) - count[full])
         kind = np.where(count >= 2, np.where(telling > 0, 0, 1), np.where(count == 1, np.where(telling > 0, 2, 3), 4))
-        beyond = m - np.cumsum(np.bincount(kind, minlength=5))
-        sent = np.flatnonzero(kind <= int(np.argmax(beyond < m - allowed)))
-        out.append(mix(xors[sent] ^ mix(np.array([at], _U), 13), 8) ^ mix(sent.astype(_U) + _U(at << 40), 9))
-    return np.concatenate(out)
+        by = np.repeat(np.arange(len(m)), m)
+        beyond = m[:, None] - np.cumsum(np.bincount(by * 5 + kind, minlength=5 * len(m)).reshape(-1, 5), axis=1)
+        sent = np.flatnonzero(kind <= np.argmax(beyond < (m - allowed)[:, None], axis=1)[by])
+        to, of = by[sent], at[by[sent]].astype(_U)
+        out.append((mix(xors[sent] ^ mix(of, 13), 8) ^ mix((sent - first[to]).astype(_U) + (of << _U(40)), 9), sets_[to]))
+    return np.concatenate([k for k, _ in out]), np.concatenate([i for _, i in out])
+
+
+def keys(s: np.ndarray, common: np.ndarray, percent: int = 80) -> np.ndarray:
+    return keys_of([s], common, percent)[0]
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -148,16 +168,21 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=schema.split())
 
 
-def classes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, d1, d2): each document's set size and digest."""
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text) of documents: th, a hash of the text, tells rows of one doc_id apart."""
+    return pick(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
+def classes(docs: DataFrame, width: int, salt: int) -> DataFrame:
+    """(doc_id, th, n, d1, d2): each row's set size and digest."""
 
     def run(batches):
         for b in batches:
-            rows = [(len(s), *digest(s)) for s in sets(b.column(1).to_pylist(), width)]
+            rows = [(len(s), *digest(s, salt)) for s in sets(b.column(2).to_pylist(), width)]
             n, d1, d2 = zip(*rows) if rows else ((), (), ())
-            yield _batch("doc_id n d1 d2", b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()))
+            yield _batch("doc_id th n d1 d2", b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return docs.mapInArrow(run, "doc_id long, th long, n long, d1 long, d2 long")
 
 
 def common_shingles(docs: DataFrame, rows: int, width: int) -> np.ndarray:
@@ -169,64 +194,81 @@ def common_shingles(docs: DataFrame, rows: int, width: int) -> np.ndarray:
                 if len(s):
                     yield _batch("h d1", pa.array(s.view(np.int64)), pa.array(np.full(len(s), digest(s)[0], np.int64)))
 
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(1 + rows // COMMON_DOCS)) == 0)
+    sample = docs.filter(F.pmod(F.xxhash64(F.lit("common"), "doc_id", "th"), F.lit(1 + rows // COMMON_DOCS)) == 0)
     counts = sample.select("doc_id", "text").mapInArrow(run, "h long, d1 long").distinct().groupBy("h").count()
     return np.sort(np.array([r[0] for r in counts.filter(F.col("count") >= COMMON_IN).select("h").collect()], np.int64).view(_U))
 
 
-def key_rows(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(key, d1, n) of each class, sent once by each task that holds it."""
+def key_rows(docs: DataFrame, common: np.ndarray, width: int, percent: int, salt: int) -> DataFrame:
+    """(key, d1) of each class, mostly sent once by each task that holds it."""
 
     def run(batches):
         seen: set[int] = set()
-        for b in batches:
-            k, d, n = [], [], []
-            for s in sets(b.column(1).to_pylist(), width):
-                if len(s) and (d1 := digest(s)[0]) not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(d1)
-                    k.append(keys(s, common, percent))
-                    d.append(np.full(len(k[-1]), d1, np.int64))
-                    n.append(np.full(len(k[-1]), len(s), np.int32))
-                if len(k) >= 500:
-                    yield _batch("key d1 n", *(pa.array(np.concatenate(x)) for x in ([x.view(np.int64) for x in k], d, n)))
-                    k, d, n = [], [], []
-            if k:
-                yield _batch("key d1 n", *(pa.array(np.concatenate(x)) for x in ([x.view(np.int64) for x in k], d, n)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, d1 long, n int")
+        def rows(held, names):
+            key, of = keys_of(held, common, percent)
+            return _batch("key d1", pa.array(key.view(np.int64)), pa.array(np.array(names, np.int64)[of]))
 
-
-def grouped(rows: DataFrame) -> DataFrame:
-    """(key, d1, n) of the keys that several classes send."""
-    spark = rows.sparkSession
-    ordered = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "d1")
+        for b in batches:
+            held, names, size = [], [], 0
+            for s in sets(b.column(0).to_pylist(), width):
+                if len(s) and (d1 := digest(s, salt)[0]) not in seen:
+                    if len(seen) < SENT:
+                        seen.add(d1)
+                    held.append(s)
+                    names.append(d1)
+                    size += len(s)
+                    if size > TOGETHER:
+                        yield rows(held, names)
+                        held, names, size = [], [], 0
+            if held:
+                yield rows(held, names)
+
+    return docs.select("text").mapInArrow(run, "key long, d1 long")
+
+
+def grouped(rows: DataFrame, parts: int) -> DataFrame:
+    """(key, d1) of the keys that several classes send; a very common key may repeat some of its classes."""
+    ordered = rows.repartition(parts, "key").sortWithinPartitions("key")  # by one word, so Spark sorts by radix
+
+    def several(k, d, open_):
+        """The distinct rows of runs with several classes, and whether the last run is one; open_: the first run was one before."""
+        near = np.zeros(len(k), bool)
+        near[1:] = k[1:] == k[:-1]
+        near[:-1] |= near[1:]
+        if open_:
+            near |= k == k[0]
+        at = np.flatnonzero(near)
+        at = at[np.lexsort((d[at], k[at]))]
+        k, d = k[at], d[at]
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+        k, d = k[fresh], d[fresh]
+        hit = np.zeros(len(k), bool)
+        hit[1:] = k[1:] == k[:-1]
+        hit[:-1] |= hit[1:]
+        if open_ and len(k):
+            hit |= k == open_[0]
+        return k[hit], d[hit]
 
     def run(batches):
-        before = None  # the last row, and whether it was sent
+        k, d, open_ = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # rows of the last key so far; it, if some have left
         for b in batches:
-            k, d, n = (b.column(i).to_numpy() for i in range(3))
+            k, d = np.concatenate([k, b.column(0).to_numpy()]), np.concatenate([d, b.column(1).to_numpy()])
             if not len(k):
                 continue
-            fresh = np.ones(len(k), bool)  # not the row before again
-            fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-            if before is not None:
-                fresh[0] = (k[0], d[0]) != before[:2]
-            k, d, n = k[fresh], d[fresh], n[fresh]
-            if not len(k):
-                continue
-            same = k[1:] == k[:-1]
-            hit = np.zeros(len(k), bool)
-            hit[1:] |= same
-            hit[:-1] |= same
-            if before is not None and before[0] == k[0]:
-                hit[0] = True
-                if not before[3]:
-                    yield _batch("key d1 n", *(pa.array([x], pa.int64()) for x in before[:3]))
-            yield _batch("key d1 n", *(pa.array(x[hit].astype(np.int64)) for x in (k, d, n)))
-            before = (k[-1], d[-1], n[-1], bool(hit[-1]))
+            tail = int(np.searchsorted(k, k[-1]))
+            if tail:
+                yield _batch("key d1", *(pa.array(x) for x in several(k[:tail], d[:tail], open_)))
+                k, d, open_ = k[tail:], d[tail:], None
+            if len(k) > HELD and len(d := np.unique(d)) > HELD // 2:
+                yield _batch("key d1", pa.array(np.full(len(d), k[0])), pa.array(d))
+                open_, d = (k[0],), d[:1]
+            k = k[: len(d)]
+        if len(k):
+            yield _batch("key d1", *(pa.array(x) for x in several(k, d, open_)))
 
-    return ordered.mapInArrow(run, "key long, d1 long, n long")
+    return ordered.mapInArrow(run, "key long, d1 long")
 
 
 def _fold(sk: bytes, size: int) -> np.ndarray:
@@ -239,8 +281,7 @@ def proposed(members: DataFrame, percent: int, wide: int) -> DataFrame:
     wide 0: each member's nearest; 1: the nearest in each other component; 2: all.
     members: (key, d1, n, c, sk, no), no: classes that d1 was already found not to link with.
     """
-    spark = members.sparkSession
-    ordered = members.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "c", "d1")
+    ordered = members.repartition("key").sortWithinPartitions("key", "c", "d1")
 
     def meet(group):
         root = np.array([g[3] for g in group])
@@ -284,51 +325,57 @@ def proposed(members: DataFrame, percent: int, wide: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb) of the pairs of classes (a, b) that link; held: (d1, node, s) with each class's sorted shingle hashes."""
-    one = held.select(F.col("d1").alias("a"), F.col("node").alias("na"), F.col("s").alias("sa"))
-    two = held.select(F.col("d1").alias("b"), F.col("node").alias("nb"), F.col("s").alias("sb"))
+    """The pairs of classes (a, b) that link; held: (d1, s) with each class's sorted shingle hashes."""
+    one = held.select(F.col("d1").alias("a"), F.col("s").alias("sa"))
+    two = held.select(F.col("d1").alias("b"), F.col("s").alias("sb"))
 
     def near(batches):
         for b in batches:
             good = []
-            for x, y in zip(b.column(4), b.column(5)):
+            for x, y in zip(b.column(2), b.column(3)):
                 s, t = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             rows = b.filter(pa.array(good, pa.bool_()))
-            yield _batch("a b na nb", *(rows.column(i) for i in range(4)))
+            yield _batch("a b", rows.column(0), rows.column(1))
 
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
-    return joined.mapInArrow(near, "a long, b long, na long, nb long")
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+    return joined.mapInArrow(near, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for docs (doc_id, text, ...)."""
+def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of hashed() documents: (doc_id, th, n, d1) of all rows, staged; (d1, doc_id, th, c) of each class of a non-empty set: its least row and its component."""
     if not 50 <= percent < 100:
         raise ValueError("percent must be from 50 to 99: a partner is then in a set's band or the next")
-    docs = pick(docs, doc_id="doc_id", text="text")
-    told = stage(classes(docs, width), "sets")
-    full = told.filter("n > 0 and doc_id is not null")
-    reps = stage(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "classes")
-    known = docs.filter("doc_id is not null")
-    common = common_shingles(known, told.count(), width)
-    groups = stage(grouped(key_rows(known, common, width, percent)), "groups")
-    named = reps.join(groups.select("d1").distinct(), "d1").select(F.col("node").alias("doc_id"), "d1")
+    spark = docs.sparkSession
+    small_batches(spark)
+    for salt in itertools.count():
+        told = stage(classes(docs, width, salt), "sets")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r")
+        reps = stage(told.filter("n > 0").groupBy("d1").agg(least, F.min("n").alias("n"), (F.min("d2") != F.max("d2")).alias("two")), "classes")
+        if reps.filter("two").isEmpty():
+            break
+        unstage(told, reps)
+    reps = reps.select("d1", "n", "r.doc_id", "r.th")
+    common = common_shingles(docs, told.count(), width)
+    groups = stage(grouped(key_rows(docs, common, width, percent, salt), parts_for(spark, reps.agg(F.sum("n")).first()[0] or 0, PART)), "groups")
+    named = reps.join(groups.select("d1").distinct(), "d1").select(F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"), F.col("d1").alias("rep"))
 
     def with_sets(batches):
         for b in batches:
-            out = []
-            for node, d1, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), sets(b.column(1).to_pylist(), width)):
-                if digest(s)[0] == d1:
-                    out.append((d1, node, s.tobytes(), sketch(s)))
+            out = [(d1, len(s), s.tobytes(), sketch(s)) for d1, s in zip(b.column(1).to_pylist(), sets(b.column(0).to_pylist(), width))]
             if out:
-                d, n, s, k = zip(*out)
-                yield _batch("d1 node s sk", pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.binary()), pa.array(k, pa.binary()))
-
-    held = stage(known.join(named, "doc_id").select("doc_id", "text", "d1").mapInArrow(with_sets, "d1 long, node long, s binary, sk binary"), "held")
-    at, tested, links, linked = held.select("d1", "sk", F.col("node").alias("c")), None, None, None
-    for turn in range(ROUNDS):
-        rows = groups.join(at.select("d1", "c"), "d1")
+                yield _batch("d1 n s sk", *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))))
+
+    own = docs.join(named, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("text", "rep")
+    held = stage(own.mapInArrow(with_sets, "d1 long, n long, s binary, sk binary"), "held")
+    if not held.groupBy("d1").count().filter("count > 1").isEmpty():  # rows that agree in id and text
+        once = stage(held.dropDuplicates(["d1"]), "held")
+        unstage(held)
+        held = once
+    at, tested, links, linked = held.select("d1", "n", "sk", F.col("d1").alias("c")), None, None, None
+    for turn in itertools.count():
+        rows = groups.join(at.select("d1", "n", "c"), "d1")
         count = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min("n").alias("small"), F.max("n").alias("large"))
         apart = count.filter(f"lo <> hi and (m > 2 or 100 * small >= {percent} * large)").select("key")
         rows = rows.join(apart, "key")
@@ -338,7 +385,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         if tested is None:
             rows = rows.select("*", F.lit(None).cast("array<bigint>").alias("no"))
         else:
-            failed = tested.join(links.select("a", "b"), ["a", "b"], "left_anti").groupBy("a").agg(F.collect_list("b").alias("no"))
+            failed = tested.join(links, ["a", "b"], "left_anti").groupBy("a").agg(F.collect_list("b").alias("no"))
             rows = rows.join(failed.select(F.col("a").alias("d1"), "no"), "d1", "left")
         found = stage(proposed(rows, percent, min(2, max(0, turn - EARLY))), "pairs")
         if found.isEmpty():
@@ -350,18 +397,46 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         tested, links = (pairs, good) if tested is None else (tested.union(pairs), links.union(good))
         if linked is not None:
             unstage(linked)
-        linked = stage(components(links.select(F.col("na").alias("a"), F.col("nb").alias("b"))), "components")
-        at = held.join(linked, "node", "left").select("d1", "sk", F.coalesce("component", "node").alias("c"))
+        linked = stage(components(links), "components")
+        at = held.join(linked, held["d1"] == linked["node"], "left").select("d1", "n", "sk", F.coalesce("component", "d1").alias("c"))
         if turn >= EARLY:
             groups = stage(groups.join(found.select("key").distinct(), "key", "left_semi"), "groups")
-        release(groups.sparkSession)
-    else:
-        raise RuntimeError(f"components not settled after {ROUNDS} rounds")
-    if linked is None:
-        linked = told.sparkSession.createDataFrame([], "node long, component long")
+        release(spark)
     unstage(held)
-    nodes = told.join(reps.select("d1", "d2", "node"), ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return nodes.join(linked, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+    if linked is None:
+        return told.select("doc_id", "th", "n", "d1"), reps.select("d1", "doc_id", "th", F.col("d1").alias("c"))
+    named = reps.join(linked, reps["d1"] == linked["node"], "left").select("d1", "doc_id", "th", F.coalesce("component", "d1").alias("c"))
+    return told.select("doc_id", "th", "n", "d1"), named
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for docs (doc_id, text, ...)."""
+    told, named = linked_classes(hashed(docs), width, percent)
+    least = named.groupBy("c").agg(F.min("doc_id").alias("least"))
+    labels = named.join(least, "c").select("d1", "least")
+    rows = told.join(labels, "d1", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def survivors(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, all columns kept: that with the smallest doc_id (null last; of equals, by a hash of the text).
+
+    Rows without words link with nothing, so all of them stay. Rows that agree in doc_id and text are one document.
+    """
+    told, named = linked_classes(hashed(docs), width, percent)
+    least = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"))
+    stays = least.select(F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), F.lit(True).alias("stays"))
+    each = told.filter("n > 0").groupBy("doc_id", "th").agg(F.count("*").alias("copies"))
+    judged = each.join(stays, each["doc_id"].eqNullSafe(stays["doc_id"]) & (each["th"] == stays["th"]), "left").select(each["doc_id"], each["th"], "copies", "stays")
+    judged = stage(judged.filter("stays is null or copies > 1").select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), "stays"), "judged")
+    mine = [F.col(c) for c in docs.columns]
+    keyed = docs.select(F.struct(*mine).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_th"))
+    same = F.col("own_id").eqNullSafe(F.col("k_id")) & (F.col("own_th") == F.col("k_th"))
+    out = keyed.join(judged, same, "left_anti").select("row.*")
+    if judged.filter("stays").isEmpty():
+        return out
+    again = keyed.join(judged.filter("stays"), same, "left_semi").dropDuplicates(["own_id", "own_th"])
+    return out.union(again.select("row.*"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

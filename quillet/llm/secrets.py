@@ -176,20 +176,22 @@ def _said(spans: Column) -> Column:
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span of scan()'s result replaced by a mark and n_chars renewed where text changed."""
-    text = F.col("text")
+    text = F.col("whole.text")
 
     def step(acc, x):
         gap = F.when(x["start"] >= acc["pos"], F.concat(F.substr(text, acc["pos"] + 1, x["start"] - acc["pos"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["pos"], x["stop"]).alias("pos"), F.concat(acc["out"], gap).alias("out"))
 
     hits = found.filter(F.size("secret_spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("secret_spans").alias("spans"))
-    hits = hits.select(F.col("doc_id").alias("hit_id"), "text_hash", "spans")
-    on = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_hash"))
-    rows = docs.join(hits, on, "left")
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+    rows = rows.join(hits, F.col("own_id").eqNullSafe(hits["doc_id"]) & (F.col("own_hash") == hits["text_hash"]), "left")
     whole = F.aggregate("spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1)))
-    rows = rows.withColumn("text", F.when(F.col("spans").isNotNull(), whole).otherwise(text))
-    size = F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumn("n_chars", size).select(*docs.columns)
+    hit = F.col("spans").isNotNull()
+    rows = rows.withColumn("clean", F.when(hit, whole).otherwise(text))
+    made = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(hit, F.length("clean").cast("long")).otherwise(F.col("whole.n_chars"))
+    return rows.select(*[made.get(c, F.col("whole")[c]).alias(c) for c in docs.columns])
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,10 +99,32 @@ def test_ngram_join_families(spark):
 
 def test_ngram_join_odd(odd, empty):
     rows = ngram_join.near_duplicates(odd).collect()
-    assert len(rows) == 5 and all((r["component_id"] is None) == (r["doc_id"] is None) for r in rows)
+    n = len(shingles(make_text(5, 80)))  # a null id with a text takes part; without words it is alone
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in rows) == [(0, 0, 0), (0, n, 3), (3, 1, 3), (3, n, 3), (3, n, 3)]
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_ngram_join_tells_rows_of_one_id_apart(spark):
+    """Repeated ids with other texts neither link nor fall together."""
+    a, b = make_text(50, 90), make_text(51, 90)
+    rows = [(1, a), (3, a + " more"), (3, b), (5, b.upper()), (None, b + " more"), (None, make_text(52, 50)), (None, make_text(52, 50)), (7, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "own_id", "d1", "th", "stays", "whole")})
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in ngram_join.near_duplicates(df).collect())
+    size = lambda t: len(shingles(t))
+    assert got == sorted([(1, size(a), 1), (3, size(a + " more"), 1), (3, size(b), 3), (5, size(b), 3), (0, size(b + " more"), 3), (0, size(rows[5][1]), 0), (0, size(rows[5][1]), 0), (7, 0, 7), (7, 0, 7)])
+    kept = ngram_join.survivors(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect()) == sorted([(1, a), (3, b), (0, rows[5][1]), (7, ""), (7, "")])
+
+
+def test_very_common_keys_leave_in_parts(spark, monkeypatch):
+    """grouped() on keys with very many classes, across batches: no class of a shared key is lost, no single one sent."""
+    monkeypatch.setattr(ngram_join, "HELD", 50)
+    rows = [(1, d) for d in range(25_000)] * 2 + [(2, 5)] * 3 + [(3, 1), (3, 2), (3, 2)] + [(k, k) for k in range(10, 12_000)]
+    got = ngram_join.grouped(spark.createDataFrame(rows, "key long, d1 long").repartition(4), 1).collect()
+    assert {(r["key"], r["d1"]) for r in got} == {(1, d) for d in range(25_000)} | {(3, 1), (3, 2)} and len(got) < 60_000
+
+
 def test_keys_of_linked_sets_meet():
     r = np.random.default_rng(1)
     for _ in range(300):
