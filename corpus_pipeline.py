@@ -23,10 +23,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; a document with a null id is in no group and stays."""
-    groups = ngram_join.near_duplicates(docs)
-    out = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(out, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates, that of the smallest doc_id (null last); rows without words stay."""
+    return ngram_join.survivors(docs.select(*COLUMNS))
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
