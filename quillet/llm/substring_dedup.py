@@ -19,10 +19,12 @@ Last, a scan over the levels finds suffix starts that several different entries
 shorter or longer than a run, so their single windows are hashed from the texts (a few per cent of all bytes),
 sorted with their places, and all but the earliest of each kind are cuts.
 
-Equality is by hash: 96 bits for entries, 64 for windows. Defined cases: null text counts as empty; texts shorter than LENGTH bytes
-lose nothing by themselves; null doc_ids come after all others, as one document; rows that repeat a doc_id are one
-document in order (the same start is not earlier), so a repeated row keeps what its first copy keeps. Other
-columns are ignored; an empty table gives an empty result; texts count whole.
+Equality is by hash, 96 bits for entries and windows: of N of them, about N^2 / 2^97 pairs are wrongly taken as equal
+(under one in ten thousand runs over 100 TB). Defined cases: null text counts as empty; texts shorter than LENGTH
+bytes lose nothing by themselves. Where a doc_id repeats or is null, rows are numbered in order of (doc_id, null
+last, hash of the text) and are documents each for itself, so a repeated row loses what its first copy keeps, and
+rows of one id with other texts do not touch each other. Other columns are ignored; an empty table gives an empty
+result; texts count whole.
 """
 
 from __future__ import annotations
@@ -34,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, new_path, release, stage, swept
+from .common import documents, mix, new_path, pick, release, small_batches, stage, swept
 from .ngram_join import _power
 
-LENGTH, SEED, BATCHES = 100, 40, 4
+#: Bytes of a string, bytes of a minimizer, least batches, characters of a batch beyond those.
+LENGTH, SEED, BATCHES, BATCH_CHARS = 100, 40, 4, 1 << 38
 _U = np.uint64
-_BYTE = mix(np.arange(256, dtype=_U), 21)
-_LAST = 2**63 - 1
+_BYTE, _BYTE2 = mix(np.arange(256, dtype=_U), 21), mix(np.arange(256, dtype=_U), 22)
 _NAMES = ["kind", "kh", "uh", "doc", "at"]
 _ENTRY = "kind int, kh long, uh int, doc long, at long"
 
@@ -48,10 +50,10 @@ _ENTRY = "kind int, kh long, uh int, doc long, at long"
 class Hashes:
     """Hashes of a text's substrings from prefix sums."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, table: np.ndarray = _BYTE):
         self.n = len(data)
         up, self.down = _power(self.n + 1)
-        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[data] * up[: self.n], dtype=_U)])
+        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(table[data] * up[: self.n], dtype=_U)])
 
     def of(self, begin, stop) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[begin]) * self.down[begin])
@@ -224,30 +226,30 @@ def single_windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
             for doc, t, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 data = np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8)
                 at = np.array(at.as_py(), np.int64)
-                at = at[(at >> 6) + (at & 63) + LENGTH <= len(data)]  # a repeated doc_id may hold a shorter text
                 counts = (at & 63) + 1
                 begin = np.repeat(at >> 6, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                h = Hashes(data).of(begin, begin + LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), doc, np.int64)), pa.array(begin)], names=["h", "doc", "begin"])
+                h, g = (Hashes(data, table).of(begin, begin + LENGTH) for table in (_BYTE, _BYTE2))
+                g = (g >> _U(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g), pa.array(np.full(len(h), doc, np.int64)), pa.array(begin)], names=["h", "g", "doc", "begin"])
 
-    windows = docs.join(lists, F.col("doc") == F.col("asked_doc")).select("doc", "text", "at").mapInArrow(hashed, "h long, doc long, begin long")
+    windows = docs.join(lists, F.col("doc") == F.col("asked_doc")).select("doc", "text", "at").mapInArrow(hashed, "h long, g int, doc long, begin long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = windows.repartition(parts, "h").sortWithinPartitions("h", "doc", "begin")
+    ordered = windows.repartition(parts, "h").sortWithinPartitions("h", "g", "doc", "begin")
 
     def later(batches):
         held = None
         for b in batches:
-            h, doc, begin = (b.column(i).to_numpy() for i in range(3))
+            h, g, doc, begin = (b.column(i).to_numpy() for i in range(4))
             if not len(h):
                 continue
-            fresh = np.concatenate([[held is None or held[0] != h[0]], h[1:] != h[:-1]])
+            fresh = np.concatenate([[held is None or held[0] != (h[0], g[0])], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             head = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), -1))
             d, p = doc[head], begin[head]
             if held is not None:
                 d, p = np.where(head < 0, held[1], d), np.where(head < 0, held[2], p)
             cut = (doc > d) | (begin > p)
             yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(begin[cut]), pa.array(begin[cut] + LENGTH)], names=["doc", "begin", "stop"])
-            held = (h[-1], d[-1], p[-1])
+            held = ((h[-1], g[-1]), d[-1], p[-1])
 
     return ordered.mapInArrow(later, "doc long, begin long, stop long")
 
@@ -255,6 +257,8 @@ def single_windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
 def find_repeats(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
     """(doc, begin, stop): byte ranges of documents (doc, text) to remove; they may overlap."""
     spark = docs.sparkSession
+    small_batches(spark)
+    batches = max(batches, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BATCH_CHARS)
     cuts = docs.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 10_000).alias("q")).first()["q"] if batches > 1 else None
     limits = [None, *sorted(set(cuts or [])), None]
     family = Family(spark)
@@ -277,7 +281,7 @@ def find_repeats(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, kept, n_bytes, n_removed, n_spans) for documents (doc, text): kept holds the bytes that stay."""
+    """(doc_id, kept, n_bytes, n_removed, n_spans) for documents (doc, doc_id, text): kept holds the bytes that stay."""
     lists = found.groupBy("doc").agg(F.collect_list(F.struct("begin", "stop")).alias("cuts")).withColumnRenamed("doc", "cut_doc")
 
     def run(batches):
@@ -291,21 +295,30 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
                 ranges = cuts.values
                 step = np.zeros(len(data) + 1, np.int64)
                 begin, stop = (ranges.field(i).to_numpy() for i in range(2))
-                inside = stop <= len(data)
-                np.add.at(step, begin[inside], 1)
-                np.add.at(step, stop[inside], -1)
+                np.add.at(step, begin, 1)
+                np.add.at(step, stop, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 out.append((doc, data[~gone].tobytes(), len(data), int(gone.sum()), spans))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["doc", "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = docs.join(lists, F.col("doc") == F.col("cut_doc"), "left").select("doc", "text", "cuts")
-    return joined.mapInArrow(run, "doc long, kept binary, n_bytes long, n_removed long, n_spans long")
+    joined = docs.join(lists, F.col("doc") == F.col("cut_doc"), "left").select("doc_id", "text", "cuts")
+    return joined.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, text): doc, a number for each row in order of doc_id; the doc_id itself where that is one."""
+    rows = pick(docs, doc_id="doc_id", text="text")
+    if rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text"), F.col("place")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return stage(ranged.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "numbered")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    docs = docs.select(F.coalesce(docs["doc_id"], F.lit(_LAST)).alias("doc"), docs["text"].alias("text"))
-    kept = remove(docs, find_repeats(docs))
-    return kept.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = numbered(documents(spark, sf_dir))
+    kept = remove(docs, find_repeats(docs.select("doc", "text")))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
