@@ -32,7 +32,7 @@ from .common import documents, mix, parts_for, stage
 # The weights by place.
 WEIGHTS = (3, 1, 2)
 #: Words of a block, slots of a shard, children of a node of shards, documents of a source in a bucket.
-BLOCK, SLOTS, FAN, BUCKET, SEED = 64, 1000, 64, 2000, 20261
+BLOCK, SLOTS, FAN, BUCKET, SEED = 64, 1000, 64, 500, 20261
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -172,7 +172,7 @@ def pieces(laid: DataFrame, sources: DataFrame, *, block: int = BLOCK) -> DataFr
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid = streams(documents(spark, sf_dir))
     sources, slots = plan(laid)
-    drawn = slots.groupBy("number", "block").agg(F.count("*").alias("times"))
+    drawn = slots.groupBy("number", "block").agg(F.count("*").alias("times")).hint("merge")  # its plan says nothing of its size
     taken = pieces(laid, sources).join(drawn, ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     rows = laid.join(F.broadcast(sources.select("src", "source_size", "target")), "src").join(taken, "row", "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -185,7 +185,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     laid = streams(docs)
     sources, slots = plan(laid)
-    drawn = slots.select("number", "block", "pass").join(pieces(laid, sources), ["number", "block"])
+    drawn = slots.select("number", "block", "pass").hint("merge").join(pieces(laid, sources), ["number", "block"])
     cuts = drawn.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("begin", "words"))).alias("cuts"), F.sum("words").alias("n"))
     keyed = laid.select("row", F.col("doc_id").alias("cut_id"), F.col("h").alias("cut_h"), F.col("src").alias("cut_src"), "size").join(cuts, "row")
     # Rows that agree in id, source and text hold different places in a stream; each such row of docs meets one of them.

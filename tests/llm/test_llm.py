@@ -152,18 +152,28 @@ def plain_repeats(all_texts):
     return out
 
 
+def deduplicated(docs):
+    rows = substring_dedup.numbered(docs)
+    return substring_dedup.remove(rows, substring_dedup.find_repeats(rows.select("doc", "text")))
+
+
 def test_substring_dedup(docs):
-    rows = docs.select(F.col("doc_id").alias("doc"), "text")
-    got = {r["doc"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substring_dedup.remove(rows, substring_dedup.find_repeats(rows)).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in deduplicated(docs).collect()}
     assert got == plain_repeats(texts())
 
 
-def test_substring_dedup_odd(odd, empty):
-    for d, n in ((odd, 5), (empty, 0)):
-        rows = d.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "text")
-        got = substring_dedup.remove(rows, substring_dedup.find_repeats(rows)).collect()
-        assert len(got) == n
-        assert sum(r["n_removed"] for r in got) == (len(make_text(5, 80)) if n else 0)  # the null id comes after the others
+def test_substring_dedup_odd(spark, odd, empty):
+    """Null and repeated ids, the largest id, rows that agree: each row for itself, in order of id, null last."""
+    assert deduplicated(empty).count() == 0
+    r = random.Random(8)
+    some = ["".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(4)]
+    rows = [(1, some[0]), (3, some[0]), (3, some[1]), (None, some[2]), (None, some[3]), (2**63 - 1, some[3] + some[1]), (None, None), (None, some[2])]
+    got = sorted((r["doc_id"] or 0, bytes(r["kept"]).decode()) for r in deduplicated(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"doc": F.lit(1), "cuts": F.lit("x")})).collect())
+    # between two parts that repeat, no string of 100 bytes covers the seam but those that are new
+    last = plain_repeats([some[0], some[0], some[1], some[3] + some[1]])[3][3].decode()
+    assert got == sorted([(1, some[0]), (3, ""), (3, some[1]), (2**63 - 1, last), (0, some[2]), (0, ""), (0, ""), (0, "")])
+    t = make_text(5, 80)
+    assert sorted(bytes(r["kept"]).decode() for r in deduplicated(odd).collect()) == sorted([t, "", "", "", "other"])
 
 
 def tokenizer(name):
@@ -389,11 +399,16 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
-def test_cascade_is_exact(spark):
+def test_cascade_is_exact(spark, monkeypatch):
     keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = keys.filter(F.crc32("key") % 7 == 0)
-    said = keys.withColumn("said", url_filter.build(keys, listed).listed(F.col("key")))
-    assert said.filter(F.col("said") != (F.crc32("key") % 7 == 0)).count() == 0
+    for per_shard, most in ((url_filter.SHARD, url_filter.BROADCAST), (100, 0)):
+        monkeypatch.setattr(url_filter, "BROADCAST", most)
+        cascade = url_filter.build(keys, listed, per_shard=per_shard)
+        said = cascade.mark(keys.withColumns({"shard": F.lit(0), "words0": F.lit(1)}), F.col("key"))
+        assert said.columns == ["key", "shard", "words0", "listed"] and said.count() == 5000
+        assert said.filter(F.col("listed") != (F.crc32("key") % 7 == 0)).count() == 0
+    assert url_filter.build(keys, listed.limit(0)).mark(keys, F.col("key")).filter("listed").count() == 0
 
 
 def test_language_id(spark, empty):
