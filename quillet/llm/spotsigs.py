@@ -83,30 +83,33 @@ def followed(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     carried = ["doc_id", "text", "sigs"]
-    known = rows.select("doc_id", F.length("text").alias("n")).agg(F.sum("n").alias("chars"), F.count("doc_id").alias("ids")).first()
+    known = rows.agg(F.sum(F.length("text")).alias("chars"), F.count("doc_id").alias("ids")).first()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (known["chars"] or 0) // RANGE_CHARS)
     limits = []
     if known["ids"]:
         cuts = rows.agg(F.percentile_approx("doc_id", [(i + 1) / ranges for i in range(ranges - 1)] or [0.5], 100 * ranges).alias("q")).first()["q"]
         limits = sorted(set(cuts))
-    bounds = F.array(*[F.lit(int(x)) for x in limits]).cast("array<bigint>")
-    # 0 holds the largest ids; ids on a limit lie above it; null ids are last
-    place = F.when(F.col("doc_id").isNull(), len(limits) + 1).otherwise(F.size(F.filter(bounds, lambda b: b > F.col("doc_id"))))
-    rows = rows.withColumn("range", place)
-    heads = rows.groupBy("range").agg(F.max("doc_id").alias("head")).orderBy("range").collect()  # one row a range
-    firsts = [(r["range"], r["head"]) for r in heads]
-    before = {r: firsts[i - 1][0] for i, (r, _) in enumerate(firsts)}
-    turn = Window.partitionBy("range").orderBy(F.desc("guest_order"), F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    if not firsts:
+    # One row of arrays that each row is held against: the plan is as long for many ranges as for few.
+    bounds = F.broadcast(spark.createDataFrame([(limits,)], "limits array<bigint>"))
+    # 0 holds the largest ids; ids on a limit lie above it; null ids are last. The search halves the limits until one place is left.
+    middle = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+    halve = lambda a, _: F.when(a["lo"] >= a["hi"], a).when(F.get("limits", middle(a)) <= F.col("doc_id"), F.struct((middle(a) + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), middle(a).alias("hi")))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(len(limits).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(limits)).alias("hi")), halve, lambda a: F.lit(len(limits)) - a["lo"])
+    rows = rows.crossJoin(bounds).withColumn("range", F.when(F.col("doc_id").isNull(), len(limits) + 1).otherwise(found)).drop("limits")
+    heads = {r["range"]: r["head"] for r in rows.groupBy("range").agg(F.max("doc_id").alias("head")).collect()}  # one row a range
+    if not heads:
         return rows.select("doc_id", "text", signatures(F.col("text")).alias("sigs"), F.col("text").alias("next_text"), signatures(F.col("text")).alias("next_sigs"))
+    order = sorted(heads)
+    before = dict(zip(order, [order[-1], *order[:-1]]))
+    places = F.broadcast(spark.createDataFrame([([heads.get(r) for r in range(len(limits) + 2)], [before.get(r) for r in range(len(limits) + 2)])], "heads array<bigint>, before array<int>"))
+    turn = Window.partitionBy("range").orderBy(F.desc("guest_order"), F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     # Of documents that share a range's largest id, the first by hash is the head.
-    head = F.coalesce(*[F.when(F.col("range") == r, F.col("doc_id").eqNullSafe(F.lit(h).cast("long"))) for r, h in firsts], F.lit(False))
-    to = F.coalesce(*[F.when(F.col("range") == r, F.lit(before[r])) for r, _ in firsts])
+    head = F.col("doc_id").eqNullSafe(F.get("heads", F.col("range")))
     stays = F.struct(F.col("range").alias("range"), F.lit(1).alias("guest_order"))
-    goes = F.struct(to.alias("range"), F.lit(0).alias("guest_order"))
-    rows = rows.withColumn("sigs", signatures(F.col("text")))
+    goes = F.struct(F.get("before", F.col("range")).alias("range"), F.lit(0).alias("guest_order"))
+    rows = rows.withColumn("sigs", signatures(F.col("text"))).crossJoin(places)
     spread = rows.select(*carried, F.explode(F.when(head, F.array(stays, goes)).otherwise(F.array(stays))).alias("at")).select(*carried, "at.range", "at.guest_order")
-    spread = spread.repartition(len(firsts), "range")
+    spread = spread.repartition(len(heads), "range")
     led = spread.withColumns({"next_text": F.lead("text").over(turn), "next_sigs": F.lead("sigs").over(turn)})
     return led.filter("guest_order = 1").select(*carried, "next_text", "next_sigs")
 
