@@ -4,10 +4,16 @@ Each stage works on all rows that the one before kept and returns the columns of
 returns packed pieces. Language ID drops documents without a language; of each group of near duplicates the
 document with the smallest doc_id stays; secrets are replaced by a mark; the mix repeats or shortens documents to
 meet its sources' targets; packing lays the mix out in sequences.
+
+Defined cases: rows that agree in doc_id and text are one document to the join; rows of one doc_id with other texts
+are documents each for itself, and null ids are last. Null and empty texts go with the first stage. Ties fall to the
+smallest doc_id, then a hash of the text. Texts count whole. Extra columns of documents are left out, whatever their
+names; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +23,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a learned language is found; text without any letter goes."""
-    profiles = lang_id.learn(lang_id.training_rows(docs))
+    """Documents in which a learned language is found; text without any letter goes. Where nothing can be learned, a letter suffices."""
+    profiles = lang_id.learn(lang_id.training_rows(docs)) or {"any": np.zeros(1, np.uint64)}
     return lang_id.identify(docs.select(*COLUMNS), profiles).filter(F.col("lang_pred") != lang_id.UND).select(*COLUMNS)
 
 
