@@ -9,6 +9,14 @@ IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]{1,}"
 #: A word (any script) or a single mark; (?U) makes \w and \s follow Unicode.
 CONTEXT_TOKEN = r"(?U)\w+|[^\w\s]"
 Z95 = 1.959963984540054
+# Suffixes of sources (lower case), file names that say nothing, headings of advisory pages.
+SUPPORTED = r"\.(py|ini|cfg|toml|yaml|yml|json|env\.example|env\.sample)$"
+COMMON_NAMES = ("__init__.py", "config.py", "utils.py", "main.py", "cli.py")
+AFFECTED = r"(?i)Affected versions\s+(.{0,160}?)\s+Patched versions"
+PATCHED = r"(?i)Patched versions\s+(.{0,160}?)\s+Description"
+#: A reply of one fenced block; the arguments of a call up to a comma outside quotes, and what follows.
+FENCED = r"(?s)^```(?:json)?\n(.*)\n```$"
+FIRST_ARGUMENT = r"""(?s)^((?:[^,'"\\]|\\.|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")*),(.*)$"""
 #: Ends of lines as Python's splitlines has them.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -77,6 +85,76 @@ def wilson(success: Column, total: Column) -> Column:
     return F.when(n.isNotNull(), F.struct(F.greatest(F.lit(0.0), center - radius).alias("low"), F.least(F.lit(1.0), center + radius).alias("high")))
 
 
-def sum_or_null(value: Column) -> Column:
-    """An aggregate that is null if any input is null, unlike sum."""
-    return F.when(F.count_if(value.isNull()) == 0, F.sum(value))
+def relative_reduction(before: Column, after: Column) -> Column:
+    """(before - after) / before; null for a zero or unknown base."""
+    return ratio(before - after, before)
+
+
+def located(text: Column, pattern: str) -> Column:
+    """array<struct<start, stop, value>> of a pattern's matches, in code points.
+
+    The text between matches and the matches are laid end to end, so positions are running lengths.
+    """
+    empty = F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+
+    def step(acc, z):
+        start = acc["at"] + F.length(z["gap"])
+        stop = start + F.coalesce(F.length(z["m"]), F.lit(0))
+        one = F.when(z["m"].isNotNull(), F.array(F.struct(start.alias("start"), stop.alias("stop"), z["m"].alias("value")))).otherwise(empty)
+        return F.struct(stop.alias("at"), F.concat(acc["out"], one).alias("out"))
+
+    return F.when(text.rlike(pattern), F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
+
+
+def supported_path(path: Column) -> Column:
+    """Whether a path has one of the suffixes that are taken as sources."""
+    return F.lower(path).rlike(SUPPORTED)
+
+
+def first_argument(arguments: Column) -> Column:
+    """struct<first, rest> at the first comma outside quotes; null without one."""
+    at = lambda i: F.trim(F.regexp_extract(arguments, FIRST_ARGUMENT, i))
+    return F.when(arguments.rlike(FIRST_ARGUMENT), F.struct(at(1).alias("first"), at(2).alias("rest")))
+
+
+def final_json(content: Column) -> Column:
+    """The JSON text of a reply that is bare JSON or one fenced block and nothing else; null otherwise."""
+    text = F.trim(F.coalesce(content, F.lit("")))
+    inside = F.regexp_extract(text, FENCED, 1)
+    text = F.when(text.rlike(FENCED), inside).otherwise(text)
+    return F.when(F.try_parse_json(text).isNotNull(), text)
+
+
+def advisory_versions(html: Column) -> Column:
+    """struct<affected, patched>: the version texts between an advisory page's headings."""
+    text = collapsed(F.regexp_replace(html, "<[^>]+>", " "))
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(mark))
+    found = [F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in (AFFECTED, PATCHED)]
+    return F.struct(found[0].alias("affected"), found[1].alias("patched"))
+
+
+def bounded_bytes(text: Column, budget: Column) -> Column:
+    """The longest prefix of whole characters within so many UTF-8 bytes."""
+    sizes = F.transform(F.split(text, ""), lambda c: F.octet_length(c))
+    fits = F.aggregate(sizes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("bytes")), lambda a, n: F.struct(F.when(a["bytes"] + n <= budget, a["n"] + 1).otherwise(a["n"]).alias("n"), (a["bytes"] + n).alias("bytes")), lambda a: a["n"])
+    return F.when(F.octet_length(text) <= budget, text).otherwise(F.substr(text, F.lit(1), fits))
+
+
+def truncation_marker(reason: Column, size: Column) -> Column:
+    """A JSON object that stands for a payload that was left out."""
+    return F.to_json(F.struct(F.lit(True).alias("truncated"), reason.alias("reason"), size.alias("original_size")))
+
+
+def evidence_origin(evidence: Column, candidate: Column, cases: str) -> Column:
+    """Where a sink's evidence (kind:path) lies: in the candidate's file, in another case (by its name), or in a helper."""
+    own, other = (F.substring_index(p, "::", 1) for p in (F.regexp_replace(evidence, "^[^:]*:", ""), candidate))
+    return F.when(own == other, "candidate_file").when(F.regexp_extract(own, "[^/]*$", 0).startswith(cases), "other_benchmark_case").otherwise("shared_helper_or_framework")
+
+
+def mentions(haystack: Column, path: Column) -> Column:
+    """Whether a scope names a path, or its last part unless that is a common one."""
+    last = F.regexp_extract(path, "[^/]*$", 0)
+    return F.contains(haystack, path) | (~last.isin(*COMMON_NAMES) & F.contains(haystack, last))

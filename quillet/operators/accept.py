@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SEED = "quillet-sample-1:"
-
 
 def planned_cells(cases: DataFrame, systems: list[str]) -> DataFrame:
     """Every case under every system; the systems are a fixed short list, so each case row is repeated in place."""
@@ -41,11 +39,48 @@ def acceptance_issues(rows: DataFrame, planned: DataFrame) -> DataFrame:
     return both.select("case_id", "system", F.inline(found))
 
 
-def stratified_sample(cases: DataFrame, per_stratum: int, strata: list[str], key: Column) -> DataFrame:
-    """The first cases of each stratum in the order of a seeded SHA-256, whatever the input's order."""
-    order = F.sha2(F.concat(F.lit(SEED), key), 256)
+def stratified_sample(cases: DataFrame, per_stratum: int, strata: list[str], key: Column, seed: str) -> DataFrame:
+    """The first cases of each stratum in the order of a seeded SHA-256, whatever the input's order; a short stratum is an error when its rows are read."""
+    order = F.sha2(F.concat(F.lit(seed), key), 256)
     window = Window.partitionBy(*strata).orderBy("sample_hash", key)
-    return cases.withColumn("sample_hash", order).withColumn("place", F.row_number().over(window)).filter(F.col("place") <= per_stratum)
+    rows = cases.withColumn("sample_hash", order).withColumns({"place": F.row_number().over(window), "held": F.count("*").over(Window.partitionBy(*strata))})
+    short = F.raise_error(F.concat(F.lit("stratum of fewer than "), F.lit(per_stratum).cast("string"), F.lit(" cases")))
+    place = F.when(F.col("held") < per_stratum, short.cast("int")).otherwise(F.col("place"))
+    return rows.filter(F.col("place") <= per_stratum).withColumn("place", place).drop("held")
+
+
+def first_of(cases: DataFrame, strata: list[str], order: str, n: int = 1) -> DataFrame:
+    """The first n cases of each stratum by their place."""
+    if isinstance(n, bool) or n < 1:
+        raise ValueError("n must be a positive number of cases")
+    return cases.withColumn("place", F.row_number().over(Window.partitionBy(*strata).orderBy(order))).filter(F.col("place") <= n)
+
+
+def interleaved(cells: DataFrame, position: str, variant: str) -> DataFrame:
+    """cells with `slot`: cases in order, the order of their variants turned around at each second case."""
+    turn = F.when(F.col(position) % 2 == 0, F.col(variant)).otherwise(-F.col(variant))
+    return cells.withColumn("slot", F.row_number().over(Window.partitionBy(position).orderBy(turn)))
+
+
+def repository_split(inputs: DataFrame, labels: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(entry_id, repo, issue): inputs outside the excluded repositories; a label without input is an issue."""
+    kept = inputs.join(excluded.select("repo").distinct(), "repo", "left_anti")
+    strange = labels.join(inputs.select("entry_id"), "entry_id", "left_anti").select("entry_id", F.lit(None).cast("string").alias("repo"), F.lit("label_without_input").alias("issue"))
+    return kept.select("entry_id", "repo", F.lit(None).cast("string").alias("issue")).union(strange)
+
+
+def run_outcome(error: Column, calls: Column, label: Column) -> Column:
+    """The status of a run by how it ended: an error's kind, the calls made before it, the label."""
+    budget = error.isin("BudgetExceeded", "BudgetStopped")  # the second is a kind of the first
+    failed = F.when(error == "KeyboardInterrupt", "interrupted").when(budget & (calls == 0), "not_run").when(error == "BudgetStopped", "interrupted").otherwise("failed")
+    return F.when(error.isNotNull(), failed).when(label == "ABSTAIN", "abstained").otherwise("completed")
+
+
+def collapsed_cells(rows: DataFrame) -> DataFrame:
+    """One row for each (case_id, system): several rows of a cell become one failed row with their costs summed."""
+    n = F.count("*")
+    one = lambda c: F.when(n == 1, F.min(c))
+    return rows.groupBy("case_id", "system").agg(F.when(n > 1, "failed").otherwise(F.min("status")).alias("status"), one("predicted_label").alias("predicted_label"), F.min("ground_truth").alias("ground_truth"), F.min("category").alias("category"), F.sum("model_calls").alias("model_calls"))
 
 
 def heldout(rows: DataFrame, development: DataFrame) -> DataFrame:

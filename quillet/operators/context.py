@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import LINE_END, context_token_count, tokenize
 from . import graph, retrieval
+from .rules import security_focus
 
 
 def shares(ranked: DataFrame, budget: int, *, key: str = "query_id") -> DataFrame:
@@ -56,3 +58,38 @@ def retrieve(docs: DataFrame, edges: DataFrame, candidates: DataFrame, mode: str
     texts = cut_each(shares(other, more_tokens).join(docs.select("path", "text"), "path"))
     more = retrieval.limit_budget(texts.select("query_id", "path", "text", "rank", F.lit("augmentation").alias("part")), more_tokens).drop("n_tokens")
     return base.unionByName(more)
+
+
+def focused(rows: DataFrame, budget: int, query: Column, fallback: Column, *, security: bool = False) -> DataFrame:
+    """rows (text, ...) with text cut to a window of lines of at most `budget` tokens, and center, first, last (lines from 0, last exclusive) and n_tokens.
+
+    The centre is the line with the best (security score, distinct query terms, nearness to the fallback line, place);
+    without any score it is the fallback line (from 1). The window grows by a line before, then a line behind, as long
+    as one of them fits; a centre that is too long is cut behind a token. A text within the budget stays whole.
+    """
+    if isinstance(budget, bool) or budget < 1:
+        raise ValueError("context token budget must be positive")
+    marks = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+    lines = F.regexp_extract_all("text", F.lit(f"[^{marks}]*(?:{LINE_END})|[^{marks}]+"), F.lit(0))
+    held = rows.withColumn("lines_", lines)
+    held = held.withColumns({"counts_": F.transform("lines_", context_token_count), "near_": F.least(F.greatest(fallback - 1, F.lit(0)), F.size("lines_") - 1), "asked_": F.array_distinct(tokenize(query))})
+    score = lambda line, i: F.struct((security_focus(line) if security else F.lit(0)).alias("s"), F.size(F.array_intersect(tokenize(line), F.col("asked_"))).alias("q"), (-F.abs(i - F.col("near_"))).alias("d"), i.alias("i"))
+    held = held.withColumn("best_", F.array_max(F.transform("lines_", score)))
+    held = held.withColumn("center", F.when((F.col("best_.s") > 0) | (F.col("best_.q") > 0), F.col("best_.i")).otherwise(F.col("near_")))
+    count = lambda i: F.get(F.col("counts_"), i)
+
+    def grow(a, _):
+        before = (a["first"] > 0) & (a["n"] + count(a["first"] - 1) <= budget)
+        first, n = F.when(before, a["first"] - 1).otherwise(a["first"]), F.when(before, a["n"] + count(a["first"] - 1)).otherwise(a["n"])
+        behind = (a["last"] < F.size("lines_")) & (n + count(a["last"]) <= budget)
+        return F.struct(first.alias("first"), F.when(behind, a["last"] + 1).otherwise(a["last"]).alias("last"), F.when(behind, n + count(a["last"])).otherwise(n).alias("n"))
+
+    start = F.struct(F.col("center").alias("first"), (F.col("center") + 1).alias("last"), count(F.col("center")).alias("n"))
+    all_, total = F.size("lines_"), F.aggregate("counts_", F.lit(0), lambda a, x: a + x)
+    window = F.when(total <= budget, F.struct(F.lit(0).alias("first"), all_.alias("last"), total.alias("n"))).when(count(F.col("center")) >= budget, start).otherwise(F.aggregate(F.sequence(F.lit(1), all_), start, grow))
+    held = held.withColumns({"total_": total, "window_": window})
+    body = F.array_join(F.slice("lines_", F.col("window_.first") + 1, F.col("window_.last") - F.col("window_.first")), "")
+    tokens = F.slice(F.regexp_extract_all(body, F.lit(r"(?U)\s*(?:\w+|[^\w\s])"), F.lit(0)), F.lit(1), F.lit(budget))
+    text = F.when(F.col("window_.n") <= budget, body).otherwise(F.array_join(tokens, ""))
+    keep = [c for c in rows.columns if c != "text"]
+    return held.filter(F.size("lines_") > 0).select(*keep, text.alias("text"), "center", "window_.first", "window_.last", F.least(F.col("window_.n"), F.lit(budget)).alias("n_tokens"))

@@ -95,3 +95,11 @@ def subset_report(rows: DataFrame) -> DataFrame:
     out = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.count_if(a & (label == "VULNERABLE")).alias("tp"), F.count_if(~a & (label == "VULNERABLE")).alias("fp"), F.count_if(label == "ABSTAIN").alias("abstained"))
     level = F.when(F.col("g") == 3, "overall").when(F.col("g") == 1, "category").otherwise("primary")
     return out.filter((F.col("g") != 2) | F.col("is_primary")).select("system", level.alias("level"), "category", "n", "tp", "fp", "abstained")
+
+
+def hit_summary(rows: DataFrame, mode: str, parts: list[str], case: str) -> DataFrame:
+    """rows (mode, parts, case, hit) counted over all of a mode and by each part: n, hits, rate, and the missed cases in order."""
+    sets = [[mode], *([mode, p] for p in parts)]
+    missed = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("hit"), F.col(case)))).cast("array<string>"), ",")
+    hits = F.count_if("hit")
+    return rows.groupingSets(sets, mode, *parts).agg(F.count("*").alias("n"), hits.alias("hits"), F.round(hits / F.count("*"), 9).alias("rate"), missed.alias("missed"))

@@ -44,21 +44,39 @@ GUARD = (
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """docs with one row a line: line (from 1) and code; a last empty line doesn't count."""
+    """docs with one row a line: line (from 1), code, and offset, its place in the text; a last empty line doesn't count."""
     parts = F.split("text", LINE_END, -1)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return docs.select(*docs.columns, F.posexplode(parts).alias("at", "code")).withColumn("line", F.col("at") + 1).drop("at", "text")
+    ends = F.transform(F.regexp_extract_all("text", F.lit(LINE_END), F.lit(0)), lambda e: F.length(e))
+    both = F.zip_with(parts, ends, lambda c, e: F.struct(c.alias("code"), F.coalesce(e, F.lit(0)).alias("e")))
+    empty = F.expr("cast(array() as array<struct<code:string,offset:int>>)")
+
+    def step(acc, x):
+        return F.struct((acc["at"] + F.length(x["code"]) + x["e"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["code"].alias("code"), acc["at"].alias("offset")))).alias("out"))
+
+    laid = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return docs.select(*docs.columns, F.posexplode(laid).alias("at", "l")).select(*[c for c in docs.columns if c != "text"], (F.col("at") + 1).alias("line"), "l.code", "l.offset")
 
 
 def hits(docs: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """(…, line, code, rule): each line under each rule that it matches. One pass over the lines tests all rules."""
+    """(…, line, code, offset, rule): each line under each rule that it matches. One pass over the lines tests all rules."""
     found = F.filter(F.array(*[F.when(F.col("code").rlike(p), F.lit(n)) for n, p in rules.items()]), lambda x: x.isNotNull())
     return lines(docs).withColumn("rule", F.explode(found))
 
 
-def matches(docs: DataFrame, pattern: str) -> Column:
-    """Sorted distinct matches of a pattern in text."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(docs["text"], F.lit(pattern), F.lit(0))))
+def distinct_matches(text: Column, pattern: str) -> Column:
+    """Sorted distinct matches of a pattern in a text."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+
+
+def candidates(docs: DataFrame, rules: dict[str, str], repository: str) -> DataFrame:
+    """(candidate_id, path, source_line, rule, query) of docs (path file::symbol@first-last, text): one for each file, line and rule."""
+    first = F.coalesce(F.regexp_extract("path", r"::.+@([0-9]+)", 1).try_cast("int"), F.lit(1))
+    rows = docs.select("path", "text", F.size(F.split("text", LINE_END)).alias("n_lines"), F.contains("path", F.lit("::<module>@")).alias("is_module"))
+    found = hits(rows, rules).withColumns({"file": F.substring_index("path", "::", 1), "source_line": first + F.col("line") - 1})
+    kept = smallest_span(found)
+    name = F.concat_ws(":", F.lit(repository), "path", F.col("source_line").cast("string"), "rule")
+    return kept.select(name.alias("candidate_id"), "path", "source_line", "rule", F.concat_ws(" ", "rule", F.trim("code")).alias("query"))
 
 
 def smallest_span(found: DataFrame) -> DataFrame:

@@ -13,11 +13,12 @@ from ..sources import readers
 from ..sources.staging import new_path
 from ..streaming import journal as streaming_journal
 from . import bindings as B
-from . import fixtures
+from . import code_catalog, fixtures
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES: dict = {}
+QUERIES: dict = dict(code_catalog.QUERIES)
+ORACLES |= code_catalog.ORACLES
 
 
 def query(fn):
@@ -216,9 +217,9 @@ def acceptance_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three documents of each language and source (the sample is the feature)."""
-    d = B.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return accept.stratified_sample(d, 3, ["lang", "source"], F.col("doc_id").cast("string")).select("doc_id", "lang", "source", "place")
+    """Three documents of each language (the sample is the feature)."""
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "lang", "source").filter("lang is not null")
+    return accept.stratified_sample(d, 3, ["lang"], F.col("doc_id").cast("string"), "quillet-sample-1:").select("doc_id", "lang", "source", "place")
 
 
 @query

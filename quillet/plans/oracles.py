@@ -117,7 +117,7 @@ UNION ALL SELECT case_id, system, status, calls, NULL, FALSE FROM obs WHERE (cas
 b AS (SELECT coalesce(plan.case_id, s.case_id) AS case_id, coalesce(plan.system, s.system) AS system, truth, plan.case_id IS NOT NULL AS p, n, status, label FROM plan FULL JOIN s ON plan.case_id = s.case_id AND plan.system = s.system)
 SELECT case_id, system, 'missing' AS issue, 'run_integrity' AS category FROM b WHERE n IS NULL UNION ALL SELECT case_id, system, 'unexpected', 'run_integrity' FROM b WHERE NOT p UNION ALL SELECT case_id, system, 'duplicate', 'run_integrity' FROM b WHERE n > 1
 UNION ALL SELECT case_id, system, 'status', 'run_integrity' FROM b WHERE p AND n = 1 AND status NOT IN ('completed','abstained') UNION ALL SELECT case_id, system, 'label', 'detection_quality' FROM b WHERE p AND n = 1 AND status = 'completed' AND label IS DISTINCT FROM truth""",
-    "stratified_sample": """SELECT doc_id, lang, source, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('quillet-sample-1:' || doc_id), CAST(doc_id AS VARCHAR)) AS place FROM documents) WHERE place <= 3""",
+    "stratified_sample": """SELECT doc_id, lang, source, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('quillet-sample-1:' || doc_id), CAST(doc_id AS VARCHAR)) AS place FROM documents WHERE lang IS NOT NULL) WHERE place <= 3""",
     "heldout_split": f"""WITH {ENTRIES}, dev AS (SELECT 'src0' AS repo UNION ALL SELECT 'src7'), used AS (SELECT DISTINCT report_id FROM entries WHERE repo IN (SELECT repo FROM dev))
 SELECT entry_id, repo, report_id, CASE WHEN NOT verified THEN 'unverified' WHEN repo IN (SELECT repo FROM dev) THEN 'development_repository' WHEN report_id IN (SELECT report_id FROM used) THEN 'development_advisory' END AS reason FROM entries""",
     "subject_selection": f"WITH {ENTRIES}, c AS (SELECT repo, commit, count(*) AS n FROM entries WHERE verified GROUP BY ALL) SELECT repo, commit, n FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, commit) AS r FROM c) WHERE r = 1",

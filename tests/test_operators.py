@@ -111,7 +111,7 @@ def test_heldout(spark):
 
 def test_sample_ignores_order(spark):
     cases = [(f"c{i}", i % 2) for i in range(20)]
-    pick = lambda d: rows(accept.stratified_sample(spark.createDataFrame(d, "case_id string, s int"), 3, ["s"], F.col("case_id")), "case_id")
+    pick = lambda d: rows(accept.stratified_sample(spark.createDataFrame(d, "case_id string, s int"), 3, ["s"], F.col("case_id"), "some-seed:"), "case_id")
     assert pick(cases) == pick(cases[::-1]) and len(pick(cases)) == 6
 
 
