@@ -10,6 +10,9 @@ from ..functions.text import CONTEXT_TOKEN, tokenize
 
 #: Scores are rounded before ranking, since sums of doubles depend on their order.
 DIGITS = 9
+# What looks like part of a path in a query, and a query that looks like a path.
+FRAGMENT = r"[A-Za-z0-9_./\\-]+\.[A-Za-z0-9_./\\-]+"
+PATH_LIKE = r"/|::|\.|\\"
 
 
 def terms(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -29,15 +32,22 @@ def inverse_frequency(tf: DataFrame, docs: DataFrame) -> DataFrame:
     return df.join(F.broadcast(corpus_size(docs)), F.lit(True)).select("term", "df", idf.alias("idf"))  # one row
 
 
+def asked_terms(docs: DataFrame, text: Column, asked: DataFrame) -> DataFrame:
+    """(path, len, term, tf): the terms of asked (term) that documents hold, with the length of the whole document.
+
+    Terms that nobody asks for leave before any shuffle; a document's length comes with its row.
+    """
+    each = docs.select("path", tokenize(text).alias("t")).select("path", F.size("t").alias("len"), F.explode("t").alias("term"))
+    return each.join(asked.select("term").distinct(), "term", "left_semi").groupBy("path", "len", "term").agg(F.count("*").alias("tf"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, text: Column, query: Column) -> DataFrame:
     """(query_id, path, score): sum of idf * tf * 2.2 / (tf + 1.2 (0.25 + 0.75 len / average)) over distinct query terms."""
-    tf = terms(docs, "path", text)
-    length = tf.groupBy("path").agg(F.sum("tf").alias("len"))
-    size = docs.agg(F.count("*").alias("n_docs")).join(length.agg(F.sum("len").alias("total")), F.lit(True))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(query))).alias("term"))
-    # The filter by query terms runs after idf, which needs the whole corpus.
-    hits = tf.join(asked, "term").join(df, "term").join(length, "path").join(F.broadcast(size), F.lit(True))  # one row
+    tf = asked_terms(docs, text, asked)
+    size = docs.agg(F.count("*").alias("n_docs"), F.sum(F.size(tokenize(text))).alias("total"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    hits = tf.join(asked, "term").join(df, "term").join(F.broadcast(size), F.lit(True))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1.2 * (0.25 + 0.75 * F.col("len") / (F.col("total") / F.col("n_docs")))
     score = idf * F.col("tf") * 2.2 / (F.col("tf") + norm)
@@ -45,14 +55,32 @@ def bm25(docs: DataFrame, queries: DataFrame, text: Column, query: Column) -> Da
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, text: Column, query: Column, path_like: Column) -> DataFrame:
-    """(query_id, path, score): sum of q (1 + ln tf) idf; where path_like holds, q (4 + ln ptf) for terms of the path as well."""
-    tf = terms(docs, "path", text)
-    idf = inverse_frequency(tf, docs)
+    """(query_id, path, score): sum of q (1 + ln tf) idf; where path_like holds, q (4 + ln ptf) for terms of the path as well.
+
+    A path that holds a path-like query whole gets 50 more, and 1000 more for each of the query's path fragments it holds.
+    """
     asked = queries.select("query_id", path_like.alias("path_like"), F.explode(tokenize(query)).alias("term"))
     asked = asked.groupBy("query_id", "path_like", "term").agg(F.count("*").alias("q"))
+    tf = asked_terms(docs, text, asked)
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(corpus_size(docs)), F.lit(True)).select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
     body = tf.join(asked, "term").join(idf, "term").select("query_id", "path", (F.col("q") * (1 + F.log("tf")) * F.col("idf")).alias("s"))
-    named = terms(docs, "path", F.col("path")).join(asked.filter("path_like"), "term").select("query_id", "path", (F.col("q") * (4 + F.log("tf"))).alias("s"))
-    return body.union(named).groupBy("query_id", "path").agg(F.round(F.sum("s"), DIGITS).alias("score"))
+    named = asked_terms(docs, F.col("path"), asked.filter("path_like")).join(asked.filter("path_like"), "term").select("query_id", "path", (F.col("q") * (4 + F.log("tf"))).alias("s"))
+    bonus = path_bonus(docs, queries, query, path_like).select("query_id", "path", F.col("bonus").cast("double").alias("s"))
+    return body.union(named).union(bonus).groupBy("query_id", "path").agg(F.round(F.sum("s"), DIGITS).alias("score"))
+
+
+def path_bonus(docs: DataFrame, queries: DataFrame, query: Column, path_like: Column) -> DataFrame:
+    """(query_id, path, bonus) of documents whose path holds the query (50, where it is path-like) or its path fragments (1000 each).
+
+    Only fragments, and queries that look like a path, are held against paths: a few strings, not terms.
+    """
+    low = F.lower(query)
+    parts = F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(FRAGMENT), F.lit(0)), lambda x: F.regexp_replace(x, "^[.,;:]+|[.,;:]+$", "")))
+    whole = F.when(path_like & (F.trim(low) != ""), F.array(F.struct(F.trim(low).alias("part"), F.lit(50).alias("worth")))).otherwise(F.expr("cast(array() as array<struct<part:string,worth:int>>)"))
+    found = queries.select("query_id", F.explode(F.concat(whole, F.transform(parts, lambda x: F.struct(x.alias("part"), F.lit(1000).alias("worth"))))).alias("w")).select("query_id", "w.part", "w.worth")
+    hit = found.join(docs.select("path"), F.contains(F.lower("path"), F.col("part")))
+    return hit.groupBy("query_id", "path").agg(F.sum("worth").alias("bonus"))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

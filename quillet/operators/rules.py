@@ -69,14 +69,18 @@ def distinct_matches(text: Column, pattern: str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
 
 
-def candidates(docs: DataFrame, rules: dict[str, str], repository: str) -> DataFrame:
-    """(candidate_id, path, source_line, rule, query) of docs (path file::symbol@first-last, text): one for each file, line and rule."""
+def candidates_of(found: DataFrame, docs: DataFrame, repository: str) -> DataFrame:
+    """(candidate_id, path, source_line, rule, query) of hits (path, line, code, rule) in docs (path file::symbol@first-last, text): one for each file, line and rule."""
     first = F.coalesce(F.regexp_extract("path", r"::.+@([0-9]+)", 1).try_cast("int"), F.lit(1))
-    rows = docs.select("path", "text", F.size(F.split("text", LINE_END)).alias("n_lines"), F.contains("path", F.lit("::<module>@")).alias("is_module"))
-    found = hits(rows, rules).withColumns({"file": F.substring_index("path", "::", 1), "source_line": first + F.col("line") - 1})
-    kept = smallest_span(found)
+    sizes = docs.select("path", F.size(F.split("text", LINE_END)).alias("n_lines"), F.contains("path", F.lit("::<module>@")).alias("is_module"))
+    placed = found.join(sizes, "path").withColumns({"file": F.substring_index("path", "::", 1), "source_line": first + F.col("line") - 1})
     name = F.concat_ws(":", F.lit(repository), "path", F.col("source_line").cast("string"), "rule")
-    return kept.select(name.alias("candidate_id"), "path", "source_line", "rule", F.concat_ws(" ", "rule", F.trim("code")).alias("query"))
+    return smallest_span(placed).select(name.alias("candidate_id"), "path", "source_line", "rule", F.concat_ws(" ", "rule", F.trim("code")).alias("query"))
+
+
+def candidates(docs: DataFrame, rules: dict[str, str], repository: str) -> DataFrame:
+    """candidates_of() the line rules' hits."""
+    return candidates_of(hits(docs.select("path", "text"), rules), docs, repository)
 
 
 def smallest_span(found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.python_code import python_documents
+from ..functions.python_code import python_documents, scanned
 from ..functions import lexical
 from ..operators import accept, context, experts, graph, journal, locate, metrics, retrieval, rules, votes
 from ..sources import readers
@@ -38,17 +38,26 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each benchmark item the five best documents."""
-    scored = retrieval.bm25(B.code_documents(spark, sf_dir), B.queries_table(spark, sf_dir), F.col("text"), F.col("query"))
-    return retrieval.top_k(scored, 5)
+    """For each benchmark item the five best documents, by their path, defined symbols (here their language) and text; the item's path and text ask."""
+    own, asked = F.concat_ws(" ", "path", "lang", "text"), F.concat_ws(" ", F.concat(F.lit("bench/item"), F.col("query_id").cast("string")), "query")
+    return retrieval.top_k(retrieval.bm25(B.code_documents(spark, sf_dir), B.queries_table(spark, sf_dir), own, asked), 5)
 
 
 @query
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = retrieval.tfidf(B.code_documents(spark, sf_dir), B.queries_table(spark, sf_dir), F.col("text"), F.col("query"), F.lit(False))
+    """For each benchmark item the five best documents by their text, and by their path where the item looks like one."""
+    scored = retrieval.tfidf(B.code_documents(spark, sf_dir), B.queries_table(spark, sf_dir), F.col("text"), F.col("query"), F.col("query").rlike(retrieval.PATH_LIKE))
     return retrieval.top_k(scored, 5)
 
 
+@query
+def path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by queries that name paths: the whole path, a directory, a file with a suffix, words."""
+    docs = B.code_documents(spark, sf_dir).withColumn("path", F.concat("path", F.lit(".py")))
+    asked = B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.when(F.col("n_nationkey") % 3 == 0, "Src").when(F.col("n_nationkey") % 3 == 1, "see en/").otherwise("the license "), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, ".py.").otherwise("/en")).alias("query"))
+    return retrieval.top_k(retrieval.tfidf(docs, asked, F.col("text"), F.col("query"), F.col("query").rlike(retrieval.PATH_LIKE)), 8)
+
+
 @query
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence of bm25_topk under a budget of 2,000 tokens a query."""
@@ -317,11 +326,9 @@ def py_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def py_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan rules on the corpus's lines: one hit for each source line and rule, from the smallest document."""
-    docs = python_documents(fixtures.files(spark)).filter("error is null").select("path", "file", "symbol", "start_line", "end_line", "text")
-    found = rules.hits(docs, rules.SCAN_RULES)
-    found = found.select("file", (F.col("start_line") + F.col("line") - 1).alias("source_line"), "rule", "path", (F.col("end_line") - F.col("start_line") + 1).alias("n_lines"), (F.col("symbol") == "<module>").alias("is_module"))
-    return rules.smallest_span(found)
+    """Scan rules on the small corpus by its syntax trees: one candidate for each line and rule, from the smallest document."""
+    docs = python_documents(fixtures.files(spark)).filter("error is null")
+    return rules.candidates_of(scanned(docs), docs, "repo")
 
 
 @query

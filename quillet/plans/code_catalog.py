@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.python_code import python_documents, scanned
 from ..operators import accept, context, masks, metrics, rules
 from . import bindings as B
 from .oracles import RES
@@ -405,3 +406,36 @@ def focused_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document that best fit a question, within 60 tokens."""
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     return context.focused(docs, 60, F.lit(_ASK), (F.col("doc_id") % 5 + 1).cast("int")).select("doc_id", "center", "first", "last", "n_tokens")
+
+
+#: Python lines and the rules that they fall under, by what their module imports.
+PY_HEAD = "import subprocess as sp\nfrom os import system as run\nimport sys, os\n"
+PY_LINES = {
+    "sp.run(cmd)": "command-execution",
+    "run(cmd)": "command-execution",
+    "# eval(x)": "",
+    "x = eval(body)": "dynamic-evaluation",
+    "getattr(obj, name)": "dynamic-attribute-access",
+    "getattr(obj, 'name')": "",
+    "cur.execute(q)": "database-operation",
+    "page.render(ctx)": "template-operation",
+    "sys.exit(1)": "process-control",
+    "os.chmod(p, 0o777)": "permission-mode",
+    "label = 'eval(x)'": "",
+    "formatters[kind](x)": "template-operation",
+    "y = eval(render(cur.execute(q)))": "database-operation,dynamic-evaluation",
+}
+_PY_AT = f"CAST((doc_id * (k + 2) + n_chars + k) % {len(PY_LINES)} AS INT) + 1"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, source, k, {_PY_AT} AS place FROM documents, (SELECT unnest(range(0, 6)) AS k)), c AS (SELECT doc_id, source, k + 4 AS line, list_extract({_list([*PY_LINES])}, place) AS code, unnest(string_split(list_extract({_list([*PY_LINES.values()])}, place), ',')) AS rule FROM l)
+SELECT concat_ws(':', 'repo', path, line, rule) AS candidate_id, path, CAST(line AS INT) AS source_line, rule, rule || ' ' || code AS query FROM (SELECT *, 'm' || doc_id || '.py::<module>@1-9' AS path FROM c WHERE rule <> '')"""
+)
+def python_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file for each document, scanned by its syntax tree."""
+    codes = F.array(*[F.lit(x) for x in PY_LINES])
+    body = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.get(codes, ((F.col("doc_id") * (k + 2) + F.col("n_chars") + k) % len(PY_LINES)).cast("int")))
+    files = B.table(spark, sf_dir, "documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.encode(F.concat(F.lit(PY_HEAD), F.array_join(body, "\n")), "UTF-8").alias("content"))
+    docs = python_documents(files).filter("error is null")
+    return rules.candidates_of(scanned(docs), docs, "repo")

@@ -2,6 +2,7 @@
 
 TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_]{{1,}}'), lambda x: lower(x))"
 DOCS = "code AS (SELECT concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, text, source, lang, doc_id, n_chars FROM documents)"
+_OWN = "concat_ws(' ', path, lang, text)"
 TF = DOCS + ", tok AS (SELECT path, unnest(" + TOKENS.format("text") + ") AS term FROM code), tf AS (SELECT path, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM code)"
 VOTES = """votes AS (
   SELECT doc_id AS case_id, 'scan' AS expert, list_extract(['VULNERABLE','SAFE','ABSTAIN'], n_chars % 3 + 1) AS label, (50 + (n_chars % 11) * 5) / 100.0::DOUBLE AS confidence, 0 AS vote_order FROM documents
@@ -31,14 +32,26 @@ def _wilson(s: str, n: str) -> tuple[str, str]:
     return f"round(CASE WHEN ({n}) > 0 THEN greatest(0.0, {c} - {r}) END, 9)", f"round(CASE WHEN ({n}) > 0 THEN least(1.0, {c} + {r}) END, 9)"
 
 
-_BM25 = f"""WITH {TF}, len AS (SELECT path, sum(tf) AS len FROM tf GROUP BY path), tot AS (SELECT sum(len) AS total FROM len),
-q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM benchmark),
+_BM25 = f"""WITH {TF.replace('unnest(' + TOKENS.format('text') + ')', 'unnest(' + TOKENS.format(_OWN) + ')')}, len AS (SELECT path, sum(tf) AS len FROM tf GROUP BY path), tot AS (SELECT sum(len) AS total FROM len),
+q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format("'bench/item' || item_id || ' ' || text")})) AS term FROM benchmark),
 s AS (SELECT query_id, path, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (CAST(total AS DOUBLE) / n)))), 9) AS score
   FROM tf JOIN q USING (term) JOIN df USING (term) JOIN len USING (path), n, tot GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM s) WHERE rank <= 5 AND score > 0)"""
-_TFIDF = f"""WITH {TF}, q AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark), qc AS (SELECT query_id, term, count(*) AS q FROM q GROUP BY ALL),
-s AS (SELECT query_id, path, round(sum(q * (1 + ln(tf)) * (ln((n + 1)::DOUBLE / (df + 1)) + 1)), 9) AS score FROM tf JOIN qc USING (term) JOIN df USING (term), n GROUP BY ALL),
-ti AS (SELECT * FROM (SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM s) WHERE rank <= 5 AND score > 0)"""
+
+
+def _tfidf(tf: str, asked: str, k: int) -> str:
+    """Scores of asked (query_id, query) over the terms of tf, with what paths add."""
+    return f"""WITH {tf}, a AS ({asked}), p AS (SELECT query_id, query, regexp_matches(query, '/|::|\\.|\\\\') AS path_like FROM a),
+q AS (SELECT query_id, path_like, unnest({TOKENS.format('query')}) AS term FROM p), qc AS (SELECT query_id, path_like, term, count(*) AS q FROM q GROUP BY ALL),
+pt AS (SELECT path, unnest({TOKENS.format('path')}) AS term FROM code), ptf AS (SELECT path, term, count(*) AS tf FROM pt GROUP BY ALL),
+fr AS (SELECT DISTINCT query_id, trim(unnest(regexp_extract_all(lower(query), '[A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9_./\\\\-]+')), '.,;:') AS part, 1000 AS worth FROM a UNION ALL SELECT query_id, trim(lower(query)), 50 FROM p WHERE path_like AND trim(query) <> ''),
+s AS (SELECT query_id, path, round(sum(s), 9) AS score FROM (SELECT query_id, path, q * (1 + ln(tf)) * (ln((n + 1)::DOUBLE / (df + 1)) + 1) AS s FROM tf JOIN qc USING (term) JOIN df USING (term), n
+  UNION ALL SELECT query_id, path, q * (4 + ln(tf)) FROM ptf JOIN qc USING (term) WHERE path_like UNION ALL SELECT query_id, path, worth FROM fr JOIN code ON contains(lower(path), part)) GROUP BY ALL),
+ti AS (SELECT * FROM (SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM s) WHERE rank <= {k} AND score > 0)"""
+
+
+_TFIDF = _tfidf(TF, "SELECT item_id AS query_id, text AS query FROM benchmark", 5)
+_PATHS = _tfidf(TF.replace("CAST(doc_id AS VARCHAR)) AS path", "CAST(doc_id AS VARCHAR)) || '.py' AS path"), "SELECT CAST(n_nationkey AS BIGINT) AS query_id, CASE n_nationkey % 3 WHEN 0 THEN 'Src' WHEN 1 THEN 'see en/' ELSE 'the license ' END || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.py.' ELSE '/en' END AS query FROM nation", 8)
 _BFS = f"""{EDGES}, back AS (SELECT dst AS src, src AS dst FROM e),
 h0 AS (SELECT 'r' || r_regionkey AS seed, 'r' || r_regionkey AS path FROM region), h1 AS (SELECT DISTINCT seed, dst AS path FROM h0 JOIN back ON path = src), h2 AS (SELECT DISTINCT seed, dst AS path FROM h1 JOIN back ON path = src), h3 AS (SELECT DISTINCT seed, dst AS path FROM h2 JOIN back ON path = src),
 bfs AS (SELECT seed, path, min(d) AS distance FROM (SELECT *, 0 AS d FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY ALL)"""
@@ -53,6 +66,7 @@ ORACLES = {
     "term_statistics": f"WITH {TF} SELECT term, df, round(ln((n + 1)::DOUBLE / (df + 1)) + 1, 9) AS idf FROM df, n",
     "bm25_topk": _BM25 + " SELECT * FROM bm",
     "tfidf_topk": _TFIDF + " SELECT * FROM ti",
+    "path_search": _PATHS + " SELECT * FROM ti",
     "context_budget": _BM25 + rf""", w AS (SELECT query_id, rank, path, len(regexp_extract_all(text, '{WORDS}')) AS n FROM bm JOIN code USING (path)),
 c AS (SELECT *, 2000 - (sum(n) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) - n) AS room FROM w WHERE n > 0)
 SELECT query_id, rank, path, CAST(least(n, room) AS BIGINT) AS n_tokens FROM c WHERE room > 0""",

@@ -5,8 +5,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillet.functions import text as T
-from quillet.functions.python_code import python_documents, spans
-from quillet.operators import accept, graph, journal, locate, metrics, retrieval, rules, votes
+from quillet.functions.python_code import python_documents, scan, spans
+from quillet.operators import accept, context, graph, journal, locate, masks, metrics, retrieval, rules, votes
 from quillet.plans import fixtures
 from quillet.sources import readers, sinks
 from quillet.streaming import journal as stream
@@ -215,3 +215,52 @@ def test_fallback_documents(spark):
     got = {r["file"]: r for r in lexical.fallback_documents(files).collect()}
     assert got["r.js"]["routes"] == ["GET:/a", "POST:/b"] and got["r.js"]["guards"] == ["check_permission"] and got["r.js"]["path"] == "r.js::file@1-3"
     assert got["s.go"]["routes"] == ["ANY:/h"] and "main" in got["s.go"]["defines"]
+
+
+def test_python_calls_and_routes():
+    text = """import os.path
+from a.b import tool as t, other
+other = None
+
+class Box:
+    @app.get('/x/{i}')
+    def run(self, i):
+        def inner():
+            hidden()
+        pick = t if i else None
+        pick.go()
+        self.check_permission()
+        t(i); os.path.join(i); other.f(); db.cursor.fetch()
+        return lambda: late()
+"""
+    run = next(r for r in spans("src/p/m.py", text) if r["symbol"] == "Box.run")
+    checks = ["Box.check_permission", "p.m.Box.check_permission", "src.p.m.Box.check_permission"]
+    assert run["calls"] == sorted(["a.b.tool.go", "tool.go", "a.b.tool", "os.path.join", "db.cursor.fetch", "fetch", "cursor.fetch", *checks])
+    assert run["routes"] == ["GET:/x/{i}"] and run["guards"] == sorted(checks)
+    assert {"run", "p.m.Box.run", "src.p.m.Box.run", "Box.run"} == set(run["defines"])
+
+
+def test_python_scan():
+    text = "    @app.route('/x')\n    def f(self, q):\n        sp.run(q)\n        from os import kill as k\n        k(1, 9)\n        label = 'eval(x)'\n        T('{}').format(q)\n"
+    assert scan(text, {"sp": "subprocess"}) == [(1, "authorization-boundary"), (3, "command-execution"), (5, "process-control"), (7, "template-operation")]
+    assert scan("def f(:") == [] and scan("") == []
+
+
+def test_matches_outside_masks(spark):
+    marks = '"' * 3
+    texts = [(1, "python", f"x = 1 # open(y)\nopen('a#b'); s = 'open(z)'\n{marks}\nopen(q)\n{marks} ; open(r)"), (2, "java", "/* open(a)\n open(b) */ open(c) // open(d)"), (3, "shell", "  # open(a)\nopen(b) # open(c)"), (4, "cobol", "# open(a)")]
+    docs = spark.createDataFrame(texts, "doc_id int, language string, text string")
+    got = masks.matches_outside(docs, {"path-access": rules.SINK_RULES["path-access"]})
+    assert rows(got, "doc_id", "line", "start") == [(1, 2, 0), (1, 5, 6), (2, 2, 12), (3, 2, 0), (3, 2, 10), (4, 1, 2)]
+
+
+def test_focused_windows(spark):
+    text = "one\ntwo words\nthe needle here\nafter it\nlast\n"
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, "needle " * 9), (4, "")], "i int, text string")
+    got = rows(context.focused(df, 6, F.lit("needle"), F.lit(1)), "i", "center", "first", "last", "n_tokens", "text")
+    assert got == [(1, 2, 0, 3, 6, "one\ntwo words\nthe needle here\n"), (2, 0, 0, 1, 1, "short"), (3, 0, 0, 1, 6, "needle needle needle needle needle needle")]
+
+
+def test_short_stratum_is_an_error(spark):
+    with pytest.raises(Exception, match="fewer than 3"):
+        accept.stratified_sample(spark.createDataFrame([("a", 1), ("b", 1)], "case_id string, s int"), 3, ["s"], F.col("case_id"), "x").collect()
