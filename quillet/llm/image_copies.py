@@ -222,12 +222,13 @@ def search(queries: DataFrame, corpus: DataFrame, *, block: int = BLOCK) -> Data
 
 
 def picture(vector: list[float] | None) -> bytes | None:
-    """A 64 x 64 picture of a vector: its first 64 values as an 8 x 8 board."""
+    """A picture of a vector: its values as a board of 8 x 8 fields of 8 pixels, of more fields a side for longer vectors."""
     if not vector or any(v is None for v in vector):
         return None
-    v = np.resize(np.array(vector, np.float32), 64)
+    side = max(8, int(np.ceil(np.sqrt(len(vector)))))
+    v = np.resize(np.array(vector, np.float32), side * side)
     spread = float(v.std()) or 1.0
-    return write_pgm(np.kron(128 + 55 * ((v - v.mean()) / spread).reshape(8, 8), np.ones((8, 8))))
+    return write_pgm(np.kron(128 + 55 * ((v - v.mean()) / spread).reshape(side, side), np.ones((8, 8))))
 
 
 def edited(data: bytes | None, seed: int) -> bytes | None:
