@@ -33,7 +33,9 @@ def canonical_json(df: DataFrame) -> DataFrame:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A summary table (at most `limit` rows, a report) as Markdown."""
-    rows = df.limit(limit).collect()
+    """A summary table as Markdown; a table of more than `limit` rows is no summary, and an error."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report holds at most {limit} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
