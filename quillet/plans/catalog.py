@@ -13,12 +13,12 @@ from ..sources import readers
 from ..sources.staging import new_path
 from ..streaming import journal as streaming_journal
 from . import bindings as B
-from . import code_catalog, fixtures
+from . import code_catalog, evidence_catalog, fixtures
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES: dict = dict(code_catalog.QUERIES)
-ORACLES |= code_catalog.ORACLES
+QUERIES: dict = code_catalog.QUERIES | evidence_catalog.QUERIES
+ORACLES |= code_catalog.ORACLES | evidence_catalog.ORACLES
 
 
 def query(fn):
