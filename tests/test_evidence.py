@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillet.functions import command
-from quillet.operators import evidence
+from quillet.operators import evidence, policy, runs
 
 FRAGMENTS = "f array<struct<kind:string,text:string>>"
 
@@ -74,3 +74,34 @@ def test_compared_versions(spark):
     pairs = spark.createDataFrame([("old", p) for p in ("none", "late", "early", "absent")], "path string, fixed_path string")
     got = {r["fixed_path"]: (r["new_sinks"], r["guard_precedes_sinks"], r["supports_fix"]) for r in evidence.compared_versions(pairs, facts, facts).collect()}
     assert got == {"none": (0, False, True), "late": (1, False, False), "early": (1, True, True), "absent": (None, None, None)}
+
+
+def test_direct_answers(spark):
+    good = '{"label": "SAFE", "confidence": 1e0, "rationale": "r", "more": []}'
+    rows = [good, f"```\n{good}\n```", f"```json\n{good}```", f" {good}\n", None, "", "```", "[1]", good.replace("1e0", "1.01"), good.replace("1e0", "null"), good.replace("1e0", "-1"), good.replace('"r"', "null"), good.replace("SAFE", "safe")]
+    got = spark.createDataFrame([(r,) for r in rows], "c string").select(runs.direct_answer(F.col("c")).alias("a")).collect()
+    assert [r["a"] is not None for r in got] == [True] * 4 + [False] * 9
+    assert got[0]["a"].asDict() == {"label": "SAFE", "confidence": 1.0, "rationale": "r"}
+
+
+def test_configuration_of_nulls(spark):
+    kinds = "c array<string>, s array<string>, m int, n int, e string"
+    df = spark.createDataFrame([(None, None, None, None, None), (["a", "b"], list(runs.SYSTEMS), 10, 2, "doPost")], kinds)
+    got = [r[0] for r in df.select(runs.ten_trial_issues(*[F.col(c) for c in df.columns])).collect()]
+    assert got == [["case_ids", "systems", "max_trials", "concurrency", "entry_method"], []]
+
+
+def test_prediction_issues_of_cases_without_observations(spark):
+    said = spark.createDataFrame([(1, "SAFE", "UNRESOLVED", 1), (2, "SAFE", "REFUTED", 1), (3, "SAFE", "REFUTED", 1), (4, "SAFE", "REFUTED", 1), (5, "VULNERABLE", "REFUTED", 1)], "case_id long, label string, validation_status string, n_evidence long")
+    seen = spark.createDataFrame([(3, "o", "REFUTED", None, True), (4, "o", "REFUTED", False, True), (4, "p", "CONFIRMED", True, True)], "case_id long, identity string, validation_status string, truncated boolean, same_subject boolean")
+    cited = spark.createDataFrame([(3, "o"), (3, "o")], "case_id long, identity string")
+    support = spark.createDataFrame([(3, "o"), (4, "o")], cited.schema)
+    got = policy.prediction_issues(said, seen, cited, support, spark.createDataFrame([], "case_id long"))
+    assert {r["case_id"]: r["issue"] for r in got.collect()} == {1: None, 2: "unmatched", 3: None, 4: "bibliography", 5: "label"}
+
+
+def test_cells_with_rows_twice_or_never(spark):
+    cells = runs.planned_cells(spark.createDataFrame([(1, True)], "case_id long, ground_truth boolean"), ("E1", "E2", "E3"))
+    rows = spark.createDataFrame([(1, "E1", "completed", "SAFE"), (1, "E2", "completed", "SAFE"), (1, "E2", "completed", "SAFE"), (1, "E9", "completed", "SAFE")], "case_id long, system string, status string, label string")
+    got = {r["system"]: (r["status"], r["label"]) for r in runs.rows_with_truth(cells, rows).collect()}
+    assert got == {"E1": ("completed", "SAFE"), "E2": ("failed", None), "E3": ("not_run", None)}
