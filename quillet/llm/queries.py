@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import image_copies, lang_id, mixing, ngram_join, packing, secrets, spotsigs, substring_dedup, token_store, url_filter
+from . import hard_negatives, html_text, image_copies, importance, lang_id, mixing, ngram_join, packing, secrets, spotsigs, substring_dedup, token_store, url_filter
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_language_id": lang_id.op10_language_id,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_html_extraction": html_text.op12_html_extraction,
+    "op13_importance_resampling": importance.op13_importance_resampling,
 }
-ORACLES: dict[str, str] = {"op6_url_filter": url_filter.SQL}
+ORACLES: dict[str, str] = {"op6_url_filter": url_filter.SQL, "op11_hard_negatives": hard_negatives.SQL}
