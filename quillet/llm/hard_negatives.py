@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -197,7 +197,12 @@ def search(table: DataFrame, anchors: DataFrame, pivots: Pivots, k: int, *, same
     in_block = max(1, min(rows_in_block, -(-total // least)))
     blocks, halls = -(-most // in_block), -(-anchors.count() // anchors_in_block)
     sizes = sizes.select("g", F.ceil(F.col("n") / in_block).cast("int").alias("n_blocks"))
-    sized = lambda df, own: df.join(F.broadcast(sizes) if labels <= LABELS else sizes, own == F.col("g"))
+
+    def sized(df: DataFrame, own: Column) -> DataFrame:
+        if not same_label:
+            return df.withColumns({"g": own, "n_blocks": F.lit(blocks)})
+        return df.join(F.broadcast(sizes) if labels <= LABELS else sizes, own == F.col("g"))
+
     rows = sized(table, group).withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
     rows = rows.select(F.col("g").alias("r_g"), "block", F.explode(F.sequence(F.lit(0), F.lit(max(halls - 1, 0)))).alias("hall"), "key", "vec_id", "label", "v", "far")
     asked = sized(anchors, F.col("a_label") if same_label else F.lit(0).cast("long"))
