@@ -313,7 +313,7 @@ def repair_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def py_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code documents of the small corpus (its parse errors are rows)."""
-    return python_documents(fixtures.files(spark))
+    return python_documents(fixtures.files(spark)).select("path", "file", "symbol", "start_line", "end_line", "text", "defines", "calls", "routes", "guards", "error")
 
 
 @query

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillet.functions import text as T
-from quillet.functions.python_code import python_documents, scan, spans
+from quillet.functions.python_code import python_documents, scanned
 from quillet.operators import accept, context, graph, journal, locate, masks, metrics, retrieval, rules, votes
 from quillet.plans import fixtures
 from quillet.sources import readers, sinks
@@ -141,12 +141,24 @@ def test_scalars(spark):
     assert w["n"] is None and w["w"]["high"] == 1.0
 
 
-def test_python_spans():
-    got = {r["path"]: r for r in spans("src/app/routes.py", fixtures.FILES["src/app/routes.py"])}
+def python_docs(spark, files):
+    return python_documents(spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files.items()], "path string, content binary"))
+
+
+def test_python_spans(spark):
+    got = {r["path"]: r for r in python_docs(spark, fixtures.FILES).collect()}
     run = got["src/app/routes.py::run@5-8"]
     assert run["routes"] == ["GET:/run/{name}"] and "subprocess.run" in run["calls"] and "app.store.command" in run["calls"]
     assert "app.routes.Admin.drop" in got["src/app/routes.py::Admin.drop@11-13"]["defines"]
-    assert spans("b.py", "def f(:\n")[0]["error"].startswith("SyntaxError")
+    assert got["src/app/broken.py"]["error"].startswith("SyntaxError") and got["src/app/broken.py"]["calls"] == []
+
+
+def test_lines_are_the_parsers(spark):
+    """A form feed or a line separator in a string ends no line."""
+    docs = python_docs(spark, {"a.py": "a = 1\n\f\ndef f(x):\r\n    s = '\u2028'\r    os.system(x)\n", "b.py": "", "c.py": "# only\n"})
+    got = {r["path"]: r for r in docs.collect()}
+    assert got["a.py::f@3-5"]["text"] == "def f(x):\n    s = '\u2028'\n    os.system(x)" and {"a.py::<module>@1-5", "b.py::<module>@1-1", "c.py::<module>@1-1"} < set(got)
+    assert rows(scanned(docs), "path", "line", "code", "rule") == [("a.py::f@3-5", 3, "    os.system(x)", "command-execution")]
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -217,7 +229,7 @@ def test_fallback_documents(spark):
     assert got["s.go"]["routes"] == ["ANY:/h"] and "main" in got["s.go"]["defines"]
 
 
-def test_python_calls_and_routes():
+def test_python_calls_and_routes(spark):
     text = """import os.path
 from a.b import tool as t, other
 other = None
@@ -233,17 +245,18 @@ class Box:
         t(i); os.path.join(i); other.f(); db.cursor.fetch()
         return lambda: late()
 """
-    run = next(r for r in spans("src/p/m.py", text) if r["symbol"] == "Box.run")
+    run = next(r for r in python_docs(spark, {"src/p/m.py": text}).collect() if r["symbol"] == "Box.run")
     checks = ["Box.check_permission", "p.m.Box.check_permission", "src.p.m.Box.check_permission"]
     assert run["calls"] == sorted(["a.b.tool.go", "tool.go", "a.b.tool", "os.path.join", "db.cursor.fetch", "fetch", "cursor.fetch", *checks])
     assert run["routes"] == ["GET:/x/{i}"] and run["guards"] == sorted(checks)
     assert {"run", "p.m.Box.run", "src.p.m.Box.run", "Box.run"} == set(run["defines"])
 
 
-def test_python_scan():
-    text = "    @app.route('/x')\n    def f(self, q):\n        sp.run(q)\n        from os import kill as k\n        k(1, 9)\n        label = 'eval(x)'\n        T('{}').format(q)\n"
-    assert scan(text, {"sp": "subprocess"}) == [(1, "authorization-boundary"), (3, "command-execution"), (5, "process-control"), (7, "template-operation")]
-    assert scan("def f(:") == [] and scan("") == []
+def test_python_scan(spark):
+    text = "import subprocess as sp\nclass A:\n    @app.route('/x')\n    def f(self, q):\n        sp.run(q)\n        from os import kill as k\n        k(1, 9)\n        label = 'eval(x)'\n        T('{}').format(q)\n        getattr(q, q)\n        getattr(q, 'x')\n        renderers[q](q)\n        (lambda: exec(q))()\n"
+    docs = python_docs(spark, {"a.py": text, "b.py": "def f(:"})
+    want = [(1, "authorization-boundary"), (3, "command-execution"), (5, "process-control"), (7, "template-operation"), (8, "dynamic-attribute-access"), (10, "template-operation"), (11, "dynamic-evaluation")]
+    assert rows(scanned(docs), "line", "rule") == want
 
 
 def test_matches_outside_masks(spark):
