@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]{1,}"
 #: A word (any script) or a single mark; (?U) makes \w and \s follow Unicode.
 CONTEXT_TOKEN = r"(?U)\w+|[^\w\s]"
 Z95 = 1.959963984540054
+#: Numbers in a block of a running sum; characters in a chunk of a text.
+BLOCK, CHUNK = 64, 4096
 # Suffixes of sources (lower case), file names that say nothing, headings of advisory pages.
 SUPPORTED = r"\.(py|ini|cfg|toml|yaml|yml|json|env\.example|env\.sample)$"
 COMMON_NAMES = ("__init__.py", "config.py", "utils.py", "main.py", "cli.py")
@@ -90,22 +95,88 @@ def relative_reduction(before: Column, after: Column) -> Column:
     return ratio(before - after, before)
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, value>> of a pattern's matches, in code points.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, also where lambdas inside use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks(items: Column, size: int) -> Column:
+    """An array cut in arrays of `size` items, the last one shorter."""
+    return let(items, lambda a: F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int")), lambda b: F.slice(a, b * size + 1, F.lit(size)))).otherwise(F.array().cast(ArrayType(ArrayType(IntegerType())))))
+
+
+def _scan(items: Column, both: Callable[[Column, Column], Column], total: Callable[[Column], Column], levels: int) -> Column:
+    """What `both` makes of 0 and all items before each one. Blocks of BLOCK items are summed up, and blocks of those sums, so that an array grows within a block only."""
+
+    def within(block: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(both(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    if not levels:
+        return within(items, F.lit(0))
+    return let(blocks(items, BLOCK), lambda bs: F.flatten(F.zip_with(bs, _scan(F.transform(bs, total), both, total, levels - 1), within)))
+
+
+def running(sizes: Column) -> Column:
+    """The sum of what stands before each of some whole numbers, in work that grows with their number."""
+    return _scan(sizes, lambda a, x: a + x, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x), 3)
+
+
+def furthest(stops: Column) -> Column:
+    """The largest of what stands before each of some whole numbers, 0 before the first."""
+    return _scan(stops, F.greatest, F.array_max, 3)
+
+
+def parts(text: Column, pattern: str, group: int = 0) -> Column:
+    """array<struct<gap, m, v>>: what stands before each match, the match, and the given group of it; the last part has no match."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+    found = F.zip_with(matches, values, lambda m, v: F.struct(m.alias("m"), v.alias("v"))) if group else F.transform(matches, lambda m: F.struct(m.alias("m"), m.alias("v")))
+    return F.zip_with(F.split(text, pattern, -1), found, lambda g, x: F.struct(g.alias("gap"), x["m"].alias("m"), x["v"].alias("v")))
+
+
+def located(text: Column, pattern: str, group: int = 0) -> Column:
+    """array<struct<start, stop, value>> of a pattern's matches, in code points; value is the given group.
 
     The text between matches and the matches are laid end to end, so positions are running lengths.
     """
-    empty = F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
 
-    def step(acc, z):
-        start = acc["at"] + F.length(z["gap"])
-        stop = start + F.coalesce(F.length(z["m"]), F.lit(0))
-        one = F.when(z["m"].isNotNull(), F.array(F.struct(start.alias("start"), stop.alias("stop"), z["m"].alias("value")))).otherwise(empty)
-        return F.struct(stop.alias("at"), F.concat(acc["out"], one).alias("out"))
+    def placed(ps: Column) -> Column:
+        starts = running(F.transform(ps, lambda z: F.length(z["gap"]) + F.coalesce(F.length(z["m"]), F.lit(0))))
+        begin = lambda z, at: at + F.length(z["gap"])
+        every = F.zip_with(ps, starts, lambda z, at: F.struct(begin(z, at).alias("start"), (begin(z, at) + F.length(z["m"])).alias("stop"), z["v"].alias("value")))
+        return F.filter(every, lambda x: x["value"].isNotNull())
+
+    return F.when(text.rlike(pattern), let(parts(text, pattern, group), placed)).otherwise(F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)"))
+
+
+def replaced(text: Column, pattern: str, put: Callable[[Column], Column]) -> Column:
+    """The text with put(match) for each match of a pattern."""
+    pieces = F.transform(parts(text, pattern), lambda z: F.concat(z["gap"], F.when(z["m"].isNotNull(), put(z["m"])).otherwise("")))
+    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+
+def without_spans(text: Column, spans: Column, mark: str) -> Column:
+    """The text with a mark for each of its spans (start, stop; by start, none empty); a span that begins in an earlier one adds no mark.
+
+    The text is cut in chunks once, so that what stands between two spans is taken from the chunks that it touches and
+    not searched for from the start.
+    """
+    cut = lambda t, size: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / size).cast("int")), lambda i: F.substr(t, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    chunks = F.flatten(F.transform(cut(text, BLOCK * CHUNK), lambda t: cut(t, CHUNK)))
+
+    def piece(ch: Column, start: Column, stop: Column) -> Column:
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor((stop - 1) / CHUNK).cast("int")
+        take = lambda i: F.substr(F.get(ch, i), F.greatest(start - i * CHUNK, F.lit(0)) + 1, F.least(stop - i * CHUNK, F.lit(CHUNK)) - F.greatest(start - i * CHUNK, F.lit(0)))
+        return F.when(stop > start, F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), take), "")).otherwise("")
+
+    def laid(x: Column) -> Column:
+        ends = furthest(F.transform(x["spans"], lambda s: s["stop"]))
+        kept = F.zip_with(x["spans"], ends, lambda s, before: F.when(s["start"] >= before, F.concat(piece(x["chunks"], before, s["start"]), F.lit(mark))).otherwise(""))
+        tail = F.greatest(F.array_max(F.transform(x["spans"], lambda s: s["stop"])), F.lit(0))
+        return F.concat(F.array_join(kept, ""), piece(x["chunks"], tail, F.length(text)))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(F.size(spans) > 0, let(F.struct(chunks.alias("chunks"), spans.alias("spans")), laid)).otherwise(text)
 
 
 def supported_path(path: Column) -> Column:

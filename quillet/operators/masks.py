@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import located
+from ..functions.text import located, replaced
 from .rules import lines
 
 _LINE_STRINGS = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
@@ -13,6 +13,8 @@ _LINE_STRINGS = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
 HASH = r'''"""[^"\\]*(?:(?:\\.|"{1,2}[^"\\])[^"\\]*)*"""|#[^\n]*|''' + _LINE_STRINGS
 SLASH = r"/\*(?:[^*]|\*+[^*/])*\*+/|//[^\n]*|`[^`]*`|" + _LINE_STRINGS
 WHOLE_LINES = r"(?m)^[\x20\t]*#[^\n]*"
+#: A character that no source holds, and what is no end of a line.
+MARK, NO_LINE_END = "\x00", "[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 FAMILIES = {"python": HASH, "javascript": SLASH, "typescript": SLASH, "java": SLASH, "go": SLASH, "shell": WHOLE_LINES, "ruby": WHOLE_LINES, "yaml": WHOLE_LINES}
 
 
@@ -24,36 +26,32 @@ def masked_spans(text: Column, language: Column) -> Column:
     return found
 
 
-def blanked(text: Column, spans: Column, keep: str | None = None) -> Column:
-    """The text with its spans blanked, line ends kept, so lines and columns survive; spans that start with `keep` stay."""
-
-    def step(acc, x):
-        gap = F.substr(text, acc["at"] + 1, x["start"] - acc["at"])
-        gone = F.regexp_replace(x["value"], "[^\\n]", " ")
-        return F.struct(x["stop"].alias("at"), F.concat(acc["out"], gap, F.when(x["value"].rlike(keep), x["value"]).otherwise(gone) if keep else gone).alias("out"))
-
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-
-
 def without_comments(text: Column) -> Column:
     """A text of the // and /* */ family with blanks for its comments; strings and line ends stay."""
-    return blanked(text, located(text, SLASH), "^[\"'`]")
+    return replaced(text, SLASH, lambda m: F.when(m.rlike("^[\"'`]"), m).otherwise(F.regexp_replace(m, "[^\\n]", " ")))
+
+
+def marked(text: Column, language: Column) -> Column:
+    """The text with MARK for each character of its comments and strings, line ends aside, so lines and columns survive."""
+    out = text
+    for pattern in dict.fromkeys(FAMILIES.values()):
+        out = F.when(language.isin(*[k for k, v in FAMILIES.items() if v == pattern]), replaced(text, pattern, lambda m: F.regexp_replace(m, NO_LINE_END, MARK))).otherwise(out)
+    return out
 
 
 def matches_outside(docs: DataFrame, rules: dict[str, str]) -> DataFrame:
     """(…, line, rule, start, stop, match) of docs (path, language, text): matches that neither begin nor end in a mask.
 
-    Masks are found once in the whole text; a line's matches are held against them by place. One pass, no shuffle.
+    Masks are found once in the whole text, which then goes along with it line by line; a match is held against the
+    two characters of its ends there. One pass, no shuffle, work in proportion to the text and its matches.
     """
-    held = docs.withColumn("masks", masked_spans(F.col("text"), F.col("language")))
-    rows = lines(held).withColumn("at", F.col("offset"))
+    rows = lines(docs, masked=marked(F.col("text"), F.col("language")))
 
     def placed(name: str, pattern: str) -> Column:
-        return F.transform(located(F.col("code"), pattern), lambda m: F.struct(F.lit(name).alias("rule"), (F.col("at") + m["start"]).alias("start"), (F.col("at") + m["stop"]).alias("stop"), m["value"].alias("match")))
+        return F.transform(located(F.col("code"), pattern), lambda m: F.struct(F.lit(name).alias("rule"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("match")))
 
     each = F.flatten(F.array(*[placed(n, p) for n, p in rules.items()]))
-    masks = F.col("masks")
-    free = F.filter(each, lambda m: ~F.exists(masks, lambda s: ((s["start"] <= m["start"]) & (m["start"] < s["stop"])) | ((s["start"] < m["stop"]) & (m["stop"] <= s["stop"]))))
+    at = lambda place: F.substr(F.col("masked"), place, F.lit(1))
+    free = F.filter(each, lambda m: (at(m["start"] + 1) != MARK) & (at(m["stop"]) != MARK))
     keep = [c for c in docs.columns if c != "text"]
-    out = rows.select(*keep, "line", "code", "at", F.inline(free))
-    return out.select(*keep, "line", "code", "rule", (F.col("start") - F.col("at")).alias("start"), (F.col("stop") - F.col("at")).alias("stop"), "match")
+    return rows.select(*keep, "line", "code", F.inline(free))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
 from ..functions.text import LINE_END
 
 # Patterns by category, as Java regular expressions.
@@ -43,23 +44,20 @@ GUARD = (
 )
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """docs with one row a line: line (from 1), code, and offset, its place in the text; a last empty line doesn't count."""
-    parts = F.split("text", LINE_END, -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    ends = F.transform(F.regexp_extract_all("text", F.lit(LINE_END), F.lit(0)), lambda e: F.length(e))
-    both = F.zip_with(parts, ends, lambda c, e: F.struct(c.alias("code"), F.coalesce(e, F.lit(0)).alias("e")))
-    empty = F.expr("cast(array() as array<struct<code:string,offset:int>>)")
+def line_array(text: Column) -> Column:
+    """A text's lines without their ends; a last empty line doesn't count."""
+    return T.let(F.split(text, LINE_END, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
-    def step(acc, x):
-        return F.struct((acc["at"] + F.length(x["code"]) + x["e"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["code"].alias("code"), acc["at"].alias("offset")))).alias("out"))
 
-    laid = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return docs.select(*docs.columns, F.posexplode(laid).alias("at", "l")).select(*[c for c in docs.columns if c != "text"], (F.col("at") + 1).alias("line"), "l.code", "l.offset")
+def lines(docs: DataFrame, **twins: Column) -> DataFrame:
+    """docs with one row a line instead of the text: line (from 1) and code; a twin is a text with the same line ends, cut along."""
+    held = F.arrays_zip(line_array(F.col("text")).alias("code"), *[line_array(c).alias(n) for n, c in twins.items()])
+    rows = docs.select(*docs.columns, F.posexplode(held).alias("at", "l"))
+    return rows.select(*[c for c in docs.columns if c != "text"], (F.col("at") + 1).alias("line"), *[F.col("l")[n].alias(n) for n in ("code", *twins)])
 
 
 def hits(docs: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """(…, line, code, offset, rule): each line under each rule that it matches. One pass over the lines tests all rules."""
+    """(…, line, code, rule): each line under each rule that it matches. One pass over the lines tests all rules."""
     found = F.filter(F.array(*[F.when(F.col("code").rlike(p), F.lit(n)) for n, p in rules.items()]), lambda x: x.isNotNull())
     return lines(docs).withColumn("rule", F.explode(found))
 
