@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import located, without_spans
 from .common import documents, stage
 from .secret_null import ALPHABETS, CLASSES, LENGTHS, NULL
 
@@ -42,26 +43,6 @@ JOINED = r"(?<![A-Za-z0-9])(?=[{0}-]{{{1}}})[{0}]++(?:-[{0}]++(?![A-Za-z0-9]))++
 KINDS = ("assign", "access", "hex", "random")
 
 
-def located(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, stop, value>> of a pattern's matches, in code points; value is the given group.
-
-    The text between matches and the matches are laid end to end, so positions are running lengths.
-    """
-    empty = "array<struct<start:int,stop:int,value:string>>"
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    zipped = F.zip_with(F.split(text, pattern, -1), F.zip_with(matches, values, lambda m, v: F.struct(m.alias("m"), v.alias("v"))), lambda g, x: F.struct(g.alias("g"), x.alias("x")))
-
-    def step(acc, z):
-        at = acc["pos"] + F.length(z["g"])
-        stop = at + F.coalesce(F.length(z["x"]["m"]), F.lit(0))
-        found = F.when(z["x"].isNotNull(), F.array(F.struct(at.alias("start"), stop.alias("stop"), z["x"]["v"].alias("value")))).otherwise(F.expr(f"cast(array() as {empty})"))
-        return F.struct(stop.alias("pos"), F.concat(acc["out"], found).alias("out"))
-
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as {empty})").alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(F.expr(f"cast(array() as {empty})"))
-
-
 def _base(kind: str, found: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["stop"].alias("stop")))
 
@@ -164,10 +145,14 @@ def scan(docs: DataFrame, *, level: float = LEVEL, least_bits: int = LEAST_BITS)
     least = F.coalesce(*[F.when(F.col("band") == b, F.lit(v)) for b, v in stand.items()], F.lit(2**31 - 1))
     whole = (F.col("start") == F.col("run")) & (F.col("stop") == F.col("end"))
     random = tested.filter(F.col("bin") >= least).withColumn("within", ~whole & F.max(whole).over(Window.partitionBy("row", "run"))).filter("not within")
-    random = random.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "stop")).alias("more"))
-    joined = held.join(random, "row", "left").withColumn("base_", F.col("base"))
-    outside = F.filter("more", lambda x: ~F.exists("base_", lambda b: (b["start"] <= x["start"]) & (b["stop"] >= x["stop"])))
-    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", outside)))
+    # One pass over the spans of a row in order of their start says which random ones lie inside a base span.
+    own = held.select("row", F.inline("base")).join(random.select("row"), "row", "left_semi").select("row", "start", "stop", F.lit(0).alias("added"))
+    order = Window.partitionBy("row").orderBy("start", "added").rowsBetween(Window.unboundedPreceding, 0)
+    both = own.union(random.select("row", "start", "stop", F.lit(1))).withColumn("covered", F.max(F.when(F.col("added") == 0, F.col("stop"))).over(order))
+    outside = both.filter("added = 1 and coalesce(covered < stop, true)")
+    more = outside.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "stop")).alias("more"))
+    joined = held.join(more, "row", "left")
+    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
     return joined.select("doc_id", "text_hash", F.col("base").alias("base_spans"), spans.alias("secret_spans"))
 
 
@@ -179,17 +164,11 @@ def _said(spans: Column) -> Column:
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span of scan()'s result replaced by a mark and n_chars renewed where text changed."""
     text = F.col("whole.text")
-
-    def step(acc, x):
-        gap = F.when(x["start"] >= acc["pos"], F.concat(F.substr(text, acc["pos"] + 1, x["start"] - acc["pos"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["pos"], x["stop"]).alias("pos"), F.concat(acc["out"], gap).alias("out"))
-
     hits = found.filter(F.size("secret_spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("secret_spans").alias("spans"))
     rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
     rows = rows.join(hits, F.col("own_id").eqNullSafe(hits["doc_id"]) & (F.col("own_hash") == hits["text_hash"]), "left")
-    whole = F.aggregate("spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1)))
     hit = F.col("spans").isNotNull()
-    rows = rows.withColumn("clean", F.when(hit, whole).otherwise(text))
+    rows = rows.withColumn("clean", F.when(hit, without_spans(text, F.col("spans"), mark)).otherwise(text))
     made = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.when(hit, F.length("clean").cast("long")).otherwise(F.col("whole.n_chars"))

@@ -487,3 +487,19 @@ def test_added_tokens_as_the_plain_call():
         marks = [t.content for t in plain.get_added_tokens_decoder().values()]
         texts_ = [x for m in marks for x in (m, f"cat {m} tree", f"cat{m}tree {m}", f" the {m.upper()} Dog", m[:-1])] + ["a dog < | endoftext"]
         assert marks and [a.tolist() for a in own.ids(texts_)] == [plain.encode(x, add_special_tokens=False).ids for x in texts_]
+
+
+def test_secrets_of_a_long_text(spark):
+    """Very many spans in one text: found, told from those inside base spans, and cut out in time that grows with them."""
+    import time
+
+    r = random.Random(7)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(16)) for _ in range(40_000)]
+    text = "".join(f"ü {h} x\n" for h in hexes)
+    docs = spark.createDataFrame([(1, text, None, None, len(text)), (2, "no secret", None, None, 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    began = time.time()
+    found = secrets.scan(docs)
+    assert {x["doc_id"]: x["n"] for x in found.select("doc_id", F.size("secret_spans").alias("n")).collect()} == {1: 40_000, 2: 0}
+    clean = by_id(secrets.redact(docs, found))
+    assert clean[1]["text"] == "ü [secret] x\n" * 40_000 and clean[1]["n_chars"] == 13 * 40_000 and clean[2]["text"] == "no secret"
+    assert time.time() - began < 60
