@@ -13,12 +13,12 @@ from ..sources import readers
 from ..sources.staging import new_path
 from ..streaming import journal as streaming_journal
 from . import bindings as B
-from . import code_catalog, evidence_catalog, fixtures, run_catalog
+from . import code_catalog, evidence_catalog, fixtures, flow_catalog, run_catalog
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES: dict = code_catalog.QUERIES | evidence_catalog.QUERIES | run_catalog.QUERIES
-ORACLES |= code_catalog.ORACLES | evidence_catalog.ORACLES | run_catalog.ORACLES
+QUERIES: dict = code_catalog.QUERIES | evidence_catalog.QUERIES | run_catalog.QUERIES | flow_catalog.QUERIES
+ORACLES |= code_catalog.ORACLES | evidence_catalog.ORACLES | run_catalog.ORACLES | flow_catalog.ORACLES
 
 
 def query(fn):
