@@ -51,7 +51,7 @@ def test_errors_empty_and_methods(spark):
 def random_body(r, depth=0, loop=False):
     out = []
     for _ in range(r.randint(1, 4)):
-        kind = r.choice(["set"] * 4 + ["sink"] * 2 + (["if", "while", "for", "try", "finally", "with"] if depth < 3 else []) + (["break", "continue"] if loop else []) + ["raise", "return"] * (depth > 0))
+        kind = r.choice(["set"] * 4 + ["sink"] * 2 + (["if", "while", "for", "try", "finally", "with"] if depth < 2 else []) + (["break", "continue"] if loop else []) + ["raise", "return"] * (depth > 0))
         value = r.choice([*NAMES, "a", "'k'", "'k'", "int(a)", "x + y", "pick(z)", "request.args"])
         inner = lambda lp=loop: ["    " + x for x in random_body(r, depth + 1, lp)]
         if kind == "set":
@@ -140,7 +140,7 @@ def hits_of_runs(body, r, runs=400):
 def test_every_run_is_covered(spark):
     """What any run shows, the analysis says; and it says nothing of code that no value reaches."""
     r = random.Random(11)
-    bodies = [random_body(r) for _ in range(150)]
+    bodies = [random_body(r) for _ in range(100)]
     docs = documents(spark, {f"m{i}.py": "\n".join(["def f(a, q, x, y, z):", *("    " + line for line in b)]) for i, b in enumerate(bodies)})
     # x, y and z are parameters here as well: only what comes from a and the request counts.
     said = {}
@@ -149,7 +149,7 @@ def test_every_run_is_covered(spark):
     shown = {i: hits_of_runs(b, r) for i, b in enumerate(bodies)}
     assert all(lines <= said.get(i, set()) for i, lines in shown.items())
     total, seen = sum(map(len, said.values())), sum(map(len, shown.values()))
-    assert seen > 40 and seen >= 0.8 * total
+    assert seen > 30 and seen >= 0.8 * total
 
 
 def graph_of(docs):
