@@ -27,8 +27,8 @@ ANCHORS = (
     "le la les des et est en un une du que qui dans pour pas par "
     "el los las de y que en un una por con para del se no"
 ).split()
-#: Characters of text that lie in one range of neighbouring documents, about.
-RANGE_CHARS = 4_000_000
+#: Characters of text that lie in one range of neighbouring documents, about; ranges at most, beyond which they grow instead.
+RANGE_CHARS, RANGES = 4_000_000, 1 << 16
 
 
 def _tree(words: list[str]) -> str:
@@ -74,44 +74,59 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _ranges(rows: DataFrame, least: int) -> tuple[list[int], list[int]]:
+    """Limits of ranges of ids, ascending, and into how many parts each range is cut by hash; one more for null ids.
+
+    An id that fills several quantiles alone is a range by itself and cut in as many parts. At most about RANGES in all.
+    """
+    known = rows.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows"), F.count("doc_id").alias("ids")).first()
+    many = min(RANGES, max(least, 1 + (known["chars"] or 0) // RANGE_CHARS))
+    nulls = max(1, many * (known["rows"] - known["ids"]) // max(1, known["rows"]))
+    if not known["ids"]:
+        return [], [1, nulls]
+    cuts = rows.agg(F.percentile_approx("doc_id", [(i + 1) / many for i in range(many - 1)] or [0.5], 100 * many).alias("q")).first()["q"]
+    often = {c: cuts.count(c) for c in set(cuts)} if len(set(cuts)) < len(cuts) else {}
+    hot = {c: n for c, n in often.items() if n > 1}
+    limits = sorted({*cuts, *(c + 1 for c in hot if c < 2**63 - 1)})
+    return limits, [1, *(hot.get(c, 1) for c in limits), nulls]
+
+
 def followed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, sigs, next_text, next_sigs): each document and its signatures with the next by descending doc_id; after the last, the first.
 
-    Documents fall in ranges of neighbouring ids (limits from their quantiles); the first document of each range
-    also stands as a guest at the end of the range before, so one window over a range finds every next document.
+    Documents fall in ranges of neighbours; the first document of each range also stands as a guest at the end of the
+    range before, so one window over a range finds every next document. Documents of one id follow each other by a
+    hash of their text. What the driver holds is a few numbers for each range, and ranges are bounded in number.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    carried = ["doc_id", "text", "sigs"]
-    known = rows.agg(F.sum(F.length("text")).alias("chars"), F.count("doc_id").alias("ids")).first()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (known["chars"] or 0) // RANGE_CHARS)
-    limits = []
-    if known["ids"]:
-        cuts = rows.agg(F.percentile_approx("doc_id", [(i + 1) / ranges for i in range(ranges - 1)] or [0.5], 100 * ranges).alias("q")).first()["q"]
-        limits = sorted(set(cuts))
+    rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    limits, cut = _ranges(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Numbers count from the largest ids on; null ids are last.
+    firsts = [0] * len(cut)
+    at = 0
+    for k in [*range(len(cut) - 2, -1, -1), len(cut) - 1]:
+        firsts[k], at = at, at + cut[k]
     # One row of arrays that each row is held against: the plan is as long for many ranges as for few.
-    bounds = F.broadcast(spark.createDataFrame([(limits,)], "limits array<bigint>"))
-    # 0 holds the largest ids; ids on a limit lie above it; null ids are last. The search halves the limits until one place is left.
+    table = F.broadcast(spark.createDataFrame([(limits, firsts, cut)], "limits array<bigint>, firsts array<int>, cut array<int>"))
     middle = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
     halve = lambda a, _: F.when(a["lo"] >= a["hi"], a).when(F.get("limits", middle(a)) <= F.col("doc_id"), F.struct((middle(a) + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), middle(a).alias("hi")))
-    found = F.aggregate(F.sequence(F.lit(0), F.lit(len(limits).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(limits)).alias("hi")), halve, lambda a: F.lit(len(limits)) - a["lo"])
-    rows = rows.crossJoin(bounds).withColumn("range", F.when(F.col("doc_id").isNull(), len(limits) + 1).otherwise(found)).drop("limits")
-    heads = {r["range"]: r["head"] for r in rows.groupBy("range").agg(F.max("doc_id").alias("head")).collect()}  # one row a range
-    if not heads:
-        return rows.select("doc_id", "text", signatures(F.col("text")).alias("sigs"), F.col("text").alias("next_text"), signatures(F.col("text")).alias("next_sigs"))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(len(limits).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(limits)).alias("hi")), halve, lambda a: a["lo"])
+    rows = rows.crossJoin(table).withColumn("place", F.when(F.col("doc_id").isNull(), len(limits) + 1).otherwise(found))
+    part = F.floor((F.shiftright("h", 32) + 2**31) * F.get("cut", F.col("place")) / 2**32)
+    rows = rows.select("doc_id", "text", "h", (F.get("firsts", F.col("place")) + part).cast("int").alias("range"))
+    first = F.max(F.struct("doc_id", F.bitwise_not("h").alias("h"))).alias("head")
+    heads = {r["range"]: (r["head"]["doc_id"], ~r["head"]["h"]) for r in rows.groupBy("range").agg(first).collect()}  # one row a range
+    signed = lambda df: df.withColumn("sigs", signatures(F.col("text")))
     order = sorted(heads)
-    before = dict(zip(order, [order[-1], *order[:-1]]))
-    places = F.broadcast(spark.createDataFrame([([heads.get(r) for r in range(len(limits) + 2)], [before.get(r) for r in range(len(limits) + 2)])], "heads array<bigint>, before array<int>"))
-    turn = Window.partitionBy("range").orderBy(F.desc("guest_order"), F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    # Of documents that share a range's largest id, the first by hash is the head.
-    head = F.col("doc_id").eqNullSafe(F.get("heads", F.col("range")))
-    stays = F.struct(F.col("range").alias("range"), F.lit(1).alias("guest_order"))
-    goes = F.struct(F.get("before", F.col("range")).alias("range"), F.lit(0).alias("guest_order"))
-    rows = rows.withColumn("sigs", signatures(F.col("text"))).crossJoin(places)
-    spread = rows.select(*carried, F.explode(F.when(head, F.array(stays, goes)).otherwise(F.array(stays))).alias("at")).select(*carried, "at.range", "at.guest_order")
-    spread = spread.repartition(len(heads), "range")
-    led = spread.withColumns({"next_text": F.lead("text").over(turn), "next_sigs": F.lead("sigs").over(turn)})
-    return led.filter("guest_order = 1").select(*carried, "next_text", "next_sigs")
+    before = [(r, heads[r][0], heads[r][1], b) for r, b in zip(order, [*order[-1:], *order[:-1]])]
+    before = F.broadcast(spark.createDataFrame(before, "range int, head_id bigint, head_h bigint, to int"))
+    guests = rows.join(before, "range").filter(F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h")))
+    guests = guests.groupBy("to").agg(F.first(F.struct("doc_id", "text", "h")).alias("g")).select("g.*", F.col("to").alias("range"))
+    carried = ["doc_id", "text", "sigs"]
+    both = signed(rows.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)))).repartition(max(1, len(order)), "range")
+    turn = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "h")
+    led = both.withColumns({"next_text": F.lead("text").over(turn), "next_sigs": F.lead("sigs").over(turn)})
+    return led.filter("guest = 0").select(*carried, "next_text", "next_sigs")
 
 
 def compared(docs: DataFrame) -> DataFrame:

@@ -503,3 +503,34 @@ def test_secrets_of_a_long_text(spark):
     clean = by_id(secrets.redact(docs, found))
     assert clean[1]["text"] == "ü [secret] x\n" * 40_000 and clean[1]["n_chars"] == 13 * 40_000 and clean[2]["text"] == "no secret"
     assert time.time() - began < 60
+
+
+def test_followers_of_hot_and_null_ids(spark, monkeypatch):
+    """Ranges cut within one id and within null ids give the same followers as one order of all rows."""
+    monkeypatch.setattr(spotsigs, "RANGE_CHARS", 300)
+    rows = [(i, make_text(i, 12)) for i in range(1, 60)] + [(30, make_text(900 + i, 12)) for i in range(80)] + [(None, make_text(2000 + i, 9)) for i in range(70)] + [(30, make_text(900, 12))] * 3 + [(-5, None), (2**63 - 1, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    told = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    order = sorted(((r["doc_id"] is None, -(r["doc_id"] or 0), r["h"], r["text"]) for r in told))
+    want = Counter((None if null else -i, t, order[(k + 1) % len(order)][3]) for k, (null, i, _, t) in enumerate(order))
+    assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in spotsigs.followed(df).collect()) == want
+
+
+def test_packing_in_many_rounds(spark):
+    """Partitions exchange pieces until one is left; the certificate holds the result against the bound of all pieces."""
+    r = random.Random(5)
+    lengths = [r.choice([30, 35, 40, 51, 60, 99]) for _ in range(3000)]
+    df = spark.createDataFrame([(i, 0, 0, n, 1) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = packing.pack(df, size=100, per_part=60)
+    bins = {}
+    for row in packed.collect():
+        bins.setdefault(row["sequence_id"], []).append((row["offset"], row["length"]))
+    assert sum(map(len, bins.values())) == 3000 and all(sum(n for _, n in b) <= 100 for b in bins.values())
+    said = packing.certificate(packed, size=100).first()
+    assert said["sequences"] == len(bins) and said["bound"] == packing.lower_bound(np.array(lengths), 100) <= len(bins) <= 1.02 * said["bound"] and said["certified"] == (len(bins) == said["bound"])
+    assert packing.certificate(packed.limit(0)).first()["certified"]
+
+
+def test_language_grams_do_not_depend_on_other_planes():
+    grams = lambda t: set(lang_id.ngrams(t)[0].tolist())
+    assert grams("İzmir GÜZEL") == grams("İzmir GÜZEL 😀") and grams("𐐀𐐁") == grams("𐐨𐐩") != grams("ab")
