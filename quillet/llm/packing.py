@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import documents, pick, small_batches, stage, texts_of
 from .tokens import encoder
 
-SIZE, PER_PART, ROUNDS = 2048, 20_000, 8
+SIZE, PER_PART = 2048, 20_000
 
 
 def piece_rows(docs: DataFrame, path: str, *, size: int = SIZE, end_id: int = 0) -> DataFrame:
@@ -74,10 +74,12 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """Least number of bins, by dual-feasible functions: the total, the threshold and the rounding families."""
-    counts = np.bincount(lengths, minlength=size + 1)
-    x = np.flatnonzero(counts)
-    n = counts[x]
+    """lower_bound_of() lengths that are not counted yet."""
+    return lower_bound_of(*np.unique(lengths, return_counts=True), size)
+
+
+def lower_bound_of(x: np.ndarray, n: np.ndarray, size: int) -> int:
+    """Least number of bins for n pieces of each length x, by dual-feasible functions: the total, the threshold and the rounding families."""
     if not len(x):
         return 0
     best = -(-int((x * n).sum()) // size)
@@ -92,7 +94,7 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
     return best
 
 
-def pack_round(rows: DataFrame, parts: int, salt: int, size: int, last: bool) -> DataFrame:
+def pack_round(rows: DataFrame, parts: int, salt: int, size: int) -> DataFrame:
     """One round: every piece with its bin in its partition and offset; bin null for pieces that are given back."""
 
     def run(_, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,9 +103,9 @@ def pack_round(rows: DataFrame, parts: int, salt: int, size: int, last: bool) ->
         bins, offsets, fill = best_fit(lengths, size)
         gap = len(fill) - lower_bound(lengths, size)
         open_ = np.zeros(len(fill), bool)
-        if gap > 0 and not last:
-            # Pieces of one bin more than the room of the other bins could take: the emptiest, and partners with room.
-            open_[np.argsort(fill, kind="stable")[: min(len(fill), 16 * gap + len(fill) // 20)]] = True
+        if gap > 0 and parts > 1:
+            # Pieces of one bin more than the room of the other bins could take: the emptiest, and partners with room; half of the bins at most, so that rounds end.
+            open_[np.argsort(fill, kind="stable")[: min(-(-len(fill) // 2), 16 * gap + len(fill) // 20)]] = True
         return pd.DataFrame({"part": pdf["part"], "bin": pd.Series(bins, index=pdf.index).where(~open_[bins], -1), "offset": offsets, **{c: pdf[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "tie")}})
 
     dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "tie"), F.lit(parts)).cast("long"))
@@ -118,25 +120,32 @@ def pack(pieces: DataFrame, *, size: int = SIZE, per_part: int = PER_PART) -> Da
     whole = rows.filter(F.col("length") == size).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("tie")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done, rest, base = [whole], rows.filter(F.col("length") < size), 0
     left = rest.count()
-    for salt in range(ROUNDS):
-        if not left:
-            break
-        parts = -(-left // per_part)
-        last = salt == ROUNDS - 1
-        tried = stage(pack_round(rest, parts, salt, size, last or parts == 1), f"round{salt}")
+    salt, parts = 0, -(-left // per_part)
+    while left:
+        tried = stage(pack_round(rest, parts, salt, size), f"round{salt}")
         sequence = F.lit(base) + F.col("bin") * F.lit(parts) + F.col("part")
         done.append(tried.filter("bin >= 0").select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset"))
         rest = tried.filter("bin < 0").select("doc_id", "piece", "start", "length", "ids_crc32", "tie")
         base += parts * (per_part * 4 + 1)
-        left = rest.count()
-        if parts == 1:
-            break
+        left, salt = rest.count(), salt + 1
+        # Fewer partitions in each round, down to one, which gives nothing back.
+        parts = max(1, min(parts - 1, -(-left // per_part)))
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
     return out
 
 
+def certificate(packed: DataFrame, *, size: int = SIZE) -> DataFrame:
+    """(sequences, bound, certified) of pack()'s result, one row: its sequences against the dual-feasible bound of all its pieces.
+
+    What reaches the driver is the count of each length, `size` numbers at most. An empty table needs no sequence.
+    """
+    counts = {r["length"]: r["n"] for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    bound = lower_bound_of(np.array(sorted(counts), np.int64), np.array([counts[x] for x in sorted(counts)], np.int64), size)
+    return packed.agg(F.count_distinct("sequence_id").alias("sequences")).select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") == bound).alias("certified"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
