@@ -31,8 +31,8 @@ from .common import documents, mix, parts_for, stage
 
 # The weights by place.
 WEIGHTS = (3, 1, 2)
-#: Words of a block, slots of a shard, children of a node of shards, documents of a source in a bucket.
-BLOCK, SLOTS, FAN, BUCKET, SEED = 64, 1000, 64, 500, 20261
+#: Words of a block, slots of a shard, children of a node of shards, documents of a source in a bucket, buckets in a group; the seed.
+BLOCK, SLOTS, FAN, BUCKET, GROUP, SEED = 64, 1000, 64, 500, 4096, 20261
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -105,8 +105,12 @@ def streams(docs: DataFrame) -> DataFrame:
     rows = stage(rows.select("doc_id", src.alias("src"), "size", "h"), "sizes")
     buckets = 1 + rows.count() // BUCKET
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "h"), F.lit(buckets)))
-    totals = rows.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("src").orderBy("bucket")) - F.col("n")
+    # A source's buckets are summed in two levels, so that no task holds all of them.
+    totals = rows.groupBy("src", "bucket").agg(F.sum("size").alias("n")).withColumn("group", F.floor(F.col("bucket") / GROUP))
+    groups = totals.groupBy("src", "group").agg(F.sum("n").alias("m"))
+    groups = groups.select("src", "group", (F.sum("m").over(Window.partitionBy("src").orderBy("group")) - F.col("m")).alias("start"))
+    before = F.col("start") + F.sum("n").over(Window.partitionBy("src", "group").orderBy("bucket")) - F.col("n")
+    totals = totals.join(groups, ["src", "group"])
     within = F.sum("size").over(Window.partitionBy("src", "bucket").orderBy("doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     laid = rows.withColumn("within", within).join(totals.select("src", "bucket", before.alias("before")), ["src", "bucket"])
     return stage(laid.select(F.monotonically_increasing_id().alias("row"), "doc_id", "src", "size", "h", (F.col("before") + F.col("within")).alias("at")), "streams")
