@@ -45,8 +45,9 @@ def _folded(text: str) -> np.ndarray:
     for at in range(0, len(text), CHUNK):
         points = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
         if (high := points > 65535).any():
-            points = np.array([ord(c.lower()[0]) if c.isalpha() else 32 for c in text[at : at + CHUNK]], np.uint32)
-            folded = np.where(high, np.where(points == 32, 0, points), _letters()[np.where(high, 0, points)]).astype(np.uint64)
+            folded = _letters()[np.where(high, 0, points)].astype(np.uint64)
+            for p in np.unique(points[high]).tolist():
+                folded[points == p] = ord(chr(p).lower()) if chr(p).isalpha() else 0
         else:
             folded = _letters()[points].astype(np.uint64)
         keep = folded != 0
