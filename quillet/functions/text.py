@@ -179,6 +179,11 @@ def without_spans(text: Column, spans: Column, mark: str) -> Column:
     return F.when(F.size(spans) > 0, let(F.struct(chunks.alias("chunks"), spans.alias("spans")), laid)).otherwise(text)
 
 
+def line_array(text: Column) -> Column:
+    """A text's lines without their ends; a last empty line doesn't count."""
+    return let(F.split(text, LINE_END, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+
+
 def supported_path(path: Column) -> Column:
     """Whether a path has one of the suffixes that are taken as sources."""
     return F.lower(path).rlike(SUPPORTED)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import LINE_END, context_token_count, tokenize
-from . import graph, retrieval
+from ..functions.text import LINE_END, context_token_count, line_bounds, tokenize
+from ..sources.staging import stage
+from . import graph, retrieval, slices
 from .rules import security_focus
 
 
@@ -28,47 +29,69 @@ def shares(ranked: DataFrame, budget: int, *, key: str = "query_id") -> DataFram
     return rows.withColumn("share", share.cast("long")).drop("n", "i")
 
 
-def cut_each(rows: DataFrame, share: str = "share") -> DataFrame:
-    """Each text cut at its own share of tokens."""
-    tokens = F.regexp_extract_all("text", F.lit(r"(?U)\s*(?:\w+|[^\w\s])"), F.lit(0))
-    return rows.withColumn("text", F.when(F.size(tokens) <= F.col(share), F.col("text")).otherwise(F.array_join(F.slice(tokens, F.lit(1), F.col(share).cast("int")), "")))
+def augmentation(docs: DataFrame, edges: DataFrame, candidates: DataFrame, mode: str, top_k: int, hops: int, direction: str = "forward") -> DataFrame:
+    """(query_id, path, rank) of what is read beside a candidate's document: by words, by calls, or by both in turn (hybrid)."""
+    own = candidates.select("query_id", "path")
+    lexical = retrieval.tfidf(docs, candidates, F.col("text"), F.col("query"), F.col("query").rlike(r"/|::|\.|\\"))
+
+    def others(found: DataFrame, k: int) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy("rank")
+        return found.join(own, ["query_id", "path"], "left_anti").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "path", "rank")
+
+    def near(seeds: DataFrame, graph_edges: DataFrame) -> DataFrame:
+        reached = graph.distances(seeds.select("path").distinct(), graph_edges, hops)
+        found = seeds.select("query_id", F.col("path").alias("seed")).join(reached, "seed").join(lexical.withColumnRenamed("score", "lexical"), ["query_id", "path"], "left")
+        return others(retrieval.graph_rank(found.select("query_id", "path", "distance", "lexical"), top_k + 1), top_k)
 
+    if mode == "text":
+        return others(retrieval.top_k(lexical, 3 * top_k), top_k)
+    if mode == "graph":
+        ways = {"forward": edges, "reverse": graph.reverse(edges), "both": edges.union(graph.reverse(edges))}
+        return near(own, ways[direction])
+    if mode != "hybrid":
+        raise ValueError(f"unsupported retrieval mode: {mode}")
+    lexical = stage(lexical, "lexical")
+    best = others(retrieval.top_k(lexical, 2), 1)
+    return retrieval.hybrid([near(own, edges), others(retrieval.top_k(lexical, top_k + 1), top_k), near(best, edges)], 3 * top_k).select("query_id", "path", "rank")
 
-def retrieve(docs: DataFrame, edges: DataFrame, candidates: DataFrame, mode: str, *, base_tokens: int = 512, more_tokens: int = 1488, top_k: int = 10, hops: int = 4) -> DataFrame:
-    """Evidence (query_id, path, text, rank, part) of candidates by mode local, text or graph.
 
-    The own document comes first; the candidate's document never is its own augmentation.
+def retrieve(docs: DataFrame, edges: DataFrame, candidates: DataFrame, mode: str, *, base_tokens: int = 512, more_tokens: int = 1488, top_k: int = 10, hops: int = 4, direction: str = "forward") -> DataFrame:
+    """Evidence (query_id, path, text, rank, part) of candidates by mode local, text, graph or hybrid.
+
+    The own document comes first; the candidate's document never is its own augmentation. A text that is longer than
+    its share is read around the line that fits the query best (the candidate's own line, where candidates have a
+    column `line`, if none does); of what calls lead to, the lines that its sinks depend on come first, if they fit.
     """
-    own = candidates.select("query_id", "path").join(docs.select("path", "text"), "path").select("query_id", "path", "text", F.lit(0).alias("rank"), F.lit("base").alias("part"))
+    named = candidates.withColumn("line", F.col("line") if "line" in candidates.columns else F.lit(None).cast("int"))
+    first, last = (line_bounds(F.col("path"))[x] for x in ("first", "last"))
+    fallback = F.when(F.col("line").between(first, last), F.col("line") - first + 1).otherwise(1)
+    own = named.select("query_id", "path", "query", fallback.cast("int").alias("fallback")).join(docs.select("path", "text"), "path")
+    own = focused(own, base_tokens, F.col("query"), F.col("fallback")).select("query_id", "path", "text", F.lit(0).alias("rank"), F.lit("base").alias("part"))
     base = retrieval.limit_budget(own, base_tokens).drop("n_tokens")
     if mode == "local":
         return base
-    if mode not in ("text", "graph"):
-        raise ValueError(f"unsupported retrieval mode: {mode}")
-    lexical = retrieval.tfidf(docs, candidates, F.col("text"), F.col("query"), F.col("query").rlike(r"/|::|\.|\\"))
-    if mode == "text":
-        found = retrieval.top_k(lexical, 3 * top_k)
-    else:
-        reached = graph.distances(candidates.select("path").distinct(), edges.union(graph.reverse(edges)), hops)
-        near = candidates.select("query_id", F.col("path").alias("seed")).join(reached, "seed").join(lexical.withColumnRenamed("score", "lexical"), ["query_id", "path"], "left")
-        found = retrieval.graph_rank(near.select("query_id", "path", "distance", "lexical"), top_k + 1)
-    other = found.join(candidates.select("query_id", "path"), ["query_id", "path"], "left_anti")
-    order = Window.partitionBy("query_id").orderBy("rank")
-    other = other.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "path", "rank")
-    texts = cut_each(shares(other, more_tokens).join(docs.select("path", "text"), "path"))
+    other = stage(augmentation(docs, edges, candidates, mode, top_k, hops, direction), "augmentation")
+    dealt = shares(other, more_tokens).join(docs.select("path", "text"), "path").join(candidates.select("query_id", "query"), "query_id")
+    texts = focused(dealt, F.col("share").cast("int"), F.col("query"), F.lit(1), security=mode != "text").select("query_id", "path", "rank", "share", "text")
+    if mode != "text":
+        long = docs.join(other.select("path").distinct(), "path", "left_semi").filter(context_token_count(F.col("text")) > F.lit(more_tokens) / (2 * top_k))
+        sliced = slices.compact_texts(long.select("path", "text")).select("path", F.col("text").alias("slice"), F.col("n_tokens").alias("slice_tokens"))
+        whole = docs.select("path", context_token_count(F.col("text")).alias("all_tokens"))
+        texts = texts.join(whole, "path").join(sliced, "path", "left").withColumn("text", F.when((F.col("all_tokens") > F.col("share")) & (F.col("slice_tokens") <= F.col("share")), F.col("slice")).otherwise(F.col("text")))
     more = retrieval.limit_budget(texts.select("query_id", "path", "text", "rank", F.lit("augmentation").alias("part")), more_tokens).drop("n_tokens")
     return base.unionByName(more)
 
 
-def focused(rows: DataFrame, budget: int, query: Column, fallback: Column, *, security: bool = False) -> DataFrame:
+def focused(rows: DataFrame, budget: int | Column, query: Column, fallback: Column, *, security: bool = False) -> DataFrame:
     """rows (text, ...) with text cut to a window of lines of at most `budget` tokens, and center, first, last (lines from 0, last exclusive) and n_tokens.
 
     The centre is the line with the best (security score, distinct query terms, nearness to the fallback line, place);
     without any score it is the fallback line (from 1). The window grows by a line before, then a line behind, as long
     as one of them fits; a centre that is too long is cut behind a token. A text within the budget stays whole.
     """
-    if isinstance(budget, bool) or budget < 1:
+    if not isinstance(budget, Column) and (isinstance(budget, bool) or budget < 1):
         raise ValueError("context token budget must be positive")
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
     marks = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
     lines = F.regexp_extract_all("text", F.lit(f"[^{marks}]*(?:{LINE_END})|[^{marks}]+"), F.lit(0))
     held = rows.withColumn("lines_", lines)
@@ -89,7 +112,7 @@ def focused(rows: DataFrame, budget: int, query: Column, fallback: Column, *, se
     window = F.when(total <= budget, F.struct(F.lit(0).alias("first"), all_.alias("last"), total.alias("n"))).when(count(F.col("center")) >= budget, start).otherwise(F.aggregate(F.sequence(F.lit(1), all_), start, grow))
     held = held.withColumns({"total_": total, "window_": window})
     body = F.array_join(F.slice("lines_", F.col("window_.first") + 1, F.col("window_.last") - F.col("window_.first")), "")
-    tokens = F.slice(F.regexp_extract_all(body, F.lit(r"(?U)\s*(?:\w+|[^\w\s])"), F.lit(0)), F.lit(1), F.lit(budget))
+    tokens = F.slice(F.regexp_extract_all(body, F.lit(r"(?U)\s*(?:\w+|[^\w\s])"), F.lit(0)), F.lit(1), budget)
     text = F.when(F.col("window_.n") <= budget, body).otherwise(F.array_join(tokens, ""))
     keep = [c for c in rows.columns if c != "text"]
-    return held.filter(F.size("lines_") > 0).select(*keep, text.alias("text"), "center", "window_.first", "window_.last", F.least(F.col("window_.n"), F.lit(budget)).alias("n_tokens"))
+    return held.filter(F.size("lines_") > 0).select(*keep, text.alias("text"), "center", "window_.first", "window_.last", F.least(F.col("window_.n"), budget).alias("n_tokens"))

@@ -44,14 +44,9 @@ GUARD = (
 )
 
 
-def line_array(text: Column) -> Column:
-    """A text's lines without their ends; a last empty line doesn't count."""
-    return T.let(F.split(text, LINE_END, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
-
-
 def lines(docs: DataFrame, **twins: Column) -> DataFrame:
     """docs with one row a line instead of the text: line (from 1) and code; a twin is a text with the same line ends, cut along."""
-    held = F.arrays_zip(line_array(F.col("text")).alias("code"), *[line_array(c).alias(n) for n, c in twins.items()])
+    held = F.arrays_zip(T.line_array(F.col("text")).alias("code"), *[T.line_array(c).alias(n) for n, c in twins.items()])
     rows = docs.select(*docs.columns, F.posexplode(held).alias("at", "l"))
     return rows.select(*[c for c in docs.columns if c != "text"], (F.col("at") + 1).alias("line"), *[F.col("l")[n].alias(n) for n in ("code", *twins)])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.python_code import python_documents
-from ..operators import authorization, flow, graph
+from ..operators import authorization, flow, graph, slices
 from ..sources.staging import stage
 from . import bindings as B
 
@@ -189,3 +189,60 @@ def guard_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensitive actions that each route reaches by three calls at most, and whether every way to them meets a guard."""
     docs, edges, defines = functions_of(route_files(spark, sf_dir))
     return authorization.guard_comparison(docs, edges, defines, 3)
+
+
+#: Lines of Java-like code: text, what it assigns, what that needs, its kind, and what the kind asks for.
+JAVA = [
+    ("String bar = param;", "bar", "param", "", ""),
+    ('param = request.getParameter("q");', "param", "request,getParameter", "source", ""),
+    ("cmd = prefix + bar;", "cmd", "prefix,bar", "", ""),
+    ("if (bar.equals(mode))", "", "", "if", "bar,equals,mode"),
+    ('prefix = "sh";', "prefix", "", "", ""),
+    ('map.put("k", param);', "", "", "put", "param"),
+    ('bar = map.get("k");', "bar", "map,get", "get", ""),
+    ("switch (mode) {", "", "", "switch", "mode"),
+    ("}", "", "", "close", ""),
+    ("Runtime.getRuntime().exec(cmd);", "", "", "sink", "cmd"),
+    ("int count = 1;", "count", "", "", ""),
+    ("mode = name.trim();", "mode", "name", "", ""),
+    ("// note", "", "", "", ""),
+    ("statement.execute(sql", "", "", "sink", "sql"),
+    ("  + bar);", "", "", "tail", ""),
+]
+LENGTH = 14
+
+
+def java_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, text): LENGTH lines of code for each document."""
+    d = B.table(spark, sf_dir, "documents")
+    at = F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda k: F.get(F.array(*[F.lit(x[0]) for x in JAVA]), ((F.col("doc_id") * (2 * k + 3) + F.col("n_chars") * (k % 2 + 1) + k * k) % len(JAVA)).cast("int")))
+    return d.select("doc_id", F.concat(F.lit("J"), F.col("doc_id").cast("string"), F.lit(".java")).alias("path"), F.array_join(at, "\n").alias("text"))
+
+
+JAVA_TWIN = f"""WITH RECURSIVE {_rows("t", "c, code, name, needs, kind, asks", [(i, *x) for i, x in enumerate(JAVA)])},
+l AS (SELECT doc_id, i, t.* FROM (SELECT doc_id, unnest(range(0, {LENGTH})) AS i, n_chars FROM documents) JOIN t ON c = (doc_id * (2 * i + 3) + n_chars * (i % 2 + 1) + i * i) % {len(JAVA)}),
+fs AS (SELECT doc_id, min(CASE WHEN kind = 'sink' THEN i END) AS first_sink, bool_or(kind = 'source') AND bool_or(kind = 'sink') AS two FROM l GROUP BY doc_id),
+sw AS (SELECT doc_id, -1 AS i, CAST([] AS BIGINT[]) AS open, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS closed FROM fs
+  UNION ALL SELECT sw.doc_id, sw.i + 1, CASE WHEN kind = 'switch' THEN list_append(open, l.i) WHEN kind = 'close' THEN open[:-2] ELSE open END, CASE WHEN kind = 'close' AND len(open) > 0 THEN list_append(closed, {{'a': open[-1], 'b': l.i}}) ELSE closed END FROM sw JOIN l ON l.doc_id = sw.doc_id AND l.i = sw.i + 1),
+ends AS (SELECT doc_id, z.a AS a, z.b AS b FROM (SELECT doc_id, unnest(closed) AS z FROM sw WHERE i = {LENGTH - 1})),
+asg AS (SELECT l.doc_id, l.i, l.name, l.kind, string_split(l.needs, ',') AS needs, sw.open[-1] AS switch_at, (SELECT max(x.i) FROM l x WHERE x.doc_id = l.doc_id AND x.kind = 'if' AND x.i BETWEEN l.i - 4 AND l.i - 1) AS if_at
+  FROM l JOIN fs USING (doc_id) JOIN sw ON sw.doc_id = l.doc_id AND sw.i = l.i WHERE name <> '' AND l.i < first_sink),
+edge AS (SELECT doc_id, name, unnest(needs) AS need FROM asg UNION SELECT doc_id, name, unnest(['bar', 'equals', 'mode']) FROM asg WHERE if_at IS NOT NULL UNION SELECT doc_id, name, 'mode' FROM asg WHERE switch_at IS NOT NULL
+  UNION SELECT a.doc_id, a.name, 'param' FROM asg a JOIN l ON l.doc_id = a.doc_id AND l.kind = 'put' AND l.i < a.i WHERE a.kind = 'get'),
+want AS (SELECT DISTINCT doc_id, asks AS name, 0 AS depth FROM l WHERE kind = 'sink' UNION SELECT want.doc_id, need, depth + 1 FROM want JOIN edge USING (doc_id, name) WHERE depth < 5),
+used AS (SELECT * FROM asg WHERE (doc_id, name) IN (SELECT doc_id, name FROM want)),
+call AS (SELECT doc_id, i AS start, i, CASE WHEN code LIKE 'statement%' THEN 1 ELSE 0 END AS depth FROM l WHERE kind = 'sink'
+  UNION ALL SELECT call.doc_id, start, l.i, greatest(0, depth + CASE WHEN l.code LIKE 'statement%' THEN 1 WHEN l.kind = 'tail' THEN -1 ELSE 0 END) FROM call JOIN l ON l.doc_id = call.doc_id AND l.i = call.i + 1 JOIN l own ON own.doc_id = call.doc_id AND own.i = call.i WHERE NOT (depth = 0 AND own.code LIKE '%;')),
+done AS (SELECT doc_id, start, min(i) AS stop FROM call JOIN l USING (doc_id, i) WHERE depth = 0 AND code LIKE '%;' GROUP BY ALL),
+stmt AS (SELECT call.doc_id, call.i FROM call LEFT JOIN done USING (doc_id, start) WHERE call.i <= coalesce(stop, start)),
+kept AS (SELECT doc_id, i FROM used WHERE switch_at IS NULL UNION SELECT doc_id, if_at FROM used WHERE if_at IS NOT NULL
+  UNION SELECT a.doc_id, l.i FROM used a JOIN l ON l.doc_id = a.doc_id AND l.kind = 'put' AND l.i < a.i WHERE a.kind = 'get'
+  UNION SELECT doc_id, unnest(range(switch_at, coalesce(b, switch_at) + 1)) FROM (SELECT DISTINCT u.doc_id, u.switch_at, b FROM used u LEFT JOIN ends ON ends.doc_id = u.doc_id AND ends.a = u.switch_at WHERE u.switch_at IS NOT NULL)
+  UNION SELECT doc_id, coalesce(max(CASE WHEN i <= first_sink THEN i END), min(i)) FROM l JOIN fs USING (doc_id) WHERE kind = 'source' GROUP BY doc_id),
+every AS (SELECT doc_id, i FROM stmt UNION SELECT doc_id, i FROM kept JOIN fs USING (doc_id) WHERE two UNION SELECT doc_id, min(i) FROM l JOIN fs USING (doc_id) WHERE kind = 'source' AND NOT two GROUP BY doc_id)"""
+
+
+@query(f"{JAVA_TWIN} SELECT 'J' || doc_id || '.java' AS path, CAST(i AS INT) AS i FROM every")
+def security_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that each document's sinks depend on, with the nearest source and the sinks' statements."""
+    return slices.kept_lines(java_texts(spark, sf_dir))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillet.functions.python_code import python_documents
-from quillet.operators import authorization, flow, graph
+from quillet.operators import authorization, context, flow, graph, slices
 
 NAMES = ["x", "y", "z"]
 
@@ -174,3 +174,36 @@ def test_guards_on_ways(spark, first, second, want):
     edges, defines = graph_of(docs)
     got = {(r["path"].split("::")[1].split("@")[0], r["line"]): (r["route"] and "top", r["status"]) for r in authorization.guard_comparison(docs, edges, defines, 4).collect()}
     assert got == {("act", 3): ("top", want), ("alone", 2): (None, "unreached")}
+
+
+def test_context_reads_what_lies_behind_a_prefix(spark):
+    """A sink at the end of a long document, and the lines that it depends on, come into the context of a candidate that leads there."""
+    filler = "\n".join(f"    log('step {i} of the work that is done here, word by word')" for i in range(400))
+    far = f"def helper(request):\n    param = request.args\n{filler}\n    cmd = param.name\n{filler}\n    subprocess.run(cmd, shell=True);\n"
+    near = f"def entry(request):\n{filler}\n    check_permission(request)\n    helper(request)\n"
+    docs = spark.createDataFrame([("a.py::entry@1-404", near), ("b.py::helper@1-805", far), ("c.py::other@1-2", "helper words\nabout check_permission"), ("d.py::none@1-1", ""), ("e.py::lead@1-1", "x")], "path string, text string")
+    edges = spark.createDataFrame([("a.py::entry@1-404", "b.py::helper@1-805"), ("c.py::other@1-2", "e.py::lead@1-1")], "src string, dst string")
+    cand = spark.createDataFrame([(1, "a.py::entry@1-404", "check_permission helper", 402)], "query_id int, path string, query string, line int")
+    for mode, want in (("local", "a"), ("graph", "ab"), ("text", "acb"), ("hybrid", "abce")):
+        got = context.retrieve(docs, edges, cand, mode).orderBy("part", "rank").collect()
+        assert "".join(r["path"][0] for r in sorted(got, key=lambda r: (r["part"] != "base", r["rank"]))) == want or mode == "text" and {r["path"][0] for r in got} == set(want)
+        text = {r["path"][0]: r["text"] for r in got}
+        assert "check_permission(request)" in text["a"] and context_tokens(text["a"]) <= 512
+        if mode in ("graph", "hybrid"):
+            assert "subprocess.run(cmd, shell=True);" in text["b"] and "param = request.args" in text["b"] and slices.OMITTED in text["b"]
+
+
+def context_tokens(text):
+    import re
+
+    return len(re.findall(r"\w+|[^\w\s]", text))
+
+
+def test_kept_lines_of_odd_texts(spark):
+    texts = {"null": None, "empty": "", "plain": "a\nb", "source": "x = 1\ny = request.args", "sink": "eval(\n 'a;('\n);", "open": "eval(x", "loop": "a = b;\nb = a;\nrequest.args\nexec(a);", "case": "switch (k) {\n  bar = request.getParameter(q);\n}\n}\nsql = bar;\nst.executeQuery(sql);"}
+    docs = spark.createDataFrame(list(texts.items()), "path string, text string")
+    got = {}
+    for r in slices.kept_lines(docs).collect():
+        got.setdefault(r["path"], set()).add(r["i"])
+    assert got == {"source": {1}, "sink": {0, 1, 2}, "open": {0}, "loop": {0, 1, 2, 3}, "case": {0, 1, 2, 4, 5}}
+    assert slices.kept_lines(docs.limit(0)).count() == 0
