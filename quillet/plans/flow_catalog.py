@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.python_code import python_documents
-from ..operators import authorization, flow, graph, slices
+from ..operators import authorization, flow, graph, identity, receivers, slices
 from ..sources.staging import stage
 from . import bindings as B
 
@@ -246,3 +246,59 @@ every AS (SELECT doc_id, i FROM stmt UNION SELECT doc_id, i FROM kept JOIN fs US
 def security_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that each document's sinks depend on, with the nearest source and the sinks' statements."""
     return slices.kept_lines(java_texts(spark, sf_dir))
+
+
+def _level(name: str, of: str, digits: int) -> str:
+    return f"{name} AS (SELECT source, {f'substr(place, 1, {digits})' if digits else repr('')} AS place, sum(n) AS n, sha256(string_agg(digest, '' ORDER BY place, digest)) AS digest FROM {of} GROUP BY ALL)"
+
+
+@query(
+    f"""WITH leaf AS (SELECT source, own AS place, n, sha256(own || ':' || n) AS digest FROM (SELECT source, sha256(coalesce(text, '')) AS own, count(*) AS n FROM documents GROUP BY ALL)),
+{_level("two", "leaf", 2)}, {_level("one", "two", 1)}, {_level("top", "one", 0)}
+SELECT source AS repository_id, lang, digest AS source_digest FROM (SELECT DISTINCT source, lang FROM documents) d JOIN top USING (source)"""
+)
+def subject_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language of a source with the digest of all of the source's texts."""
+    docs = B.table(spark, sf_dir, "documents").select(F.col("source").alias("repository_id"), "lang", "text")
+    return identity.subjects(docs.select("repository_id", "lang").distinct(), docs, F.col("text"), depth=2)
+
+
+BOXES = """import c{t} as other
+
+class Base_{d}:
+    def __init__(self):
+        self.peer = {0}
+    def ping(self):
+        return 1
+
+class Box_{d}({1}):
+    def __init__(self, q: Base_{d}):
+        self.near = {2}
+    def run(self):
+        self.near.ping()
+        self.peer.ping()
+        self.ping()
+"""
+
+
+def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a file c<id>.py for each document."""
+    d, n = F.col("doc_id"), F.col("n_chars")
+    values = _targets()
+    own, far = F.concat(F.lit("Base_"), values["d"]), F.concat(F.lit("other.Base_"), values["t"])
+    pick = lambda items, at: F.get(F.array(*items), at.cast("int"))
+    call = lambda c: F.concat(c, F.lit("()"))
+    values |= {"0": pick([call(far), F.lit("make()")], (d + n) % 2), "1": pick([own, far, F.lit("object")], (d * 3 + n) % 3), "2": pick([F.lit("q"), call(own), call(far)], (d * 5 + n) % 3)}
+    return B.table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(BOXES, values), "UTF-8").alias("content"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, (doc_id * 7 + n_chars) % {CALLED} AS t, (doc_id + n_chars) % 2 AS p, (doc_id * 3 + n_chars) % 3 AS b, (doc_id * 5 + n_chars) % 3 AS n FROM documents),
+base AS (SELECT doc_id, CASE b WHEN 0 THEN doc_id WHEN 1 THEN t END AS at_class FROM d),
+e AS (SELECT doc_id, CASE n WHEN 2 THEN t ELSE doc_id END AS to_class FROM d UNION SELECT doc_id, at_class FROM base UNION SELECT base.doc_id, o.t FROM base JOIN d o ON o.doc_id = at_class WHERE o.p = 0)
+SELECT 'c' || e.doc_id || '.py::Box_' || e.doc_id || '.run@12-15' AS src, 'c' || to_class || '.py::Base_' || to_class || '.ping@6-7' AS dst FROM e JOIN d ON d.doc_id = e.to_class"""
+)
+def receiver_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls on self and its fields, by the fields' types and the classes above, over imports."""
+    docs = stage(python_documents(class_files(spark, sf_dir)).filter("error is null"), "classes")
+    return receivers.receiver_edges(docs)

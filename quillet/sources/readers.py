@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.identity import tree_digest
+
 # Folders that no scan enters, and languages by file suffix.
 SKIPPED = (".git", ".venv", "venv", "node_modules", "__pycache__", "vendor", "build", "dist")
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "rb": "ruby", "sh": "shell", "yaml": "yaml", "yml": "yaml"}
@@ -32,9 +34,8 @@ def source_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = tup
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """One row: SHA-256 over the paths and digests of all files, in path order."""
-    lines = F.array_sort(F.collect_list(F.concat_ws("\0", "path", "sha256")))
-    return files.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"), F.count("*").alias("files"))
+    """One row (fingerprint, files): the digest of the tree over the paths and digests of all files; no row for no files."""
+    return tree_digest(files, F.concat_ws("\0", "path", "sha256")).select(F.col("digest").alias("fingerprint"), F.col("rows").alias("files"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
