@@ -32,7 +32,9 @@ def shares(ranked: DataFrame, budget: int, *, key: str = "query_id") -> DataFram
 def augmentation(docs: DataFrame, edges: DataFrame, candidates: DataFrame, mode: str, top_k: int, hops: int, direction: str = "forward") -> DataFrame:
     """(query_id, path, rank) of what is read beside a candidate's document: by words, by calls, or by both in turn (hybrid)."""
     own = candidates.select("query_id", "path")
-    lexical = retrieval.tfidf(docs, candidates, F.col("text"), F.col("query"), F.col("query").rlike(r"/|::|\.|\\"))
+
+    def lexical(pairs: DataFrame | None = None) -> DataFrame:
+        return retrieval.tfidf(docs, candidates, F.col("text"), F.col("query"), F.col("query").rlike(r"/|::|\.|\\"), pairs)
 
     def others(found: DataFrame, k: int) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy("rank")
@@ -40,19 +42,20 @@ def augmentation(docs: DataFrame, edges: DataFrame, candidates: DataFrame, mode:
 
     def near(seeds: DataFrame, graph_edges: DataFrame) -> DataFrame:
         reached = graph.distances(seeds.select("path").distinct(), graph_edges, hops)
-        found = seeds.select("query_id", F.col("path").alias("seed")).join(reached, "seed").join(lexical.withColumnRenamed("score", "lexical"), ["query_id", "path"], "left")
+        found = stage(seeds.select("query_id", F.col("path").alias("seed")).join(reached, "seed"), "reached")
+        found = found.join(lexical(found).withColumnRenamed("score", "lexical"), ["query_id", "path"], "left")
         return others(retrieval.graph_rank(found.select("query_id", "path", "distance", "lexical"), top_k + 1), top_k)
 
     if mode == "text":
-        return others(retrieval.top_k(lexical, 3 * top_k), top_k)
+        return others(retrieval.top_k(lexical(), 3 * top_k), top_k)
     if mode == "graph":
         ways = {"forward": edges, "reverse": graph.reverse(edges), "both": edges.union(graph.reverse(edges))}
         return near(own, ways[direction])
     if mode != "hybrid":
         raise ValueError(f"unsupported retrieval mode: {mode}")
-    lexical = stage(lexical, "lexical")
-    best = others(retrieval.top_k(lexical, 2), 1)
-    return retrieval.hybrid([near(own, edges), others(retrieval.top_k(lexical, top_k + 1), top_k), near(best, edges)], 3 * top_k).select("query_id", "path", "rank")
+    words = stage(retrieval.top_k(lexical(), max(2, top_k + 1)), "words")
+    best = others(words, 1)
+    return retrieval.hybrid([near(own, edges), others(words, top_k), near(best, edges)], 3 * top_k).select("query_id", "path", "rank")
 
 
 def retrieve(docs: DataFrame, edges: DataFrame, candidates: DataFrame, mode: str, *, base_tokens: int = 512, more_tokens: int = 1488, top_k: int = 10, hops: int = 4, direction: str = "forward") -> DataFrame:
@@ -75,6 +78,7 @@ def retrieve(docs: DataFrame, edges: DataFrame, candidates: DataFrame, mode: str
     texts = focused(dealt, F.col("share").cast("int"), F.col("query"), F.lit(1), security=mode != "text").select("query_id", "path", "rank", "share", "text")
     if mode != "text":
         long = docs.join(other.select("path").distinct(), "path", "left_semi").filter(context_token_count(F.col("text")) > F.lit(more_tokens) / (2 * top_k))
+        # Short texts are read whole: slices are asked only where a text is longer than the least share.
         sliced = slices.compact_texts(long.select("path", "text")).select("path", F.col("text").alias("slice"), F.col("n_tokens").alias("slice_tokens"))
         whole = docs.select("path", context_token_count(F.col("text")).alias("all_tokens"))
         texts = texts.join(whole, "path").join(sliced, "path", "left").withColumn("text", F.when((F.col("all_tokens") > F.col("share")) & (F.col("slice_tokens") <= F.col("share")), F.col("slice")).otherwise(F.col("text")))

@@ -54,33 +54,49 @@ def bm25(docs: DataFrame, queries: DataFrame, text: Column, query: Column) -> Da
     return hits.groupBy("query_id", "path").agg(F.round(F.sum(score), DIGITS).alias("score"))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, text: Column, query: Column, path_like: Column) -> DataFrame:
+def tfidf(docs: DataFrame, queries: DataFrame, text: Column, query: Column, path_like: Column, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, path, score): sum of q (1 + ln tf) idf; where path_like holds, q (4 + ln ptf) for terms of the path as well.
 
     A path that holds a path-like query whole gets 50 more, and 1000 more for each of the query's path fragments it holds.
+    With pairs (query_id, path) only those are scored, in work that grows with the pairs and not with what terms share.
     """
     asked = queries.select("query_id", path_like.alias("path_like"), F.explode(tokenize(query)).alias("term"))
     asked = asked.groupBy("query_id", "path_like", "term").agg(F.count("*").alias("q"))
     tf = asked_terms(docs, text, asked)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(corpus_size(docs)), F.lit(True)).select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
-    body = tf.join(asked, "term").join(idf, "term").select("query_id", "path", (F.col("q") * (1 + F.log("tf")) * F.col("idf")).alias("s"))
-    named = asked_terms(docs, F.col("path"), asked.filter("path_like")).join(asked.filter("path_like"), "term").select("query_id", "path", (F.col("q") * (4 + F.log("tf"))).alias("s"))
-    bonus = path_bonus(docs, queries, query, path_like).select("query_id", "path", F.col("bonus").cast("double").alias("s"))
+    meet = lambda held, wanted: held.join(wanted, "term") if pairs is None else wanted.join(pairs.select("query_id", "path").distinct(), "query_id").join(held, ["path", "term"])
+    body = meet(tf, asked).join(idf, "term").select("query_id", "path", (F.col("q") * (1 + F.log("tf")) * F.col("idf")).alias("s"))
+    named = meet(asked_terms(docs, F.col("path"), asked.filter("path_like")), asked.filter("path_like")).select("query_id", "path", (F.col("q") * (4 + F.log("tf"))).alias("s"))
+    bonus = path_bonus(docs, queries, query, path_like, pairs).select("query_id", "path", F.col("bonus").cast("double").alias("s"))
     return body.union(named).union(bonus).groupBy("query_id", "path").agg(F.round(F.sum("s"), DIGITS).alias("score"))
 
 
-def path_bonus(docs: DataFrame, queries: DataFrame, query: Column, path_like: Column) -> DataFrame:
+def grams(text: Column) -> Column:
+    """The distinct runs of one to three characters of a text."""
+    runs = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+
+
+def path_bonus(docs: DataFrame, queries: DataFrame, query: Column, path_like: Column, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, path, bonus) of documents whose path holds the query (50, where it is path-like) or its path fragments (1000 each).
 
-    Only fragments, and queries that look like a path, are held against paths: a few strings, not terms.
+    Fragments meet paths by an equi-join on the run of three characters of theirs (fewer, if shorter) that the fewest
+    paths have; whether the path holds them is asked behind it.
     """
     low = F.lower(query)
     parts = F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(FRAGMENT), F.lit(0)), lambda x: F.regexp_replace(x, "^[.,;:]+|[.,;:]+$", "")))
     whole = F.when(path_like & (F.trim(low) != ""), F.array(F.struct(F.trim(low).alias("part"), F.lit(50).alias("worth")))).otherwise(F.expr("cast(array() as array<struct<part:string,worth:int>>)"))
-    found = queries.select("query_id", F.explode(F.concat(whole, F.transform(parts, lambda x: F.struct(x.alias("part"), F.lit(1000).alias("worth"))))).alias("w")).select("query_id", "w.part", "w.worth")
-    hit = found.join(docs.select("path"), F.contains(F.lower("path"), F.col("part")))
-    return hit.groupBy("query_id", "path").agg(F.sum("worth").alias("bonus"))
+    found = queries.select("query_id", F.explode(F.concat(whole, F.transform(parts, lambda x: F.struct(x.alias("part"), F.lit(1000).alias("worth"))))).alias("w")).select("query_id", "w.part", "w.worth").filter("part <> ''")
+    if pairs is not None:
+        hit = found.join(pairs.select("query_id", "path").distinct(), "query_id")
+        return hit.filter(F.contains(F.lower("path"), F.col("part"))).groupBy("query_id", "path").agg(F.sum("worth").alias("bonus"))
+    held = docs.select("path", F.explode(grams(F.lower("path"))).alias("gram"))
+    own = F.filter(grams(F.col("part")), lambda g: F.length(g) == F.least(F.length("part"), F.lit(3)))
+    rare = found.select("part").distinct().select("part", F.explode(own).alias("gram")).join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    rare = rare.groupBy("part").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    places = rare.join(held, "gram").filter(F.contains(F.lower("path"), F.col("part"))).select("part", "path")
+    return found.join(places, "part").groupBy("query_id", "path").agg(F.sum("worth").alias("bonus"))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..functions.python_code import python_documents, scanned
 from ..functions import lexical
-from ..operators import accept, context, experts, graph, journal, locate, metrics, retrieval, rules, votes
+from ..functions import text as T
+from ..operators import accept, graph, journal, locate, metrics, retrieval, rules, votes
 from ..sources import readers
 from ..sources.staging import new_path
 from ..streaming import journal as streaming_journal
 from . import bindings as B
-from . import code_catalog, evidence_catalog, fixtures, flow_catalog, run_catalog
+from . import code_catalog, evidence_catalog, flow_catalog, run_catalog
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -310,27 +309,6 @@ def repair_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accept.repair_choice(o).withColumnRenamed("entry_id", "o_custkey")
 
 
-@query
-def py_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code documents of the small corpus (its parse errors are rows)."""
-    return python_documents(fixtures.files(spark)).select("path", "file", "symbol", "start_line", "end_line", "text", "defines", "calls", "routes", "guards", "error")
-
-
-@query
-def py_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call edges between the corpus's functions."""
-    docs = python_documents(fixtures.files(spark)).filter("error is null and symbol <> '<module>'")
-    each = lambda c: docs.select("path", F.explode(c).alias("symbol"))
-    return graph.build_edges(each("calls"), each("defines"))
-
-
-@query
-def py_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan rules on the small corpus by its syntax trees: one candidate for each line and rule, from the smallest document."""
-    docs = python_documents(fixtures.files(spark)).filter("error is null")
-    return rules.candidates_of(scanned(docs), docs, "repo")
-
-
 @query
 def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts, replies and tokens of each stream and day, from the events read as a stream to its end."""
@@ -354,19 +332,3 @@ def fallback_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as files of an unknown language: their calls and definitions by patterns, counted."""
     files = B.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"), F.lit("unknown").alias("language"))
     return lexical.fallback_documents(files).select("file", F.size("calls").alias("calls"), F.array_join("calls", ",").alias("names"))
-
-
-@query
-def synthetic_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The small corpus's functions as candidates: local and graph context, the scan and authorization experts, one vote and a quorum."""
-    docs = python_documents(fixtures.files(spark)).filter("error is null and symbol <> '<module>'").select("path", "symbol", "text", "calls", "defines")
-    each = lambda c: docs.select("path", F.explode(c).alias("symbol"))
-    candidates = docs.select(F.col("path").alias("query_id"), "path", F.col("symbol").alias("query"))
-    out = None
-    for system, mode in (("V1", "local"), ("V3", "graph"), ("V4", "graph")):
-        found = context.retrieve(docs, graph.build_edges(each("calls"), each("defines")), candidates, mode).withColumnRenamed("query_id", "case_id")
-        ballots = experts.scan_votes(found).withColumn("vote_order", F.lit(0)).union(experts.authorization_votes(found).withColumn("vote_order", F.lit(1)))
-        verdict = votes.majority(ballots) if system == "V4" else votes.single(ballots)
-        verdict = verdict.select(F.lit(system).alias("system"), "case_id", "label", F.round("confidence", 6).alias("confidence"))
-        out = verdict if out is None else out.union(verdict)
-    return out

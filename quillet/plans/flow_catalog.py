@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.python_code import python_documents
-from ..operators import authorization, flow, graph, identity, receivers, slices
+from ..functions.python_code import python_documents, scanned
+from ..operators import authorization, context, experts, flow, graph, identity, receivers, rules, slices, votes
 from ..sources.staging import stage
 from . import bindings as B
 
@@ -302,3 +302,96 @@ def receiver_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls on self and its fields, by the fields' types and the classes above, over imports."""
     docs = stage(python_documents(class_files(spark, sf_dir)).filter("error is null"), "classes")
     return receivers.receiver_edges(docs)
+
+
+def _form_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(python_documents(route_files(spark, sf_dir)).filter("error is null"), "documents")
+
+
+_D = f"""d AS (SELECT doc_id, (doc_id * 7 + n_chars) % {CALLED} AS t, (doc_id * 3 + 1) % {CALLED} AS u, {_AT.format(_LIST(FIRST), "(doc_id + n_chars) % 4")} AS g1, {_AT.format(_LIST(LAST), "(doc_id + n_chars) % 3")} AS g2,
+  {_AT.format(_LIST(FIRST), "(doc_id * 3 + n_chars) % 4")} AS s1, {_AT.format(_LIST(LAST), "(doc_id * 5 + n_chars) % 3")} AS s2 FROM documents)"""
+_CALLS = "array_to_string(list_sort(list_distinct(list_filter([replace({0}, '(r)', ''), 'svc_' || {1}, replace({2}, '(r)', '')], lambda x: x <> 'pass'))), '|')"
+_GUARDS = "CASE WHEN {0} LIKE 'check%' THEN 'check_permission' ELSE '' END"
+
+
+@query(
+    f"""WITH {_D} SELECT 'g' || doc_id || '.py::route_' || doc_id || '@1-5' AS path, 'route_' || doc_id AS symbol, 1 AS start_line, 5 AS end_line, 'route_' || doc_id || '|g' || doc_id || '.route_' || doc_id AS defines, {_CALLS.format("g1", "t", "g2")} AS calls, 'GET:/r' AS routes, {_GUARDS.format("g1")} AS guards FROM d
+UNION ALL SELECT 'g' || doc_id || '.py::svc_' || doc_id || '@7-10', 'svc_' || doc_id, 7, 10, 'svc_' || doc_id || '|g' || doc_id || '.svc_' || doc_id, {_CALLS.format("s1", "u", "s2")}, '', {_GUARDS.format("s1")} FROM d
+UNION ALL SELECT 'g' || doc_id || '.py::<module>@1-10', '<module>', 1, 10, '', '', '', '' FROM d"""
+)
+def py_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code documents of a file for each document: spans, definitions, calls, routes and guards."""
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return _form_docs(spark, sf_dir).select("path", "symbol", "start_line", "end_line", *[joined(c) for c in ("defines", "calls", "routes", "guards")])
+
+
+@query(
+    f"""WITH {_D} SELECT 'g' || doc_id || '.py::route_' || doc_id || '@1-5' AS src, 'g' || t || '.py::svc_' || t || '@7-10' AS dst FROM d WHERE t IN (SELECT doc_id FROM d)
+UNION ALL SELECT 'g' || doc_id || '.py::svc_' || doc_id || '@7-10', 'g' || u || '.py::svc_' || u || '@7-10' FROM d WHERE u <> doc_id AND u IN (SELECT doc_id FROM d)"""
+)
+def py_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call edges between the functions of a file for each document."""
+    docs = _form_docs(spark, sf_dir).filter("symbol <> '<module>'")
+    each = lambda c: docs.select("path", F.explode(c).alias("symbol"))
+    return graph.build_edges(each("calls"), each("defines"))
+
+
+_VALUE = "list_extract([" + ", ".join("'" + v.replace("'", "''") + "'" for v in VALUES) + f"], CAST((doc_id * (2 * {{0}} + 3) + n_chars * ({{0}} % 3 + 1) + {{0}} * {{0}}) % {len(VALUES)} AS INT) + 1)"
+
+
+@query(
+    f"""WITH h AS (SELECT 'm' || doc_id || '.py::handle_' || doc_id || '@1-19' AS path, 17 AS source_line, 'command-execution' AS rule, 'os.system(' || {_VALUE.format(9)} || ')' AS code FROM documents
+UNION ALL SELECT 'm' || doc_id || '.py::handle_' || doc_id || '@1-19', 18, 'database-operation', 'cursor.execute(' || {_VALUE.format(10)} || ')' FROM documents
+UNION ALL SELECT 'm' || doc_id || '.py::step_' || doc_id || '@21-25', 23, 'dynamic-evaluation', 'eval(q)' FROM documents)
+SELECT concat_ws(':', 'repo', path, source_line, rule) AS candidate_id, path, source_line, rule, rule || ' ' || code AS query FROM h"""
+)
+def py_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the scan rules in a file for each document, each in the innermost function around it."""
+    docs = stage(python_documents(handler_files(spark, sf_dir)).filter("error is null"), "documents")
+    return rules.candidates_of(scanned(docs), docs, "repo")
+
+
+CASES = """def case_{d}(r):
+    {0}
+    help_{t}(r)
+    {1}
+
+def help_{d}(r):
+    {2}
+"""
+AHEAD, BEHIND, HELP = ["pass", "require_permission(r)", "db.delete(r)"], ["pass", "db.delete(r)", "subprocess.run(r)", "log(r)"], ["pass", "is_admin(r)", "db.delete(r)", "eval(r)", "log(r)"]
+
+
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a file e<id>.py for each document."""
+    d, n = F.col("doc_id"), F.col("n_chars")
+    values = _targets() | {"0": _pick(AHEAD, (d + n) % 3), "1": _pick(BEHIND, (d * 3 + n) % 4), "2": _pick(HELP, (d * 7 + n) % 5)}
+    return B.table(spark, sf_dir, "documents").select(F.concat(F.lit("e"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(CASES, values), "UTF-8").alias("content"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, (doc_id * 7 + n_chars) % {CALLED} AS t, {_AT.format(_LIST(AHEAD), "(doc_id + n_chars) % 3")} AS g, {_AT.format(_LIST(BEHIND), "(doc_id * 3 + n_chars) % 4")} AS s, {_AT.format(_LIST(HELP), "(doc_id * 7 + n_chars) % 5")} AS h FROM documents),
+e AS (SELECT system, doc_id, CAST(g LIKE 'db%' OR s LIKE 'db%' OR s LIKE 'sub%' AS INT) + CASE WHEN system IN ('V3', 'V4', 'V5') AND (far LIKE 'db%' OR far LIKE 'eval%') THEN 1 ELSE 0 END AS n,
+    g LIKE 'db%' OR (s LIKE 'db%' AND g NOT LIKE 'req%') OR (system IN ('V3', 'V4', 'V5') AND coalesce(far, '') LIKE 'db%') AS open, s LIKE 'db%' AND g LIKE 'req%' AS guarded
+  FROM (SELECT d.*, o.h AS far FROM d LEFT JOIN d o ON o.doc_id = d.t), (SELECT unnest(['V1', 'V2', 'V3', 'V4', 'V5']) AS system)),
+v AS (SELECT *, CASE WHEN n > 0 THEN 'VULNERABLE' ELSE 'ABSTAIN' END AS scan, CASE WHEN n > 0 THEN least(0.95, 0.8 + 0.05 * n) ELSE 0.35 END AS scan_sure, CASE WHEN open THEN 'VULNERABLE' WHEN guarded THEN 'SAFE' ELSE 'ABSTAIN' END AS authz, CASE WHEN open THEN 0.82 WHEN guarded THEN 0.84 ELSE 0.35 END AS authz_sure FROM e)
+SELECT system, 'e' || doc_id || '.py::case_' || doc_id || '@1-4' AS case_id, CASE WHEN system IN ('V1', 'V2', 'V3') OR scan = authz THEN scan ELSE 'ABSTAIN' END AS label,
+  round(CAST(CASE WHEN system IN ('V1', 'V2', 'V3') THEN scan_sure WHEN scan = authz AND scan <> 'ABSTAIN' THEN (scan_sure + authz_sure) / 2 ELSE greatest(CASE WHEN scan <> 'ABSTAIN' THEN scan_sure ELSE 0 END, CASE WHEN authz <> 'ABSTAIN' THEN authz_sure ELSE 0 END) END AS DOUBLE), 6) AS confidence FROM v"""
+)
+def synthetic_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's first function as a case of five systems: local, text and graph context under one expert (V1-V3), graph context under a full review (V4) and with an early quorum (V5)."""
+    docs, edges, _ = functions_of(case_files(spark, sf_dir))
+    texts = docs.select("path", "text")
+    cases = docs.filter("symbol like 'case%'").select(F.col("path").alias("query_id"), "path", F.col("symbol").alias("query"))
+    out = None
+    for mode, systems in (("local", ["V1"]), ("text", ["V2"]), ("graph", ["V3", "V4", "V5"])):
+        found = stage(context.retrieve(texts, edges, cases, mode).withColumnRenamed("query_id", "case_id"), "evidence")
+        ballots = experts.scan_votes(found).withColumn("vote_order", F.lit(0)).union(experts.authorization_votes(found).withColumn("vote_order", F.lit(1)))
+        for system in systems:
+            verdict = votes.majority(ballots) if system in ("V4", "V5") else votes.single(ballots)
+            if system == "V5":
+                fast = votes.early(ballots).filter("label is not null").select("case_id", F.col("label").alias("fast"), F.col("confidence").alias("sure"))
+                verdict = verdict.join(fast, "case_id", "left").select("case_id", F.coalesce("fast", "label").alias("label"), F.coalesce("sure", "confidence").alias("confidence"))
+            verdict = verdict.select(F.lit(system).alias("system"), "case_id", "label", F.round("confidence", 6).alias("confidence"))
+            out = verdict if out is None else out.union(verdict)
+    return out
