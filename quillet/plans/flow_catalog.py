@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.python_code import python_documents, scanned
-from ..operators import authorization, context, experts, flow, graph, identity, receivers, rules, slices, votes
+from ..operators import authorization, budgets, context, experts, flow, graph, identity, receivers, rules, slices, votes
 from ..sources.staging import stage
 from . import bindings as B
 
@@ -395,3 +395,27 @@ def synthetic_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
             verdict = verdict.select(F.lit(system).alias("system"), "case_id", "label", F.round("confidence", 6).alias("confidence"))
             out = verdict if out is None else out.union(verdict)
     return out
+
+
+_ESCAPED = "regexp_replace(replace(replace(replace(replace({0}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), '[^ -~]', chr(92) || chr(92) || 'u0000', 'g')"
+_SIZE = "len(regexp_extract_all({0}, '[0-9A-Za-z_]+|[^0-9A-Za-z_\\s]'))"
+_CUT = r"\s*(?:[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_])"
+_CUT_SIZE = _SIZE.format(_ESCAPED.format("array_to_string(list_slice(pieces, 1, k), '')"))
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, 30 + conv_id % 90 AS budget FROM conversations QUALIFY place <= 8),
+i AS (SELECT *, {_SIZE.format(_ESCAPED.format("text"))} AS whole, {_SIZE.format("'{\"evidence_id\":\"turn:' || turn || '\",\"graph_distance\":null,\"path\":\"c/' || conv_id || '\",\"retrieval\":\"text\",\"text\":\"\"}'")} AS base, {_SIZE.format("'{\"retrieved_code\":[]}'")} AS frame, regexp_extract_all(text, '{_CUT}') AS pieces FROM c),
+s AS (SELECT *, list_transform(range(1, len(pieces) + 1), lambda k: {_CUT_SIZE}) AS sizes FROM i),
+w AS (SELECT conv_id, 0 AS place, max(budget) - max(frame) AS room, 0 AS taken, CAST(NULL AS BIGINT) AS keep, 0 AS size FROM s GROUP BY conv_id
+  UNION ALL SELECT conv_id, place, CASE WHEN got THEN room - size ELSE room END, taken + CAST(got AS INT), CASE WHEN got THEN keep END, CASE WHEN got THEN size ELSE 0 END FROM (
+    SELECT *, keep IS NOT NULL AS got, comma + CASE WHEN keep = -1 THEN whole ELSE list_max(list_filter(sizes, lambda n: n <= room - comma)) END AS size FROM (
+      SELECT w.conv_id, s.place, w.room, w.taken, s.whole, s.sizes, s.base + CAST(w.taken > 0 AS INT) AS comma, CASE WHEN w.room < s.base + CAST(w.taken > 0 AS INT) THEN NULL WHEN s.whole <= w.room - s.base - CAST(w.taken > 0 AS INT) THEN -1 ELSE nullif(len(list_filter(s.sizes, lambda n: n <= w.room - s.base - CAST(w.taken > 0 AS INT))), 0) END AS keep
+      FROM w JOIN s ON s.conv_id = w.conv_id AND s.place = w.place + 1)))
+SELECT w.conv_id, s.turn AS rank, CASE WHEN keep = -1 THEN text ELSE array_to_string(list_slice(pieces, 1, keep), '') END AS text, CAST(w.size AS INT) AS size, CAST(budget - (min(room) OVER (PARTITION BY w.conv_id)) AS INT) AS total FROM w JOIN s USING (conv_id, place) WHERE keep IS NOT NULL"""
+)
+def prompt_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight turns of each conversation as evidence of a prompt, cut or passed over so that its JSON fits."""
+    c = B.table(spark, sf_dir, "conversations")
+    items = c.select("conv_id", F.col("turn").alias("rank"), F.concat(F.lit("turn:"), F.col("turn").cast("string")).alias("evidence_id"), F.lit(None).cast("int").alias("graph_distance"), F.concat(F.lit("c/"), F.col("conv_id").cast("string")).alias("path"), F.lit("text").alias("retrieval"), "text")
+    return budgets.fitted(items, 30 + F.col("conv_id") % 90, F.lit('{"retrieved_code":[]}'), key="conv_id")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillet.functions.python_code import python_documents
-from quillet.operators import authorization, context, flow, graph, identity, receivers, slices
+from quillet.operators import authorization, budgets, context, flow, graph, identity, receivers, slices
 
 NAMES = ["x", "y", "z"]
 
@@ -228,3 +228,39 @@ def test_receivers_over_cycles_and_shadowing(spark):
     docs = documents(spark, {"m.py": text, "bad.py": "class"})
     name = lambda p: p.split("::")[1].split("@")[0]
     assert {(name(r["src"]), name(r["dst"])) for r in receivers.receiver_edges(docs).collect()} == {("A.go", "C.act"), ("A.go", "B.up"), ("B.up", "C.act"), ("D.run", "B.act")}
+
+
+def test_json_budgets(spark):
+    """Items cut, passed over and taken as a plain greedy search over real JSON does, for tokens and for bytes."""
+    import json
+    import re
+
+    r = random.Random(3)
+    alphabet = ["word", "two", "_x1", " ", " ", "\n", "\t", '"', "\\", "é", "ß", "—", "😀", "\x01", "\u00a0", ".", "(", "漢字", "\u2028", "b"]
+    texts = ["", None, "   "] + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 40))) for _ in range(200)]
+    rows = [(i // 5, r.randint(0, 3), f"e{i}", None if i % 3 else i % 4, f"p/é{i}", "graph", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "query_id int, rank int, evidence_id string, graph_distance int, path string, retrieval string, text string")
+    render = lambda items: json.dumps({"candidate": "c", "retrieved_code": items}, sort_keys=True, separators=(",", ":"))
+    frame = render([])
+    for unit, low in (("tokens", 40), ("bytes", 150)):
+        count = (lambda t: len(re.findall(r"\w+|[^\w\s]", t))) if unit == "tokens" else (lambda t: len(t.encode()))
+        limit = lambda q: low + q * 7
+        want = {}
+        for q in {x[0] for x in rows}:
+            taken, kept = [], {}
+            for _, _, eid, d, p, how, t in sorted((x for x in rows if x[0] == q), key=lambda x: (x[1], x[2]))[:4]:
+                t = t or ""
+                ends = [m.end() for m in re.finditer(r"\w+|[^\w\s]", t)] if unit == "tokens" else list(range(1, len(t) + 1))
+                item = lambda s: dict(evidence_id=eid, graph_distance=d, path=p, retrieval=how, text=s)  # noqa: B023, E731
+                fits = [s for s in (t, *(t[:e] for e in ends[::-1])) if count(render([*taken, item(s)])) <= limit(q)]
+                if fits and (fits[0] or not t):
+                    taken.append(item(fits[0]))
+                    kept[eid] = fits[0]
+            want[q] = (sorted(kept.values()), count(render(taken)))
+        got = {}
+        for x in budgets.fitted(df, low + F.col("query_id") * 7, F.lit(frame), top_k=4, unit=unit).collect():
+            texts_, _ = got.setdefault(x["query_id"], ([], x["total"]))
+            texts_.append(x["text"])
+        assert {q: (sorted(t), n) for q, (t, n) in got.items()} == {q: w for q, w in want.items() if w[0]}
+    with pytest.raises(Exception, match="descriptor exceeds"):
+        budgets.fitted(df, F.lit(3), F.lit(frame)).collect()
