@@ -28,6 +28,8 @@ FACTS = (
     "binds array<struct<call:int,name:string,to:array<string>>>, decorators array<struct<line:int,method:string,route:string>>, "
     "reads array<struct<run:int,step:int,to:string,call:int,slot:string,kind:string,src:string,through:array<string>>>, "
     "writes array<struct<run:int,step:int,name:string>>, nexts array<struct<run:int,next:int>>, entries array<int>, "
+    "sequence array<struct<at:int,line:int,to:string,on:string,roots:array<string>,method:string,args:array<string>,keys:array<string>,keywords:int>>, "
+    "rebinds array<struct<at:int,name:string>>, compared array<struct<at:int,name:string,field:string,text:string>>, "
     "fields array<struct<owner:string,field:string,type:string>>, bases array<struct<owner:string,base:string>>"
 )
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -377,6 +379,26 @@ def body_facts(head: list[ast.AST], body: list[ast.stmt]) -> dict:
     return dict(called=called, binds=binds, reads=flow.reads, writes=flow.writes, nexts=flow.edges(), entries=flow.entering(0))
 
 
+def in_order(body: list[ast.stmt]) -> dict:
+    """What a body's own statements do one behind the other, up to the first return or raise: method calls (to: the one name that takes the result; null where a call stands alone or is part of more), names bound anywhere in them, and fields of names that they compare."""
+    sequence, rebinds, compared = [], [], []
+    names = lambda node: sorted({n.id for n in ast.walk(node) if isinstance(n, ast.Name)})
+    for at, s in enumerate(body):
+        if isinstance(s, (ast.Return, ast.Raise)):
+            break
+        for node in ast.walk(s):
+            if isinstance(node, ast.Name) and not isinstance(node.ctx, ast.Load):
+                rebinds.append(dict(at=at, name=node.id))
+            elif isinstance(node, ast.Compare):
+                compared += [dict(at=at, name=f.value.id, field=f.attr, text=ast.unparse(node)) for f in ast.walk(node) if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name)]
+        call = getattr(s, "value", None) if isinstance(s, (ast.Assign, ast.Expr)) else None
+        call = call.value if isinstance(call, ast.Await) else call
+        if isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute):
+            to = s.targets[0].id if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name) else None if isinstance(s, ast.Expr) else ""
+            sequence.append(dict(at=at, line=s.lineno, to=to, on=name_of(call.func.value), roots=names(call.func.value), method=call.func.attr, args=[name_of(a) for a in call.args], keys=names(call.args[1]) if len(call.args) > 1 else [], keywords=len(call.keywords)))
+    return dict(sequence=sequence, rebinds=rebinds, compared=compared)
+
+
 def _fields(owner: ast.ClassDef) -> Iterator[tuple[str, str]]:
     """(field, type as written) of a class: annotated in its body, or set on self from a call or an annotated parameter."""
     for node in owner.body:
@@ -398,7 +420,7 @@ def file_facts(file: str, text: str) -> list[dict]:
     lines, module = LINE.split(text), module_name(file)
     count = len(lines) - (lines[-1] == "")
     modules = list(dict.fromkeys([module, module_name(file, keep=True)]))
-    base = dict(file=file, owner=None, error=None, modules=modules, params=[], aliases=[], names=[], rebound=[], called=[], binds=[], decorators=[], reads=[], writes=[], nexts=[], entries=[], fields=[], bases=[])
+    base = dict(file=file, owner=None, error=None, modules=modules, params=[], aliases=[], names=[], rebound=[], called=[], binds=[], decorators=[], reads=[], writes=[], nexts=[], entries=[], sequence=[], rebinds=[], compared=[], fields=[], bases=[])
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
@@ -419,7 +441,7 @@ def file_facts(file: str, text: str) -> list[dict]:
         marks = [dict(line=d.lineno, method=d.func.attr, route=d.args[0].value if d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str) else None) for d in node.decorator_list if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute)]
         params = [a.arg for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs) if a.arg not in ("self", "cls")]
         source = "\n".join(lines[start - 1 : end])
-        out.append(base | dict(path=f"{file}::{symbol}@{start}-{end}", symbol=symbol, owner=owner, start_line=start, end_line=end, text=source, params=params, names=list(names.items()), decorators=marks) | body_facts(head, node.body))
+        out.append(base | dict(path=f"{file}::{symbol}@{start}-{end}", symbol=symbol, owner=owner, start_line=start, end_line=end, text=source, params=params, names=list(names.items()), decorators=marks) | body_facts(head, node.body) | in_order(node.body))
         walk(node.body, [*trail, node.name], owner, names)
 
     def walk(body: list[ast.AST], trail: list[str], owner: str | None, names: dict[str, str]) -> None:

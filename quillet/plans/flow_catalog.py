@@ -419,3 +419,30 @@ def prompt_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.table(spark, sf_dir, "conversations")
     items = c.select("conv_id", F.col("turn").alias("rank"), F.concat(F.lit("turn:"), F.col("turn").cast("string")).alias("evidence_id"), F.lit(None).cast("int").alias("graph_distance"), F.concat(F.lit("c/"), F.col("conv_id").cast("string")).alias("path"), F.lit("text").alias("retrieval"), "text")
     return budgets.fitted(items, 30 + F.col("conv_id") % 90, F.lit('{"retrieved_code":[]}'), key="conv_id")
+
+
+RESOURCES = """def drop_{d}(user_id, key, db, actor):
+    {0}
+    {1}
+    {2}
+    db.delete(row)
+"""
+LOOKUPS, BETWEEN, CHECKS = ["row = db.get(Row, key)", "row = db.get(Row, key + actor)", "row = find(key)"], ["pass", "row = other(key)", "db = other(key)", "check(row.user_id == user_id)", "log(row)"], ["pass", "if row.owner_id != actor: stop()", "return key", "if row.name != key: stop()"]
+
+
+def resource_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a file r<id>.py for each document."""
+    d, n = F.col("doc_id"), F.col("n_chars")
+    values = _targets() | {"0": _pick(LOOKUPS, (d + n) % 3), "1": _pick(BETWEEN, (d * 3 + n) % 5), "2": _pick(CHECKS, (d * 5 + n) % 4)}
+    return B.table(spark, sf_dir, "documents").select(F.concat(F.lit("r"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(RESOURCES, values), "UTF-8").alias("content"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, (doc_id + n_chars) % 3 AS a, (doc_id * 3 + n_chars) % 5 AS b, (doc_id * 5 + n_chars) % 4 AS c FROM documents)
+SELECT 'r' || doc_id || '.py::drop_' || doc_id || '@1-5' AS path, 'row' AS resource, 'db.get' AS lookup, 2 AS lookup_line, CASE a WHEN 0 THEN 'key' ELSE 'actor | key' END AS keys, 'db.delete' AS operation, 5 AS operation_line, 'actor | user_id' AS principals,
+  array_to_string(list_filter([CASE WHEN b = 3 THEN 'row.user_id == user_id' END, CASE WHEN c = 1 THEN 'row.owner_id != actor' END], lambda x: x IS NOT NULL), ' | ') AS comparisons FROM d WHERE a < 2 AND b NOT IN (1, 2) AND c <> 2"""
+)
+def resource_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes of what was looked up before, while the lookup holds, with the owner comparisons in between."""
+    docs = stage(python_documents(resource_files(spark, sf_dir)).filter("error is null"), "documents")
+    return authorization.resource_operations(docs)

@@ -264,3 +264,10 @@ def test_json_budgets(spark):
         assert {q: (sorted(t), n) for q, (t, n) in got.items()} == {q: w for q, w in want.items() if w[0]}
     with pytest.raises(Exception, match="descriptor exceeds"):
         budgets.fitted(df, F.lit(3), F.lit(frame)).collect()
+
+
+def test_lookups_that_hold(spark):
+    text = "async def f(user_id, k, s):\n    a = await s.db.get(T, k)\n    b = s.db.get(T, {k: user_id})\n    if a.tenant_id == 1 and b.tenant_id in x: pass\n    await s.db.delete(a)\n    b = s.db.get(T, 1)\n    s.db.delete(b)\n    s.other.delete(a)\n    for s in x: pass\n    s.db.delete(b)\n    a, c = 1, s.db.get(T, k)\n    s.db.delete(a)\n    raise E\n    b = s.db.get(T, k)\n    s.db.delete(b)\n"
+    docs = documents(spark, {"m.py": text, "bad.py": "def", "none.py": ""})
+    got = sorted((r["resource"], r["lookup_line"], r["operation_line"], r["keys"], r["comparisons"]) for r in authorization.resource_operations(docs).collect())
+    assert got == [("a", 2, 5, "k", "a.tenant_id == 1"), ("b", 6, 7, "", "")]
