@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import policy, runs
+from ..operators import accept, policy, runs
+from ..sources import readers
+from ..sources.runs import Run, follow
+from ..sources.staging import new_path
 from . import bindings as B
 from .code_catalog import _list
 from .evidence_catalog import _pick
@@ -76,3 +79,27 @@ def visible_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as candidates: what a model sees of each; text stays out."""
     seen = runs.visible(F.concat(F.lit("c"), F.col("doc_id").cast("string")), F.concat(F.coalesce("lang", F.lit("und")), F.lit(".py")), F.col("n_chars"), F.col("source"), F.when(F.col("n_chars") % 3 == 0, "all"))
     return B.table(spark, sf_dir, "documents").select("doc_id", seen.alias("visible"))
+
+
+@query("SELECT doc_id AS case_id, system, CASE WHEN (doc_id + toxic) % 3 = 0 THEN 'VULNERABLE' ELSE 'SAFE' END AS label FROM labels, (SELECT unnest(['E1', 'E2', 'E3']) AS system)")
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a run that is stopped behind its first batch, taken up again, and whose first batch is then tried once more."""
+    labels = B.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), "toxic")
+    cells, path = accept.planned_cells(labels, ["E1", "E2", "E3"]), new_path(spark, "run")
+    label = F.when((F.col("case_id") + F.col("toxic")) % 3 == 0, "VULNERABLE").otherwise("SAFE")
+    schema, key = cells.select("case_id", "system", label.alias("label")).schema, ["case_id", "system"]
+    first = cells.filter("system = 'E1' or case_id % 5 = 0").select(*key, label.alias("label"))
+    for turn in range(2):
+        run = Run(spark, path)
+        taken_up = run.begin(labels=(labels, F.concat_ws(":", "case_id", "toxic")))
+        left = run.remaining(cells, key, schema).select(*key, label.alias("label"))
+        run.record(left if taken_up else first, turn)
+    run.record(first, 0)
+    return run.finished(schema)
+
+
+@query("SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+def followed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user and type, counted over the batches of a stream."""
+    raw = readers.stream_parquet(spark, f"{sf_dir}/events.parquet", B.table(spark, sf_dir, "events").schema)
+    return follow(raw, new_path(spark, "progress"), lambda df: df.groupBy("user_id", "event_type").agg(F.count("*").alias("n")), ["user_id", "event_type"])
