@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical
 from ..functions import text as T
-from ..operators import accept, graph, journal, locate, metrics, retrieval, rules, votes
+from ..operators import accept, context, graph, journal, locate, metrics, retrieval, rules, votes
 from ..sources import readers
 from ..sources.staging import new_path
 from ..streaming import journal as streaming_journal
