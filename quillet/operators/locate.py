@@ -24,14 +24,40 @@ def candidate_document(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (point_id, file, line, symbol) with one document of their file (file, symbol, first, last, path).
 
     The wanted symbol comes first, then the smallest span around the line, else the nearest begin; ties by path.
+
+    No point meets all spans of its file: the smallest span of a symbol, the spans around a line and the begins beside it
+    are looked up each by an equi-join. A nearest begin counts only where neither of the others is found, and a span
+    around a line only where no symbol is, so each may be looked for among all spans.
     """
-    s = spans.withColumnRenamed("symbol", "own")
-    joined = points.join(s, "file")
-    around = (F.col("first") <= F.col("line")) & (F.col("line") <= F.col("last"))
-    tier = F.when(F.col("own").eqNullSafe(F.col("symbol")), 0).when(around, 1).otherwise(2)
-    cost = F.when(tier == 2, F.abs(F.col("first") - F.col("line"))).otherwise(F.col("last") - F.col("first"))
-    best = joined.groupBy("point_id").agg(F.min(F.struct(tier.alias("tier"), cost.alias("cost"), "path")).alias("b"))
-    return best.select("point_id", "b.path", "b.tier")
+    cell = lambda c: F.floor(F.col(c) / BIN)
+    size = (F.col("last") - F.col("first")).alias("cost")
+    best = lambda rows, *keys: rows.groupBy(*keys).agg(F.min(F.struct("cost", "path")).alias("b")).select(*keys, "b.cost", "b.path")
+    out = lambda tier: ("point_id", F.lit(tier).alias("tier"), "cost", "path")
+    named = best(spans.select(F.col("file").alias("in"), "symbol", size, "path").withColumnRenamed("symbol", "own"), "in", "own")
+    found = points.join(named, (F.col("file") == F.col("in")) & F.col("symbol").eqNullSafe(F.col("own"))).select(*out(0))
+    # A span stands at the level of bins as long as itself, in two of them at most.
+    level = F.greatest(F.ceil(F.log2(F.col("last") - F.col("first") + 1)), F.lit(8)).cast("int")
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "level"))
+    held = best(spans.filter("first <= last").select("file", "first", "last", size, "path"), "file", "first", "last").withColumn("level", level)
+    levels = points.join(held.select("file", "level").distinct(), "file").withColumn("bin", at("line"))
+    around = levels.join(held.withColumn("bin", F.explode(F.sequence(at("first"), at("last")))), ["file", "level", "bin"]).filter("first <= line and line <= last")
+    found = found.union(around.select(*out(1)))
+    # Begins of the line's own bin, the last one of the bin with begins before it and the first one of that behind it.
+    begins = spans.filter("first is not null").groupBy("file", "first").agg(F.min(F.struct("path")).alias("p")).select("file", "first", "p.path", cell("first").alias("bin"))
+    lines = points.filter("line is not null").select("point_id", "file", "line", cell("line").alias("bin"))
+    ends = begins.groupBy("file", "bin").agg(F.min(F.struct("first", "path")).alias("low"), F.max_by(F.struct("first", "path"), "first").alias("high"))
+    bins = lines.select("file", "bin").distinct().join(ends, ["file", "bin"], "full_outer")
+    order = Window.partitionBy("file").orderBy("bin")
+    before = F.last("high", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.last("low", True).over(Window.partitionBy("file").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1))
+    beside = bins.select("file", "bin", before.alias("x"), behind.alias("y")).select("file", "bin", F.explode(F.array("x", "y")).alias("s")).filter("s is not null").select("file", "bin", "s.first", "s.path")
+    near = lines.join(beside.union(begins.select("file", "bin", "first", "path")), ["file", "bin"])
+    found = found.union(near.withColumn("cost", F.abs(F.col("first") - F.col("line"))).select(*out(2)))
+    # Without a begin or a line there is no distance; such spans come before others.
+    unknown = spans.groupBy("file").agg(F.min(F.struct("path")).alias("any"), F.min(F.when(F.col("first").isNull(), F.struct("path"))).alias("none"))
+    lost = points.join(unknown, "file").withColumn("p", F.when(F.col("line").isNull(), F.col("any")).otherwise(F.col("none"))).filter("p is not null")
+    found = found.union(lost.select("point_id", F.lit(2).alias("tier"), F.lit(None).cast("long").alias("cost"), "p.path"))
+    return found.groupBy("point_id").agg(F.min(F.struct("tier", "cost", "path")).alias("b")).select("point_id", "b.path", "b.tier")
 
 
 def located(references: DataFrame, candidates: DataFrame) -> DataFrame:
