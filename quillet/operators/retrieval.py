@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import CONTEXT_TOKEN, tokenize
+from ..sources.staging import stage
 
 #: Scores are rounded before ranking, since sums of doubles depend on their order.
 DIGITS = 9
 # What looks like part of a path in a query, and a query that looks like a path.
 FRAGMENT = r"[A-Za-z0-9_./\\-]+\.[A-Za-z0-9_./\\-]+"
 PATH_LIKE = r"/|::|\.|\\"
+#: Documents of a partition, so that the scores of all queries fit a task's memory; terms that are sent to all tasks, at most.
+DOCUMENTS, SENT = 8192, 200_000
 
 
 def terms(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -32,22 +35,38 @@ def inverse_frequency(tf: DataFrame, docs: DataFrame) -> DataFrame:
     return df.join(F.broadcast(corpus_size(docs)), F.lit(True)).select("term", "df", idf.alias("idf"))  # one row
 
 
+def parts_of(docs: DataFrame) -> int:
+    """As many partitions as the documents' number asks for."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // DOCUMENTS))
+
+
 def asked_terms(docs: DataFrame, text: Column, asked: DataFrame) -> DataFrame:
     """(path, len, term, tf): the terms of asked (term) that documents hold, with the length of the whole document.
 
-    Terms that nobody asks for leave before any shuffle; a document's length comes with its row.
+    Terms that nobody asks for leave where they arise, if the asked ones are few enough to be sent to all tasks; a
+    document's length comes with its row.
     """
     each = docs.select("path", tokenize(text).alias("t")).select("path", F.size("t").alias("len"), F.explode("t").alias("term"))
-    return each.join(asked.select("term").distinct(), "term", "left_semi").groupBy("path", "len", "term").agg(F.count("*").alias("tf"))
+    return each.join(_sent(asked.select("term").distinct()), "term", "left_semi").groupBy("path", "len", "term").agg(F.count("*").alias("tf"))
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """rows, sent to all tasks where they are few: then what they meet stays where it is."""
+    return F.broadcast(rows) if rows.limit(SENT + 1).count() <= SENT else rows.hint("merge")
+
+
+def weighed(tf: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked with df, the number of documents that hold the term; terms that none holds leave."""
+    return _sent(stage(asked.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term"), "weights"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, text: Column, query: Column) -> DataFrame:
     """(query_id, path, score): sum of idf * tf * 2.2 / (tf + 1.2 (0.25 + 0.75 len / average)) over distinct query terms."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(query))).alias("term"))
-    tf = asked_terms(docs, text, asked)
+    asked = stage(queries.select("query_id", F.explode(F.array_distinct(tokenize(query))).alias("term")), "asked")
+    # All rows of a path lie in one partition, so that scores add up where they arise.
+    tf = asked_terms(docs.repartition(parts_of(docs), "path"), text, asked)
     size = docs.agg(F.count("*").alias("n_docs"), F.sum(F.size(tokenize(text))).alias("total"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hits = tf.join(asked, "term").join(df, "term").join(F.broadcast(size), F.lit(True))  # one row
+    hits = tf.join(weighed(tf, asked), "term").join(F.broadcast(size), F.lit(True))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1.2 * (0.25 + 0.75 * F.col("len") / (F.col("total") / F.col("n_docs")))
     score = idf * F.col("tf") * 2.2 / (F.col("tf") + norm)
@@ -61,15 +80,17 @@ def tfidf(docs: DataFrame, queries: DataFrame, text: Column, query: Column, path
     With pairs (query_id, path) only those are scored, in work that grows with the pairs and not with what terms share.
     """
     asked = queries.select("query_id", path_like.alias("path_like"), F.explode(tokenize(query)).alias("term"))
-    asked = asked.groupBy("query_id", "path_like", "term").agg(F.count("*").alias("q"))
-    tf = asked_terms(docs, text, asked)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(corpus_size(docs)), F.lit(True)).select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
+    asked = stage(asked.groupBy("query_id", "path_like", "term").agg(F.count("*").alias("q")), "asked")
+    # All rows of a path lie in one partition, so that scores add up where they arise.
+    parts = parts_of(docs)
+    placed = docs.repartition(parts, "path")
+    tf = asked_terms(placed, text, asked)
+    idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     meet = lambda held, wanted: held.join(wanted, "term") if pairs is None else wanted.join(pairs.select("query_id", "path").distinct(), "query_id").join(held, ["path", "term"])
-    body = meet(tf, asked).join(idf, "term").select("query_id", "path", (F.col("q") * (1 + F.log("tf")) * F.col("idf")).alias("s"))
-    named = meet(asked_terms(docs, F.col("path"), asked.filter("path_like")), asked.filter("path_like")).select("query_id", "path", (F.col("q") * (4 + F.log("tf"))).alias("s"))
+    body = meet(tf, weighed(tf, asked)).join(F.broadcast(corpus_size(docs)), F.lit(True)).select("query_id", "path", (F.col("q") * (1 + F.log("tf")) * idf).alias("s"))  # one row
+    named = meet(asked_terms(placed, F.col("path"), asked.filter("path_like")), _sent(asked.filter("path_like"))).select("query_id", "path", (F.col("q") * (4 + F.log("tf"))).alias("s"))
     bonus = path_bonus(docs, queries, query, path_like, pairs).select("query_id", "path", F.col("bonus").cast("double").alias("s"))
-    return body.union(named).union(bonus).groupBy("query_id", "path").agg(F.round(F.sum("s"), DIGITS).alias("score"))
+    return body.union(named).union(bonus.repartition(parts, "path")).groupBy("query_id", "path").agg(F.round(F.sum("s"), DIGITS).alias("score"))
 
 
 def grams(text: Column) -> Column:

@@ -1,11 +1,12 @@
 """Steps whose work must grow with their input, held against plain versions."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
-from quillet.operators import locate
+from quillet.operators import locate, retrieval
 
 
 def plain_nearest(points, spans):
@@ -40,3 +41,14 @@ def test_nearest_document_one_large_file(spark):
     near = F.when((F.col("point_id") % 5 == 0) | (F.col("point_id") == n - 1), F.col("point_id")).otherwise(F.col("point_id") + 1)
     assert locate.candidate_document(points, spans).filter((F.col("path") != F.format_string("p%06d", near)) | (F.col("tier") != 2)).count() == 0
     assert time.time() - began < 60  # all pairs are 3.6 thousand million
+
+
+def test_scores_add_up_without_a_shuffle_of_pairs(spark, sf_dir):
+    queries = spark.createDataFrame([(i, f"src{i}/en word{i} alpha beta") for i in range(20)], "query_id long, query string")
+    docs = spark.createDataFrame([(f"src{i % 7}/en/{i // 2}", f"alpha word{i % 20} beta gamma " * (i % 3)) for i in range(60)], "path string, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = retrieval.bm25(docs, queries, F.col("text"), F.col("query"))
+    assert not re.search(r"hashpartitioning\((?:query_id|path)#\d+L?, \w+#", plan(found))
+    scored = retrieval.tfidf(docs, queries, F.col("text"), F.col("query"), F.col("query").rlike("/"))
+    # What a path holds of the queries' fragments is summed by query and path, and then laid beside the scores.
+    assert len(re.findall(r"hashpartitioning\((?:query_id|path)#\d+L?, \w+#", plan(scored))) == 1
