@@ -9,7 +9,7 @@ from ..functions import lexical
 from ..functions import text as T
 from ..operators import accept, context, graph, journal, locate, metrics, retrieval, rules, votes
 from ..sources import readers
-from ..sources.staging import new_path
+from ..sources.staging import new_path, stage
 from ..streaming import journal as streaming_journal
 from . import bindings as B
 from . import code_catalog, evidence_catalog, flow_catalog, run_catalog
@@ -60,7 +60,7 @@ def path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence of bm25_topk under a budget of 2,000 tokens a query."""
-    found = bm25_topk(spark, sf_dir).join(B.code_documents(spark, sf_dir).select("path", "text"), "path")
+    found = stage(bm25_topk(spark, sf_dir), "found").join(B.code_documents(spark, sf_dir).select("path", "text"), "path")
     return retrieval.limit_budget(found, 2000).select("query_id", "rank", "path", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
