@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import LINE_END, context_token_count, line_bounds, tokenize
-from ..sources.staging import stage
+from ..sources.staging import stage_facts as stage
 from . import graph, retrieval, slices
 from .rules import security_focus
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.python_code import last_parts, qualified
-from ..sources.staging import stage
+from ..sources.staging import stage_facts as stage
 from .rules import SINK_RULES, SOURCE_RULES
 
 CATEGORIES = list(SINK_RULES)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.staging import stage
+from ..sources.staging import stage_facts as stage
 
 
 def build_edges(calls: DataFrame, defines: DataFrame) -> DataFrame:

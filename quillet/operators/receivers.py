@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.python_code import last_parts, qualified, tail_of
-from ..sources.staging import stage
+from ..sources.staging import stage_facts as stage
 from . import graph
 
 #: Bases above a class, at most.

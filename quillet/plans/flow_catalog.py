@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.python_code import python_documents, scanned
 from ..operators import authorization, budgets, context, experts, flow, graph, identity, receivers, rules, slices, votes
-from ..sources.staging import stage
+from ..sources.staging import stage_facts as stage
 from . import bindings as B
 
 QUERIES: dict = {}
@@ -149,7 +149,7 @@ hit AS (SELECT 'm' || doc_id || '.py::handle_' || doc_id || '@1-19' AS path, doc
 def python_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sinks that a function's sources or parameters reach over branches, loops, handlers and re-assignments."""
     docs, _, _ = functions_of(handler_files(spark, sf_dir))
-    return flow.tainted_sinks(docs)
+    return stage(flow.tainted_sinks(docs), "sinks")
 
 
 @query(
@@ -165,7 +165,7 @@ def taint_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each handler the first way of calls, three at most, on which taint reaches a sink of each category."""
     docs, edges, defines = functions_of(handler_files(spark, sf_dir))
     starts = docs.filter("symbol like 'handle%'").select("path", F.explode("params").alias("entry"))
-    return flow.traces(docs, edges, defines, starts, 3)
+    return stage(flow.traces(docs, edges, defines, starts, 3), "traces")
 
 
 _SENSITIVE = "('delete(r)', 'update(r)', 'write(r)')"
@@ -188,7 +188,7 @@ UNION ALL SELECT 'g' || route || '.py::route_' || route || '@1-5', 'g' || doc_id
 def guard_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensitive actions that each route reaches by three calls at most, and whether every way to them meets a guard."""
     docs, edges, defines = functions_of(route_files(spark, sf_dir))
-    return authorization.guard_comparison(docs, edges, defines, 3)
+    return stage(authorization.guard_comparison(docs, edges, defines, 3), "guards")
 
 
 #: Lines of Java-like code: text, what it assigns, what that needs, its kind, and what the kind asks for.
@@ -301,7 +301,7 @@ SELECT 'c' || e.doc_id || '.py::Box_' || e.doc_id || '.run@12-15' AS src, 'c' ||
 def receiver_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls on self and its fields, by the fields' types and the classes above, over imports."""
     docs = stage(python_documents(class_files(spark, sf_dir)).filter("error is null"), "classes")
-    return receivers.receiver_edges(docs)
+    return stage(receivers.receiver_edges(docs), "edges")
 
 
 def _form_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +333,7 @@ def py_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call edges between the functions of a file for each document."""
     docs = _form_docs(spark, sf_dir).filter("symbol <> '<module>'")
     each = lambda c: docs.select("path", F.explode(c).alias("symbol"))
-    return graph.build_edges(each("calls"), each("defines"))
+    return stage(graph.build_edges(each("calls"), each("defines")), "edges")
 
 
 _VALUE = "list_extract([" + ", ".join("'" + v.replace("'", "''") + "'" for v in VALUES) + f"], CAST((doc_id * (2 * {{0}} + 3) + n_chars * ({{0}} % 3 + 1) + {{0}} * {{0}}) % {len(VALUES)} AS INT) + 1)"
@@ -348,7 +348,7 @@ SELECT concat_ws(':', 'repo', path, source_line, rule) AS candidate_id, path, so
 def py_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the scan rules in a file for each document, each in the innermost function around it."""
     docs = stage(python_documents(handler_files(spark, sf_dir)).filter("error is null"), "documents")
-    return rules.candidates_of(scanned(docs), docs, "repo")
+    return stage(rules.candidates_of(scanned(docs), docs, "repo"), "candidates")
 
 
 CASES = """def case_{d}(r):
@@ -394,7 +394,7 @@ def synthetic_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
                 verdict = verdict.join(fast, "case_id", "left").select("case_id", F.coalesce("fast", "label").alias("label"), F.coalesce("sure", "confidence").alias("confidence"))
             verdict = verdict.select(F.lit(system).alias("system"), "case_id", "label", F.round("confidence", 6).alias("confidence"))
             out = verdict if out is None else out.union(verdict)
-    return out
+    return stage(out, "verdicts")
 
 
 _ESCAPED = "regexp_replace(replace(replace(replace(replace({0}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), '[^ -~]', chr(92) || chr(92) || 'u0000', 'g')"
@@ -445,4 +445,4 @@ SELECT 'r' || doc_id || '.py::drop_' || doc_id || '@1-5' AS path, 'row' AS resou
 def resource_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletes of what was looked up before, while the lookup holds, with the owner comparisons in between."""
     docs = stage(python_documents(resource_files(spark, sf_dir)).filter("error is null"), "documents")
-    return authorization.resource_operations(docs)
+    return stage(authorization.resource_operations(docs), "operations")

@@ -48,6 +48,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes in memory that a byte of a staged file may stand for, where rows repeat names.
+EXPANDED = 64
+
+
+def stage_facts(df: DataFrame, name: str) -> DataFrame:
+    """stage() for rows whose names repeat: files are a small part of their rows' size.
+
+    Spark takes a file's size for that of its rows, and would send tables to the driver and all tasks that are far
+    larger. While this table is planned and written, files count as EXPANDED times their size; what is small as it
+    runs may still be sent, by its measured size.
+    """
+    key, conf = "spark.sql.sources.fileCompressionFactor", df.sparkSession.conf
+    before = conf.get(key)
+    conf.set(key, str(max(float(before), float(EXPANDED))))
+    try:
+        # Planned anew from its own nodes: sizes that were looked at under another setting don't count.
+        return stage(df.select("*"), name)
+    finally:
+        conf.set(key, before)
+
+
 def unstage(*dfs: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in dfs:

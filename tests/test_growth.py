@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from quillet.operators import locate, retrieval
+from quillet.sources import staging
 
 
 def plain_nearest(points, spans):
@@ -52,3 +53,13 @@ def test_scores_add_up_without_a_shuffle_of_pairs(spark, sf_dir):
     scored = retrieval.tfidf(docs, queries, F.col("text"), F.col("query"), F.col("query").rlike("/"))
     # What a path holds of the queries' fragments is summed by query and path, and then laid beside the scores.
     assert len(re.findall(r"hashpartitioning\((?:query_id|path)#\d+L?, \w+#", plan(scored))) == 1
+
+
+def test_small_files_of_many_rows_are_not_sent_to_the_driver(spark):
+    rows = spark.range(2_000_000).select(F.concat(F.lit("a/long/name/of/a/file.py::f"), (F.col("id") % 1000).cast("string")).alias("path"), (F.col("id") % 7).alias("step"))
+    once = staging.stage_facts(rows, "rows")  # some 3 MB of files, 150 MB of rows
+    before = spark.conf.get("spark.sql.sources.fileCompressionFactor")
+    staging.stage_facts(once.join(once.withColumnRenamed("step", "other"), "path").filter("step < other - 6"), "joined")
+    plan = spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
+    assert "Join" in plan and "Broadcast" not in plan
+    assert spark.conf.get("spark.sql.sources.fileCompressionFactor") == before
