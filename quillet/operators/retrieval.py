@@ -115,7 +115,8 @@ def path_bonus(docs: DataFrame, queries: DataFrame, query: Column, path_like: Co
     held = docs.select("path", F.explode(grams(F.lower("path"))).alias("gram"))
     own = F.filter(grams(F.col("part")), lambda g: F.length(g) == F.least(F.length("part"), F.lit(3)))
     rare = found.select("part").distinct().select("part", F.explode(own).alias("gram")).join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram")
-    rare = rare.groupBy("part").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    # The runs of all paths never go to the driver, whatever their size is taken for.
+    rare = _sent(stage(rare.groupBy("part").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")), "rare"))
     places = rare.join(held, "gram").filter(F.contains(F.lower("path"), F.col("part"))).select("part", "path")
     return found.join(places, "part").groupBy("query_id", "path").agg(F.sum("worth").alias("bonus"))
 
