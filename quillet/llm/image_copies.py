@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import mix, pick, stage, unstage
 
+#: Images that the query gives to a task.
+PER_PART = 2500
 #: Scales, least response of a corner, radius of a described patch, query images in a block.
 SCALES, RESPONSE, RADIUS, BLOCK = (1.0, 0.75, 0.5), 1.0, 8, 100
 TABLES, TABLE_BITS, MOST_APART, LEAST_AGREE = 10, 24, 48, 6
 #: What is added to a key: nothing, or one bit.
 FLIPS = np.concatenate([[0], 1 << np.arange(TABLE_BITS)]).astype(np.uint32)
+#: Multipliers of a hash of cells, for their five columns.
+_ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32).astype(np.int32)
 _rng = np.random.default_rng(20262)
 #: Point pairs of the tests, near the middle more often.
 TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (TABLES * TABLE_BITS, 4)), -RADIUS + 1, RADIUS - 1)
@@ -116,9 +120,9 @@ def features(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(desc: np.ndarray) -> np.ndarray:
-    """One 24-bit key for each table."""
+    """For each table its 24-bit key, below the table's number."""
     d = desc.reshape(len(desc), TABLES, 3).astype(np.uint32)
-    return d[:, :, 0] << 16 | d[:, :, 1] << 8 | d[:, :, 2]
+    return np.arange(TABLES, dtype=np.uint32) << TABLE_BITS | d[:, :, 0] << 16 | d[:, :, 1] << 8 | d[:, :, 2]
 
 
 class Tables:
@@ -128,62 +132,96 @@ class Tables:
         self.owner = np.concatenate([np.full(len(p), i, np.int64) for i, p, _ in queries] or [np.zeros(0, np.int64)])
         self.points = np.concatenate([p for _, p, _ in queries] or [np.zeros((0, 4), np.float32)])
         self.desc = np.concatenate([d for _, _, d in queries] or [np.zeros((0, 30), np.uint8)])
-        keys = _keys(self.desc)
-        self.order, self.sorted, self.held = [], [], []
-        for t in range(TABLES):
-            near = (keys[:, t, None] ^ FLIPS).ravel()
-            order = np.argsort(near, kind="stable")
-            self.order.append((order // len(FLIPS)).astype(np.int32))
-            self.sorted.append(near[order])
-            held = np.zeros(1 << TABLE_BITS, bool)
-            held[near] = True
-            self.held.append(np.packbits(held, bitorder="little"))
+        self.words = _words(self.desc)
+        near = (_keys(self.desc)[:, :, None] ^ FLIPS).ravel()
+        order = np.argsort(near, kind="stable")
+        # all tables as one list: the distinct keys, and whose they are from one start to the next
+        self.keys, self.starts = np.unique(near[order], return_index=True)
+        self.starts = np.append(self.starts, len(near))
+        self.whose = (order // (TABLES * len(FLIPS))).astype(np.int32)
 
     def matches(self, points: np.ndarray, desc: np.ndarray) -> list[tuple[int, int]]:
         """(query, agreeing matches) of one image, for queries with enough of them."""
         if not len(desc) or not len(self.desc):
             return []
-        keys, pairs = _keys(desc), []
-        for t in range(TABLES):
-            key = keys[:, t]
-            asks = np.flatnonzero(self.held[t][key >> 3] >> (key & 7).astype(np.uint8) & 1)
-            if len(asks):
-                lo, hi = (np.searchsorted(self.sorted[t], key[asks], side) for side in ("left", "right"))
-                n = hi - lo
-                mine = np.repeat(asks, n)
-                theirs = self.order[t][np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                pairs.append(mine.astype(np.int64) << 32 | theirs)
-        if not pairs:
-            return []
-        both = np.unique(np.concatenate(pairs))
-        mine, theirs = both >> 32, both & 0xFFFFFFFF
-        near = np.bitwise_count(desc[mine] ^ self.desc[theirs]).sum(axis=1, dtype=np.int64) <= MOST_APART
+        key = _keys(desc).ravel()
+        order = np.argsort(key)
+        key = key[order]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        asks = np.flatnonzero(self.keys[at] == key)
+        lo = self.starts[at[asks]]
+        n = self.starts[at[asks] + 1] - lo
+        theirs = self.whose.take(np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)).astype(np.intp)
+        asks = order[asks] // TABLES
+        mine = np.repeat(asks, n)
+        apart = np.zeros(len(mine), np.uint8)
+        for own, held in zip(_words(desc), self.words):
+            apart += np.bitwise_count(np.repeat(own[asks], n) ^ held.take(theirs))
+        # a pair that several tables give counts once below, with its keypoint
+        near = np.flatnonzero(apart <= MOST_APART)
         mine, theirs = mine[near], theirs[near]
-        return consensus(self.owner[theirs], self.points[theirs], points[mine], mine)
+        return consensus(self.owner[theirs], self.points.take(theirs, axis=0), points.take(mine, axis=0), mine)
+
+
+def _words(desc: np.ndarray) -> np.ndarray:
+    """Descriptors as columns of 64-bit words, the last filled up with zeros."""
+    return np.ascontiguousarray(np.pad(desc, ((0, 0), (0, 2))).view(np.uint64).T)
 
 
 def consensus(owner: np.ndarray, q: np.ndarray, p: np.ndarray, mine: np.ndarray) -> list[tuple[int, int]]:
     """For each owner the most matches that agree on turn (eighths of a circle), scale and shift (8 pixels), counted by distinct keypoints."""
     if len(owner) < LEAST_AGREE:
         return []
-    turn = (p[:, 3] - q[:, 3]) % (2 * np.pi)
-    scale = q[:, 2] / p[:, 2]
+    (qx, qy, qs, qa), (px, py, ps, pa_) = np.ascontiguousarray(q.T), np.ascontiguousarray(p.T)
+    turn = pa_ - qa
+    turn += (turn < 0) * np.float32(2 * np.pi)
+    scale = qs / ps
     c, s = np.cos(turn) * scale, np.sin(turn) * scale
-    shift = p[:, :2] - np.column_stack([c * q[:, 0] - s * q[:, 1], s * q[:, 0] + c * q[:, 1]])
+    x, y = (px - (c * qx - s * qy)) / 8, (py - (s * qx + c * qy)) / 8
+    turn /= np.pi / 4
+    size = np.frexp(scale * scale * np.float32(np.sqrt(2)))[1]  # half octaves, rounded
+    who = owner.astype(np.int32)
+    hashes = 1 << min(24, max(14, len(owner).bit_length()))
     best: dict[int, int] = {}
     for half in (0.0, 0.5):  # cells twice, moved by half a cell
-        cell = np.column_stack([owner, np.floor(turn / (np.pi / 4) + half) % 8, np.rint(np.log2(scale) * 2), np.floor(shift / 8 + half)]).astype(np.int64)
-        order = np.lexsort(cell.T)
-        fresh = np.r_[True, (cell[order[1:]] != cell[order[:-1]]).any(axis=1)]
-        first = order[fresh]
-        seen = np.unique((np.cumsum(fresh) - 1) << 32 | mine[order])
-        count = np.bincount(seen >> 32, minlength=len(first))
+        cell = [who, np.floor(turn + half).astype(np.int32) & 7, size, np.floor(x + half).astype(np.int32), np.floor(y + half).astype(np.int32)]
+        # most cells have few matches: those are left out by counts of a hash, and only the rest are sorted
+        mixed = cell[0] * _ODD[0]
+        for col, odd in zip(cell[1:], _ODD[1:]):
+            mixed += col * odd
+        mixed = (mixed >> 8) & (hashes - 1)
+        rows = np.flatnonzero(np.bincount(mixed, minlength=hashes).take(mixed) >= LEAST_AGREE)
+        if not len(rows):
+            continue
+        code = _code([owner[rows], *[col[rows] for col in cell[1:]]])
+        point = mine[rows]
+        span = int(point.max()) + 1
+        seen = np.sort(code * span + point)
+        seen = seen[np.r_[True, seen[1:] != seen[:-1]]] // span
+        edge = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1], True])
+        count = np.diff(edge)
         for k in np.flatnonzero(count >= LEAST_AGREE):
-            who = int(owner[first[k]])
-            best[who] = max(best.get(who, 0), int(count[k]))
+            i = int(owner[rows[np.argmax(code == seen[edge[k]])]])
+            best[i] = max(best.get(i, 0), int(count[k]))
     return sorted(best.items())
 
 
+def _code(columns: list[np.ndarray]) -> np.ndarray:
+    """One whole number below 2**31 or the rows' number for each row of some columns: equal for equal rows only."""
+    code = np.zeros(len(columns[0]), np.int64)
+    width = 1
+    for c in columns:
+        low = int(c.min())
+        span = int(c.max()) - low + 1
+        if width * span >= 1 << 31:
+            c, low = np.unique(c, return_inverse=True)[1], 0
+            code = np.unique(code, return_inverse=True)[1]
+            width, span = int(code.max()) + 1, int(c.max()) + 1
+        code = code * span + (c - low)
+        width *= span
+    return np.unique(code, return_inverse=True)[1] if width >= 1 << 31 else code
+
+
 def described(images: DataFrame) -> DataFrame:
     """(id, points, desc) of images (id, image)."""
 
@@ -259,15 +297,19 @@ def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = keyed.groupBy("h").agg(F.min("id").alias("class"))
     member = stage(keyed.select("id", "h").join(classes, "h").select("id", "class"), "members")
     ids = member.select(F.col("class").alias("id")).distinct()
-    images = stage(rows.join(ids, "id", "left_semi").select("id", "embedding").mapInArrow(draw, "id long, image binary"), "images")
+    n = rows.count()
+    # tasks of equal numbers of images, as many as there are cores or more
+    parts = max(-(-n // PER_PART), min(spark.sparkContext.defaultParallelism, 1 + n // BLOCK))
+    picked = rows.repartition(parts, "id").join(ids, "id", "left_semi").select("id", "embedding")
+    images = lambda own: own.mapInArrow(draw, "id long, image binary")
     asked = member.filter("id % 50 = 0")
 
     def edit(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([edited(x.as_py(), i) for i, x in zip(b.column(0).to_pylist(), b.column(1))], pa.binary())], names=["id", "image"])
 
-    queries = images.join(asked.select(F.col("class").alias("id")).distinct(), "id", "left_semi").mapInArrow(edit, "id long, image binary")
-    corpus = stage(described(images), "features")
+    queries = images(picked.join(asked.select(F.col("class").alias("id")).distinct(), "id", "left_semi")).mapInArrow(edit, "id long, image binary")
+    corpus = stage(described(images(picked)), "features")
     found = search(described(queries), corpus)
     best = found.groupBy("query").agg(F.count("*").alias("matches"), F.array_sort(F.collect_list(F.struct(F.col("match").alias("class_id"), "agree"))).alias("copies"), F.max_by("match", F.struct("agree", -F.col("match"))).alias("best_class"), F.max("agree").alias("agree"), F.bool_or(F.col("query") == F.col("match")).alias("found"))
     out = asked.join(best, F.col("class") == F.col("query"), "left")
