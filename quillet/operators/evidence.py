@@ -11,6 +11,8 @@ from .masks import matches_outside
 
 # The tool whose task a plan's other tasks must depend on.
 FIXTURE_TOOL = "run_fixture_test"
+#: Rows that a task of admitted_pairs() gets.
+PER_PART = 500_000
 
 
 def supporting(citations: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -60,6 +62,23 @@ def admitted(requests: DataFrame, scope: DataFrame, documents: DataFrame) -> Dat
     return requests.join(inside, ["case_id", "path"], "left").join(known, "path", "left").withColumn("status", status).drop("inside", "known")
 
 
+def admitted_pairs(requests: DataFrame, scope: DataFrame, documents: DataFrame) -> DataFrame:
+    """(case_id, path, status) as admitted() has it, each requested pair once.
+
+    Requests and scope meet in one aggregate, over partitions of about PER_PART rows however many there are, and pass by
+    the documents' paths, which alone are held in memory.
+    """
+    named = scope.select("case_id", "path").filter("case_id is not null and path is not null")
+    n = requests.count() + named.count()
+    parts = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PER_PART))
+    flag = lambda df, asked: df.select("case_id", "path", F.lit(asked).alias("asked"))
+    both = flag(requests, True).union(flag(named, False)).repartition(parts, "case_id", "path")
+    asked = both.groupBy("case_id", "path").agg(F.bool_or("asked").alias("asked"), F.bool_and("asked").alias("outside")).filter("asked")
+    known = documents.select("path").distinct().withColumn("known", F.lit(True))
+    status = F.when(F.col("outside"), "blocked").when(F.col("known").isNull(), "error").otherwise("ok")
+    return asked.repartition(parts, "path").join(known.hint("shuffle_hash"), "path", "left").select("case_id", "path", status.alias("status"))
+
+
 def scope_documents(scope: DataFrame, documents: DataFrame) -> DataFrame:
     """(case_id, path, ...) of the documents that a case's scope admits."""
     return scope.select("case_id", "path").distinct().join(documents, "path")

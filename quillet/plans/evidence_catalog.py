@@ -64,7 +64,7 @@ def admitted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as documents that orders ask for; a scope holds the parts ordered in numbers."""
     li = B.table(spark, sf_dir, "lineitem")
     of = lambda df: df.select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("path"))
-    return evidence.admitted(of(li).distinct(), of(li.filter("l_quantity >= 20")), _parts(spark, sf_dir)).select("case_id", "path", "status")
+    return evidence.admitted_pairs(of(li), of(li.filter("l_quantity >= 20")), _parts(spark, sf_dir))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:

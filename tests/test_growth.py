@@ -63,3 +63,21 @@ def test_small_files_of_many_rows_are_not_sent_to_the_driver(spark):
     plan = spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
     assert "Join" in plan and "Broadcast" not in plan
     assert spark.conf.get("spark.sql.sources.fileCompressionFactor") == before
+
+
+def test_requested_pairs_meet_scope_and_documents_in_bounded_tasks(spark, monkeypatch):
+    """Statuses are those of the join by rows, null keys among them; partitions grow with the rows, and requests are not sorted for a join."""
+    from quillet.operators import evidence
+
+    pairs = "case_id long, path long"
+    requests = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (2, 3), (None, 1), (3, None), (4, 9)], pairs)
+    scope = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 3), (None, 1), (3, None), (5, 5)], pairs)
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "path long, other string")
+    plain = evidence.admitted(requests.distinct(), scope, docs).select("case_id", "path", "status")
+    monkeypatch.setattr(evidence, "PER_PART", 1)
+    got = evidence.admitted_pairs(requests, scope, docs)
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, plain.collect())) and got.count() == 7
+    plan = got._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan.split("== Physical Plan ==")[1]
+    assert "RepartitionByExpression [case_id" in plan and ", 13" in plan
