@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,26 @@ def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
         spark.conf.set(key, str(limit))
 
 
+def give_back() -> None:
+    """Let this Python worker return what Arrow and the C library hold unused: workers live on beside the JVM and later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, giving memory back after each batch of its results and at its end."""
+
+    def held(batches):
+        for b in run(batches):
+            yield b
+            del b
+            give_back()
+        give_back()
+
+    return held
+
+
 U = np.uint64
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 

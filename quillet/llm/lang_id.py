@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, mix, pick, small_batches
+from .common import documents, lean, mix, pick, small_batches
 
 #: Ranks in a profile, and documents per language that a profile is learned from (a bounded sample by hash).
 PROFILE, TRAIN_DOCS = 300, 2000
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, *, size: int = PROFILE, per_lang: int = TRAIN_DOCS) -
                     sums = np.bincount(at, np.concatenate([g[1] for g in found])).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(sums)], names=["lang", "gram", "n"])
 
-    grams = chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = chosen.select("lang", "text").mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     out: dict[str, list[tuple[int, int]]] = {}
     for lang, gram, place in grams.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size).select("lang", "gram", "place").collect():
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], *, size: int = PR
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "score double"])
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(lean(run), fields)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

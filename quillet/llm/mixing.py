@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, mix, parts_for, stage
+from .common import documents, lean, mix, parts_for, stage
 
 # The weights by place.
 WEIGHTS = (3, 1, 2)
@@ -145,7 +145,7 @@ def plan(laid: DataFrame, *, block: int = BLOCK, seed: int = SEED) -> tuple[Data
 
     reach = 1
     while reach < shards:
-        nodes, reach = nodes.mapInArrow(split, node).repartition(parts, "shard"), reach * FAN
+        nodes, reach = nodes.mapInArrow(lean(split), node).repartition(parts, "shard"), reach * FAN
 
     def slots(batches):
         for b in batches:
@@ -160,7 +160,7 @@ def plan(laid: DataFrame, *, block: int = BLOCK, seed: int = SEED) -> tuple[Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["shard", "slot", "number", "pass", "block"])
 
-    return sources, nodes.mapInArrow(slots, "shard long, slot long, number int, pass int, block long")
+    return sources, nodes.mapInArrow(lean(slots), "shard long, slot long, number int, pass int, block long")
 
 
 def pieces(laid: DataFrame, sources: DataFrame, *, block: int = BLOCK) -> DataFrame:

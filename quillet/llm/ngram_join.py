@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, parts_for, pick, release, small_batches, stage, unstage
+from .common import documents, lean, mix, parts_for, pick, release, small_batches, stage, unstage
 from .links import components
 
 #: Text bytes that are hashed together; first rounds, over one group for each class.
@@ -182,7 +182,7 @@ def classes(docs: DataFrame, width: int, salt: int) -> DataFrame:
             n, d1, d2 = zip(*rows) if rows else ((), (), ())
             yield _batch("doc_id th n d1 d2", b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()))
 
-    return docs.mapInArrow(run, "doc_id long, th long, n long, d1 long, d2 long")
+    return docs.mapInArrow(lean(run), "doc_id long, th long, n long, d1 long, d2 long")
 
 
 def common_shingles(docs: DataFrame, rows: int, width: int) -> np.ndarray:
@@ -195,7 +195,7 @@ def common_shingles(docs: DataFrame, rows: int, width: int) -> np.ndarray:
                     yield _batch("h d1", pa.array(s.view(np.int64)), pa.array(np.full(len(s), digest(s)[0], np.int64)))
 
     sample = docs.filter(F.pmod(F.xxhash64(F.lit("common"), "doc_id", "th"), F.lit(1 + rows // COMMON_DOCS)) == 0)
-    counts = sample.select("doc_id", "text").mapInArrow(run, "h long, d1 long").distinct().groupBy("h").count()
+    counts = sample.select("doc_id", "text").mapInArrow(lean(run), "h long, d1 long").distinct().groupBy("h").count()
     return np.sort(np.array([r[0] for r in counts.filter(F.col("count") >= COMMON_IN).select("h").collect()], np.int64).view(_U))
 
 
@@ -224,7 +224,7 @@ def key_rows(docs: DataFrame, common: np.ndarray, width: int, percent: int, salt
             if held:
                 yield rows(held, names)
 
-    return docs.select("text").mapInArrow(run, "key long, d1 long")
+    return docs.select("text").mapInArrow(lean(run), "key long, d1 long")
 
 
 def grouped(rows: DataFrame, parts: int) -> DataFrame:
@@ -268,7 +268,7 @@ def grouped(rows: DataFrame, parts: int) -> DataFrame:
         if len(k):
             yield _batch("key d1", *(pa.array(x) for x in several(k, d, open_)))
 
-    return ordered.mapInArrow(run, "key long, d1 long")
+    return ordered.mapInArrow(lean(run), "key long, d1 long")
 
 
 def _fold(sk: bytes, size: int) -> np.ndarray:
@@ -321,7 +321,7 @@ def proposed(members: DataFrame, percent: int, wide: int) -> DataFrame:
         if out:
             yield _batch("key a b", *(pa.array(c, pa.int64()) for c in zip(*out)))
 
-    return ordered.select("key", "d1", "n", "c", "sk", "no").mapInArrow(run, "key long, a long, b long")
+    return ordered.select("key", "d1", "n", "c", "sk", "no").mapInArrow(lean(run), "key long, a long, b long")
 
 
 def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -340,7 +340,7 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             yield _batch("a b", rows.column(0), rows.column(1))
 
     joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(near, "a long, b long")
+    return joined.mapInArrow(lean(near), "a long, b long")
 
 
 def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -368,7 +368,7 @@ def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame
                 yield _batch("d1 n s sk", *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))))
 
     own = docs.join(named, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("text", "rep")
-    held = stage(own.mapInArrow(with_sets, "d1 long, n long, s binary, sk binary"), "held")
+    held = stage(own.mapInArrow(lean(with_sets), "d1 long, n long, s binary, sk binary"), "held")
     if not held.groupBy("d1").count().filter("count > 1").isEmpty():  # rows that agree in id and text
         once = stage(held.dropDuplicates(["d1"]), "held")
         unstage(held)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, pick, small_batches, stage, texts_of
+from .common import documents, give_back, lean, pick, small_batches, stage, texts_of
 from .tokens import encoder
 
 SIZE, PER_PART = 2048, 20_000
@@ -46,7 +46,7 @@ def piece_rows(docs: DataFrame, path: str, *, size: int = SIZE, end_id: int = 0)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     small_batches(docs.sparkSession)
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +109,11 @@ def pack_round(rows: DataFrame, parts: int, salt: int, size: int) -> DataFrame:
         return pd.DataFrame({"part": pdf["part"], "bin": pd.Series(bins, index=pdf.index).where(~open_[bins], -1), "offset": offsets, **{c: pdf[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "tie")}})
 
     dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "tie"), F.lit(parts)).cast("long"))
-    return dealt.groupBy("part").applyInPandas(lambda key, pdf: run(key, pdf), "part long, bin long, offset long, doc_id long, piece int, start long, length long, ids_crc32 long, tie long")
+    def lean_run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
+        return run(key, pdf)
+
+    return dealt.groupBy("part").applyInPandas(lean_run, "part long, bin long, offset long, doc_id long, piece int, start long, length long, ids_crc32 long, tie long")
 
 
 def pack(pieces: DataFrame, *, size: int = SIZE, per_part: int = PER_PART) -> DataFrame:

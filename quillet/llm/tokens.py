@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut in pieces together; pieces that an encoder remembers before it starts anew.
-CHUNK, MEMO = 4 << 20, 700_000
+CHUNK, MEMO = 1 << 20, 700_000
 _held: dict[tuple[str, str], "Encoder"] = {}
 # The usual characters, the endings that both files cut off, and the pieces that the files define.
 USUAL = "\t\n\r -~¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿"

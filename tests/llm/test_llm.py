@@ -578,3 +578,13 @@ def plain_votes(tables, points, desc):
             if len(points_) >= image_copies.LEAST_AGREE:
                 best[cell[0]] = max(best.get(cell[0], 0), len(points_))
     return best
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """After each batch of results and at the end, also where nothing came out."""
+    from quillet.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append(len(seen)))
+    assert list(common.lean(lambda batches: (b * 2 for b in batches))(iter([1, 2, 3]))) == [2, 4, 6] and len(seen) == 4
+    assert list(common.lean(lambda batches: (b for b in batches if b > 9))(iter([1]))) == [] and len(seen) == 5
