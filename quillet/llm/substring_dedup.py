@@ -209,11 +209,11 @@ class Family:
 
 
 def _drop_kind(table: DataFrame, kind: int) -> None:
-    """Delete the files of one kind below a scan's folder."""
+    """Delete the files of one kind below a scan's folder. A table's files are those of all kinds, in any order."""
     spark = table.sparkSession
-    for f in table.inputFiles()[:1]:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if p.getName() == f"kind={kind}":
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if folder.endswith(f"/kind={kind}"):
+            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -176,6 +176,26 @@ def test_substring_dedup_odd(spark, odd, empty):
     assert sorted(bytes(r["kept"]).decode() for r in deduplicated(odd).collect()) == sorted([t, "", "", "", "other"])
 
 
+def test_substring_dedup_drops_its_levels(spark, monkeypatch):
+    """A level is deleted once it is merged, and all of them before windows are hashed, wherever its files stand among those of cuts."""
+    import glob
+
+    made, left = [], []
+    path, windows = substring_dedup.new_path, substring_dedup.single_windows
+    monkeypatch.setattr(substring_dedup, "new_path", lambda *a: made.append(path(*a)) or made[-1])
+    levels = lambda: [x for m in made for x in glob.glob(m.removeprefix("file://") + "/kind=0")]
+    monkeypatch.setattr(substring_dedup, "single_windows", lambda *a: left.extend(levels()) or windows(*a))
+    add = substring_dedup.Family.add
+
+    def counted(self, docs):
+        add(self, docs)
+        assert len(levels()) == len(self.levels)
+
+    monkeypatch.setattr(substring_dedup.Family, "add", counted)
+    rows = spark.createDataFrame([(i, make_text(i % 60, 80)) for i in range(120)], "doc long, text string")
+    assert substring_dedup.find_repeats(rows).count() and len(made) == 4 and not left
+
+
 def tokenizer(name):
     from tokenizers import Tokenizer
 
