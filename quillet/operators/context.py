@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import LINE_END, context_token_count, line_bounds, tokenize
+from ..functions.text import LINE_END, context_token_count, let, line_bounds, tokenize
 from ..sources.staging import stage_facts as stage
 from . import graph, retrieval, slices
 from .rules import security_focus
@@ -86,6 +86,13 @@ def retrieve(docs: DataFrame, edges: DataFrame, candidates: DataFrame, mode: str
     return base.unionByName(more)
 
 
+def _lines(text: Column) -> Column:
+    """The lines of a text that is not empty, with their ends; a text whose only line ends are \\n is split at those."""
+    other = r"\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+    plain = let(F.split(text, "\n", -1), lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(i < F.size(ls) - 1, F.concat(x, F.lit("\n"))).otherwise(x)), lambda x: x != ""))
+    return F.when(text.rlike(f"[{other}]"), F.regexp_extract_all(text, F.lit(f"[^\\n{other}]*(?:{LINE_END})|[^\\n{other}]+"), F.lit(0))).otherwise(plain)
+
+
 def focused(rows: DataFrame, budget: int | Column, query: Column, fallback: Column, *, security: bool = False) -> DataFrame:
     """rows (text, ...) with text cut to a window of lines of at most `budget` tokens, and center, first, last (lines from 0, last exclusive) and n_tokens.
 
@@ -96,27 +103,35 @@ def focused(rows: DataFrame, budget: int | Column, query: Column, fallback: Colu
     if not isinstance(budget, Column) and (isinstance(budget, bool) or budget < 1):
         raise ValueError("context token budget must be positive")
     budget = budget if isinstance(budget, Column) else F.lit(budget)
-    marks = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
-    lines = F.regexp_extract_all("text", F.lit(f"[^{marks}]*(?:{LINE_END})|[^{marks}]+"), F.lit(0))
-    held = rows.withColumn("lines_", lines)
-    held = held.withColumns({"counts_": F.transform("lines_", context_token_count), "near_": F.least(F.greatest(fallback - 1, F.lit(0)), F.size("lines_") - 1), "asked_": F.array_distinct(tokenize(query))})
-    score = lambda line, i: F.struct((security_focus(line) if security else F.lit(0)).alias("s"), F.size(F.array_intersect(tokenize(line), F.col("asked_"))).alias("q"), (-F.abs(i - F.col("near_"))).alias("d"), i.alias("i"))
+    held = rows.filter(F.length("text") > 0).withColumn("lines_", _lines(F.col("text")))
+    asked = F.array_distinct(tokenize(query))
+    # Only terms that are asked are taken from a line: an identifier is a run of its letters without the digits before it.
+    term = F.when(F.size(asked) > 0, F.concat(F.lit("(?i)(?<![a-z0-9_])[0-9]*+("), F.array_join(asked, "|"), F.lit(")(?![a-z0-9_])"))).when(F.size(asked) == 0, "(?!)()")
+    held = held.withColumns({"near_": F.least(F.greatest(fallback - 1, F.lit(0)), F.size("lines_") - 1), "term_": term})
+    terms = lambda line: F.size(F.array_distinct(F.transform(F.regexp_extract_all(line, F.col("term_"), F.lit(1)), lambda t: F.lower(t))))
+    score = lambda line, i: F.struct((security_focus(line) if security else F.lit(0)).alias("s"), terms(line).alias("q"), (-F.abs(i - F.col("near_"))).alias("d"), i.alias("i"))
     held = held.withColumn("best_", F.array_max(F.transform("lines_", score)))
     held = held.withColumn("center", F.when((F.col("best_.s") > 0) | (F.col("best_.q") > 0), F.col("best_.i")).otherwise(F.col("near_")))
-    count = lambda i: F.get(F.col("counts_"), i)
+    all_, count = F.size("lines_"), lambda i: context_token_count(F.get("lines_", i))
 
+    # Tokens are counted as the window meets a line, once for each: a side whose next line doesn't fit stays shut.
     def grow(a, _):
-        before = (a["first"] > 0) & (a["n"] + count(a["first"] - 1) <= budget)
-        first, n = F.when(before, a["first"] - 1).otherwise(a["first"]), F.when(before, a["n"] + count(a["first"] - 1)).otherwise(a["n"])
-        behind = (a["last"] < F.size("lines_")) & (n + count(a["last"]) <= budget)
-        return F.struct(first.alias("first"), F.when(behind, a["last"] + 1).otherwise(a["last"]).alias("last"), F.when(behind, n + count(a["last"])).otherwise(n).alias("n"))
-
-    start = F.struct(F.col("center").alias("first"), (F.col("center") + 1).alias("last"), count(F.col("center")).alias("n"))
-    all_, total = F.size("lines_"), F.aggregate("counts_", F.lit(0), lambda a, x: a + x)
-    window = F.when(total <= budget, F.struct(F.lit(0).alias("first"), all_.alias("last"), total.alias("n"))).when(count(F.col("center")) >= budget, start).otherwise(F.aggregate(F.sequence(F.lit(1), all_), start, grow))
-    held = held.withColumns({"total_": total, "window_": window})
+        def behind(b):
+            up = F.coalesce(b <= budget, F.lit(False))
+            n = F.when(up, b).otherwise(a["n"])
+            fits = lambda c: F.struct(F.when(up, a["first"] - 1).otherwise(a["first"]).alias("first"), F.when(c <= budget, a["last"] + 1).otherwise(a["last"]).alias("last"), F.when(c <= budget, c).otherwise(n).alias("n"), up.alias("up"), F.coalesce(c <= budget, F.lit(False)).alias("down"))
+            return let(F.when(a["down"] & (a["last"] < all_), n + count(a["last"])), fits)
+
+        return F.when(a["up"] | a["down"], let(F.when(a["up"] & (a["first"] > 0), a["n"] + count(a["first"] - 1)), behind)).otherwise(a)
+
+    held = held.withColumn("center_n_", count(F.col("center")))
+    window = lambda first, last, n, grows: F.struct(first.alias("first"), last.alias("last"), n.alias("n"), F.lit(grows).alias("up"), F.lit(grows).alias("down"))
+    center, n = F.col("center"), F.col("center_n_")
+    whole = (n == budget) & (context_token_count(F.col("text")) <= budget)
+    grown = F.aggregate(F.sequence(F.lit(1), all_), window(center, center + 1, n, True), grow)
+    held = held.withColumn("window_", F.when(whole, window(F.lit(0), all_, n, False)).when(n >= budget, window(center, center + 1, n, False)).otherwise(grown))
     body = F.array_join(F.slice("lines_", F.col("window_.first") + 1, F.col("window_.last") - F.col("window_.first")), "")
     tokens = F.slice(F.regexp_extract_all(body, F.lit(r"(?U)\s*(?:\w+|[^\w\s])"), F.lit(0)), F.lit(1), budget)
     text = F.when(F.col("window_.n") <= budget, body).otherwise(F.array_join(tokens, ""))
     keep = [c for c in rows.columns if c != "text"]
-    return held.filter(F.size("lines_") > 0).select(*keep, text.alias("text"), "center", "window_.first", "window_.last", F.least(F.col("window_.n"), budget).alias("n_tokens"))
+    return held.select(*keep, text.alias("text"), "center", "window_.first", "window_.last", F.least(F.col("window_.n"), budget).alias("n_tokens"))

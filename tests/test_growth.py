@@ -81,3 +81,51 @@ def test_requested_pairs_meet_scope_and_documents_in_bounded_tasks(spark, monkey
     plan = got._jdf.queryExecution().toString()
     assert "SortMergeJoin" not in plan.split("== Physical Plan ==")[1]
     assert "RepartitionByExpression [case_id" in plan and ", 13" in plan
+
+
+def plain_window(text, budget, query, fallback):
+    """(center, first, last, n_tokens) of one text, with every line's tokens counted first."""
+    lines = text.splitlines(keepends=True)
+    counts = [len(re.findall(r"\w+|[^\w\s]", x)) for x in lines]
+    words = lambda x: {w.lower() for w in re.findall("[A-Za-z_][A-Za-z0-9_]+", x)}
+    near = min(max(fallback - 1, 0), len(lines) - 1)
+    q, _, i = max((len(words(x) & words(query)), -abs(i - near), i) for i, x in enumerate(lines))
+    center = i if q else near
+    if sum(counts) <= budget:
+        return center, 0, len(lines), sum(counts)
+    first, last, n = center, center + 1, counts[center]
+    grows = n < budget
+    while grows:
+        grows = False
+        if first and n + counts[first - 1] <= budget:
+            first, n, grows = first - 1, n + counts[first - 1], True
+        if last < len(lines) and n + counts[last] <= budget:
+            last, n, grows = last + 1, n + counts[last], True
+    return center, first, last, min(n, budget)
+
+
+def test_windows_count_tokens_near_the_centre(spark):
+    """Windows are those of counting every line; all work on long texts takes less than five times as long as counting their tokens once."""
+    from quillet.functions.text import context_token_count
+    from quillet.operators import context
+
+    r = random.Random(8)
+    bits = ["the", "The", "DER", "9the", "a9the", "the_", "7 the7", "password", "x", "İ", "Key", "\n", "\n", "\r\n", "\x0b", "\x85", " ", "  ", "!", "é"]
+    rows = [(i, "".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randrange(1, 60))), r.choice([1, 2, 3, 5, 8, 20]), r.choice(["", "the der", "The the x key", "password 9the a9the"]), r.choice([-3, 1, 4, 50])) for i in range(1500)]
+    odd = spark.createDataFrame(rows, "i int, text string, share int, query string, line int")
+    got = {x[0]: tuple(x[1:]) for x in context.focused(odd, F.col("share"), F.col("query"), F.col("line")).select("i", "center", "first", "last", "n_tokens").collect()}
+    assert got == {i: plain_window(t, n, q, line) for i, t, n, q, line in rows}
+
+    text = "\n".join(" ".join(r.choices("alpha beta gamma delta other some".split(), k=12)) for _ in range(400))
+    docs = spark.range(400).repartition(4).select(F.concat(F.lit(text), F.lit(" the "), F.col("id").cast("string")).alias("text")).localCheckpoint()
+
+    def took(df):
+        began = time.time()
+        df.write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    lines = docs.select(F.transform(F.split("text", "\n"), context_token_count).alias("n"))
+    windows = context.focused(docs, 60, F.lit("the password"), F.lit(1)).select("center", "first", "last")
+    for df in (lines, windows):
+        took(df)
+    assert min(took(windows) for _ in range(3)) < 5 * min(took(lines) for _ in range(3))
