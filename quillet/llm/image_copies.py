@@ -7,8 +7,9 @@ compared if they differ in at most one bit of some table's: always up to 19 diff
 the 48 that a match may have. Matches vote by geometric consensus: pairs of keypoints agree on turn, scale and shift in coarse
 cells; an image is a copy if enough matches agree.
 
-Queries run in blocks of a bounded number of images against all images: a block's tables go to every task, and
-an image's descriptors meet them in the row that holds them, so nothing is shuffled and no pair list exists.
+Queries run in blocks of a bounded number of images against all images: a block goes to every task, which holds the
+tables of some thousand images at a time and asks them query by query, so nothing is shuffled and no pair list
+exists. Of the pairs that meet, places come first: only those in cells that many pairs share are compared.
 Equal images are one class (named by its smallest id), and only classes are described, asked and matched.
 
 Images are binary grey PGM files (P5, 8 bits). Defined cases: null, empty or malformed images have no
@@ -28,7 +29,11 @@ from .common import mix, pick, stage, unstage
 #: Images that the query gives to a task.
 PER_PART = 2500
 #: Scales, least response of a corner, radius of a described patch, query images in a block.
-SCALES, RESPONSE, RADIUS, BLOCK = (1.0, 0.75, 0.5), 1.0, 8, 100
+SCALES, RESPONSE, RADIUS, BLOCK = (1.0, 0.75, 0.5), 1.0, 8, 1000
+#: Bytes of descriptors in a block of queries.
+BLOCK_BYTES = 16 << 20
+#: Least images of a task; descriptors and pairs of keypoints that it holds at a time.
+LEAST_PART, HELD, PAIRS = 100, 1 << 18, 1 << 20
 TABLES, TABLE_BITS, MOST_APART, LEAST_AGREE = 10, 24, 48, 6
 #: What is added to a key: nothing, or one bit.
 FLIPS = np.concatenate([[0], 1 << np.arange(TABLE_BITS)]).astype(np.uint32)
@@ -163,28 +168,111 @@ class Tables:
         return consensus(self.owner[theirs], self.points.take(theirs, axis=0), points.take(mine, axis=0), mine)
 
 
+class Index:
+    """The Hamming tables of many images (id, points, descriptors), to be asked by one query at a time."""
+
+    def __init__(self, images: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.ids = [i for i, _, _ in images]
+        self.points = np.concatenate([p for _, p, _ in images] or [np.zeros((0, 4), np.float32)])
+        self.desc = np.concatenate([d for _, _, d in images] or [np.zeros((0, 30), np.uint8)])
+        self.image = np.repeat(np.arange(len(images)) << 7, [len(p) for _, p, _ in images])
+        self.rows, self.words = _rows(self.points), np.ascontiguousarray(_words(self.desc).T)
+        key = _keys(self.desc).ravel()
+        order = np.argsort(key)
+        self.keys, self.starts = np.unique(key[order], return_index=True)
+        self.starts = np.append(self.starts, len(key))
+        self.whose = (order // TABLES).astype(np.int32)
+
+    def matches(self, points: np.ndarray, desc: np.ndarray) -> list[tuple[int, int]] | None:
+        """(image, agreeing matches) of one query, for images with enough of them; None if fewer images must be asked at a time."""
+        if not len(desc) or not len(self.desc):
+            return []
+        near = np.sort((_keys(desc)[:, :, None] ^ FLIPS).reshape(len(desc), -1)).ravel()
+        at = np.minimum(np.searchsorted(self.keys, near), len(self.keys) - 1)
+        asks = np.flatnonzero(self.keys[at] == near)
+        lo = self.starts[at[asks]]
+        n = self.starts[at[asks] + 1] - lo
+        if n.sum() > PAIRS and len(self.ids) > 1:
+            return None
+        theirs = self.whose.take(np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n))
+        edges = np.r_[0, np.cumsum(n)][np.searchsorted(asks, np.arange(len(desc) + 1) * (TABLES * len(FLIPS)))]
+        # a keypoint's pairs in order, each once, however many tables give it
+        fresh = np.ones(len(theirs), bool)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            own = theirs[a:b]
+            own.sort()
+            np.not_equal(own[1:], own[:-1], out=fresh[a + 1 : max(b, a + 1)])
+        kept = np.flatnonzero(fresh)
+        edges = np.searchsorted(kept, edges)
+        theirs = theirs.take(kept).astype(np.intp)
+        # only pairs in cells that may have enough of them go on: cells are told by the image and a few bits of a hash
+        cells = np.empty((4, len(theirs)), np.uint8)
+        many = np.diff(edges)
+        for q, a, b in zip(points, edges[:-1].tolist(), edges[1:].tolist()):
+            if a < b:
+                scale, cells[:3, a:b] = _places(q, _columns(self.rows.take(theirs[a:b])))
+                cells[3, a:b] = (scale * scale * np.float32(np.sqrt(2))).view(np.int32) >> 23  # the exponent, as in _size
+        image = self.image.take(theirs)
+        often = np.zeros(len(theirs), bool)
+        for half in (0, 1):
+            turn, x, y = (cells[:3] + np.uint8(half)) >> 1
+            mixed = image + ((turn & 7) * np.uint8(37) + x * np.uint8(11) + y * np.uint8(81) + cells[3] * np.uint8(53) & np.uint8(127))
+            often |= (np.bincount(mixed) >= LEAST_AGREE).take(mixed)
+        rows = np.flatnonzero(often)
+        theirs, mine = theirs[rows], np.repeat(np.arange(len(desc)), many)[rows]
+        near = np.bitwise_count(self.words.take(theirs, axis=0) ^ _words(desc).T[mine]).sum(axis=1, dtype=np.uint8) <= MOST_APART
+        theirs, mine = theirs[near], mine[near]
+        return [(self.ids[i], m) for i, m in consensus(self.image[theirs] >> 7, points[mine], self.points[theirs], theirs)]
+
+
+def _rows(points: np.ndarray) -> np.ndarray:
+    """Keypoints as single values of 16 bytes, which are taken much faster than rows of four."""
+    return np.ascontiguousarray(points, np.float32).view(np.complex128).ravel()
+
+
+def _columns(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows.view(np.float32).reshape(-1, 4).T)
+
+
 def _words(desc: np.ndarray) -> np.ndarray:
     """Descriptors as columns of 64-bit words, the last filled up with zeros."""
     return np.ascontiguousarray(np.pad(desc, ((0, 0), (0, 2))).view(np.uint64).T)
 
 
+def _places(q, p) -> tuple[np.ndarray, np.ndarray]:
+    """Scale, and turn and shift (x, y) as numbers of half cells, of pairs of keypoints, both as columns (x, y, scale, angle)."""
+    (qx, qy, qs, qa), (px, py, ps, pa_) = q, p
+    place = np.empty((3, len(px)), np.float32)
+    turn = np.subtract(pa_, qa, out=place[0])
+    turn += (turn < 0) * np.float32(2 * np.pi)
+    scale = qs / ps
+    c, s = np.cos(turn), np.sin(turn)
+    c *= scale
+    s *= scale
+    np.subtract(px, c * qx - s * qy, out=place[1])
+    np.subtract(py, s * qx + c * qy, out=place[2])
+    place[1:] /= 4
+    turn /= np.pi / 4
+    place[0] *= 2
+    return scale, np.floor(place, out=place).astype(np.int32)
+
+
+def _size(scale: np.ndarray) -> np.ndarray:
+    """Scales in half octaves, rounded."""
+    return np.frexp(scale * scale * np.float32(np.sqrt(2)))[1]
+
+
 def consensus(owner: np.ndarray, q: np.ndarray, p: np.ndarray, mine: np.ndarray) -> list[tuple[int, int]]:
     """For each owner the most matches that agree on turn (eighths of a circle), scale and shift (8 pixels), counted by distinct keypoints."""
     if len(owner) < LEAST_AGREE:
         return []
-    (qx, qy, qs, qa), (px, py, ps, pa_) = np.ascontiguousarray(q.T), np.ascontiguousarray(p.T)
-    turn = pa_ - qa
-    turn += (turn < 0) * np.float32(2 * np.pi)
-    scale = qs / ps
-    c, s = np.cos(turn) * scale, np.sin(turn) * scale
-    x, y = (px - (c * qx - s * qy)) / 8, (py - (s * qx + c * qy)) / 8
-    turn /= np.pi / 4
-    size = np.frexp(scale * scale * np.float32(np.sqrt(2)))[1]  # half octaves, rounded
+    scale, (turn, x, y) = _places(np.ascontiguousarray(q.T), np.ascontiguousarray(p.T))
+    size = _size(scale)
     who = owner.astype(np.int32)
     hashes = 1 << min(24, max(14, len(owner).bit_length()))
     best: dict[int, int] = {}
-    for half in (0.0, 0.5):  # cells twice, moved by half a cell
-        cell = [who, np.floor(turn + half).astype(np.int32) & 7, size, np.floor(x + half).astype(np.int32), np.floor(y + half).astype(np.int32)]
+    for half in (0, 1):  # cells twice, moved by half a cell
+        cell = [who, (turn + half >> 1) & 7, size, x + half >> 1, y + half >> 1]
         # most cells have few matches: those are left out by counts of a hash, and only the rest are sorted
         mixed = cell[0] * _ODD[0]
         for col, odd in zip(cell[1:], _ODD[1:]):
@@ -237,19 +325,50 @@ def _arrays(points: bytes, desc: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(points, np.float32).reshape(-1, 4), np.frombuffer(desc, np.uint8).reshape(-1, 30)
 
 
+def _portions(batches):
+    """Lists of described images with up to HELD descriptors, or one image."""
+    images, held = [], 0
+    for b in batches:
+        for i, p, d in zip(*(c.to_pylist() for c in b.columns)):
+            n = len(d) // 30
+            if images and held + n > HELD:
+                yield images
+                images, held = [], 0
+            images.append((i, *_arrays(p, d)))
+            held += n
+    if images:
+        yield images
+
+
+def _asked(images: list, queries: list):
+    """(query, image, agree) of all queries; those that meet too many keypoints at once ask half of the images at a time."""
+    index, heavy = Index(images), []
+    for q, p, d in queries:
+        found = index.matches(p, d)
+        if found is None:
+            heavy.append((q, p, d))
+        else:
+            yield from ((q, i, n) for i, n in found)
+    del index
+    if heavy:
+        for half in (images[: len(images) // 2], images[len(images) // 2 :]):
+            yield from _asked(half, heavy)
+
+
 def search(queries: DataFrame, corpus: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """(query, match, agree) of queries and corpus, both described(): all images that share enough geometry with a query."""
-    blocks = 1 + queries.count() // block
+    dealt = stage(queries.select("id", "points", "desc"), "queries")
+    n, size = dealt.agg(F.count("*"), F.coalesce(F.sum(F.length("desc")), F.lit(0))).first()
+    blocks = 1 + max(n // block, size // BLOCK_BYTES)
     # a hash deals queries over blocks of about `block` images: what a task holds doesn't grow with the input
-    dealt = stage(queries.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks))), "queries")
+    own = F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks))
     out = None
     for k in range(blocks):
-        held = [(r["id"], *_arrays(bytes(r["points"]), bytes(r["desc"]))) for r in dealt.filter(F.col("block") == k).collect()]
+        held = [(r["id"], *_arrays(bytes(r["points"]), bytes(r["desc"]))) for r in dealt.filter(own == k).collect()]
 
         def run(batches, held=held):
-            tables = Tables(held)
-            for b in batches:
-                rows = [(q, i, n) for i, p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()) for q, n in tables.matches(*_arrays(p, d))]
+            for images in _portions(batches):
+                rows = list(_asked(images, held))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query", "match", "agree"])
 
@@ -299,7 +418,7 @@ def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = member.select(F.col("class").alias("id")).distinct()
     n = rows.count()
     # tasks of equal numbers of images, as many as there are cores or more
-    parts = max(-(-n // PER_PART), min(spark.sparkContext.defaultParallelism, 1 + n // BLOCK))
+    parts = max(-(-n // PER_PART), min(spark.sparkContext.defaultParallelism, 1 + n // LEAST_PART))
     picked = rows.repartition(parts, "id").join(ids, "id", "left_semi").select("id", "embedding")
     images = lambda own: own.mapInArrow(draw, "id long, image binary")
     asked = member.filter("id % 50 = 0")

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillet.llm import hard_negatives, html_text, importance, queries
+from quillet.llm import hard_negatives, html_text, image_copies, importance, queries
 from quillet.sources.staging import new_path
 
 VECTORS = "vec_id long, embedding array<float>, label int, key string, far int"
@@ -240,3 +240,38 @@ def test_draw_among_equal_scores(spark):
     got = {r["doc_id"]: r["rank"] for r in importance.drawn(rows, share=20).filter(F.col("rank").isNotNull()).collect()}
     assert got == {d: k for k, d in enumerate([i for i in range(200) if i % 3][:40], 1)}
     assert importance.drawn(rows, share=100).filter("rank is null").count() == 0
+
+
+def test_images_held_are_asked_in_less_time_than_one_by_one(monkeypatch):
+    """Queries that ask many images at once find what each image finds by itself, in less time, however few pairs may be held."""
+    import time
+
+    r = np.random.default_rng(8)
+    pictures = [image_copies.picture(v.tolist()) for v in r.normal(size=(800, 64))]
+    images = [(i, *image_copies.features(p)) for i, p in enumerate(pictures)] + [(900, *image_copies.features(None))]
+    asked = [(i, *image_copies.features(image_copies.edited(pictures[i], i))) for i in range(0, 800, 10)] + [(901, *images[0][1:]), (902, *image_copies.features(b""))]
+    began = time.process_time()
+    tables = image_copies.Tables(asked)
+    plain = sorted((q, i, n) for i, p, d in images for q, n in tables.matches(p, d))
+    took = time.process_time() - began
+    began = time.process_time()
+    got = sorted(image_copies._asked(images, asked))
+    assert time.process_time() - began < 0.8 * took
+    assert got == plain and len({q for q, i, _ in got if q == i}) >= 72 and (901, 0) in {m[:2] for m in got}
+    monkeypatch.setattr(image_copies, "PAIRS", 20_000)
+    assert sorted(image_copies._asked(images[:200], asked[:20])) == [m for m in plain if m[0] < 200 and m[1] < 200]
+
+
+def test_images_are_read_once_for_many_queries(spark, monkeypatch):
+    """Some hundred queries are one block, so one pass over the images; long descriptors make more blocks, with the same result."""
+    r = np.random.default_rng(9)
+    pictures = [image_copies.picture(v.tolist()) for v in r.normal(size=(30, 64))]
+    corpus = image_copies.described(spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(pictures)], "id long, image binary"))
+    asked = image_copies.described(spark.createDataFrame([(i, bytearray(pictures[i % 30])) for i in range(250)], "id long, image binary"))
+    passes, plain_stage = [], image_copies.stage
+    monkeypatch.setattr(image_copies, "stage", lambda df, name: passes.append(name) or plain_stage(df, name))
+    once = sorted(map(tuple, image_copies.search(asked, corpus).collect()))
+    assert passes == ["queries", "block0"] and {(i, i % 30) for i in range(250)} <= {m[:2] for m in once}
+    monkeypatch.setattr(image_copies, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(image_copies, "HELD", 200)
+    assert sorted(map(tuple, image_copies.search(asked, corpus).collect())) == once and len(passes) > 4
