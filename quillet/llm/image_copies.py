@@ -326,11 +326,13 @@ def _arrays(points: bytes, desc: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _portions(batches):
-    """Lists of described images with up to HELD descriptors, or one image."""
+    """Lists of described images with up to HELD descriptors, or one image; images with too few to match anything are left out."""
     images, held = [], 0
     for b in batches:
         for i, p, d in zip(*(c.to_pylist() for c in b.columns)):
             n = len(d) // 30
+            if n < LEAST_AGREE:
+                continue
             if images and held + n > HELD:
                 yield images
                 images, held = [], 0

@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +276,12 @@ def test_images_are_read_once_for_many_queries(spark, monkeypatch):
     monkeypatch.setattr(image_copies, "BLOCK_BYTES", 100_000)
     monkeypatch.setattr(image_copies, "HELD", 200)
     assert sorted(map(tuple, image_copies.search(asked, corpus).collect())) == once and len(passes) > 4
+
+
+def test_images_without_enough_keypoints_are_not_held():
+    """Flat images are no part of what a task holds, however many there are."""
+    few, enough = image_copies.LEAST_AGREE - 1, image_copies.LEAST_AGREE
+    rows = [(i, bytes(16 * n), bytes(30 * n)) for i, n in enumerate([0, enough, few, 0, enough, 0])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["id", "points", "desc"])
+    assert [[i for i, _, _ in images] for images in image_copies._portions([batch, batch])] == [[1, 4, 1, 4]]
+    assert not list(image_copies._portions([batch.slice(0, 1)]))
