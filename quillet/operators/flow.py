@@ -1,20 +1,23 @@
 """Taint through code as rows: within a document over its control flow, across documents over the call graph.
 
-A fact is a name that may be tainted just before a step that touches it, or at the end of a run. Facts move by
-equi-joins: past a step that leaves the name alone, into the names that a step writes, or over a run's end to the
-first step behind it that touches the name. So a fact skips what does not concern it; a round moves every new fact
-by two touches or runs, is staged, and only what is new goes on. Categories of sinks are bits of one number: a
-sanitizer clears those it makes safe, a fact that brings no new bit is dropped. One more bit is never cleared: with
-it and without the sink's own, a value has been cleaned on every way.
-
-Nothing is kept on the driver but the number of rounds, which is the longest chain of touches and branches of any
-document; facts are at most documents x entries x touches.
+A fact is a name that may be tainted just before a step that touches it, or at the end of a run. Facts move past a
+step that leaves the name alone, into the names that a step writes, or over a run's end to the first step behind it
+that touches the name. So a fact skips what does not concern it. They never leave their document: one row has all
+its steps, and a task follows them there until nothing new comes (`Walk`), with no shuffle. Categories of sinks are
+bits of one number: a sanitizer clears those it makes safe, a fact that brings no new bit is dropped. One more bit is
+never cleared: with it and without the sink's own, a value has been cleaned on every way. The bits of all entries of
+a document lie in one number, side by side, so they move together.
+
+Only arguments of calls leave a document.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,7 +40,11 @@ CLEANERS = {"shlex.quote": ["command-execution"], "shellescape": ["command-execu
 SINK_KEYWORD = {"sql": "query", "path-access": "file", "code-execution": "source", "command-execution": "args", "outbound-request": "url"}
 ORDINARY_PROGRAMS = ["echo"]
 RUNNERS = r"subprocess\.(?:run|call|Popen|check_call|check_output|getoutput|getstatusoutput)|os\.(?:system|popen)"
-FACT = ["path", "entry", "run", "at", "name"]
+#: Columns of facts that taint is followed over.
+FACTS = ["path", "params", "aliases", "called", "reads", "writes", "nexts", "entries"]
+#: Bits that each entry of a document has, and rows of documents that a task holds as Python objects at once.
+WIDTH, ROWS = len(CATEGORIES) + 1, 256
+GIVEN = pa.schema([("path", pa.string()), ("entry", pa.string()), ("call", pa.int32()), ("slot", pa.string()), ("bits", pa.int32())])
 
 
 def _cleaned(through: Column) -> Column:
@@ -54,70 +61,110 @@ def _or(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.bit_or("bits").alias("bits")).filter("bits <> 0")
 
 
-class Tables:
-    """A document's steps as joinable rows, staged once: touches with the next touch, moves, runs that follow, entries."""
-
-    def __init__(self, facts: DataFrame):
-        self.facts = facts
-        reads = stage(facts.select("path", F.inline("reads")).withColumn("keep", F.lit(ALL).bitwiseXOR(_cleaned(F.col("through")))), "reads")
-        writes = facts.select("path", F.inline("writes"))
-        touched = reads.filter("kind = 'name'").select("path", "run", "step", F.col("src").alias("name"), F.lit(False).alias("kills")).union(writes.select("path", "run", "step", "name", F.lit(True)))
-        touched = touched.groupBy("path", "run", "step", "name").agg(F.max("kills").alias("kills"))
-        next_ = F.coalesce(F.lead("step").over(Window.partitionBy("path", "run", "name").orderBy("step")), F.lit(END))
-        self.touches = stage(touched.withColumn("next", next_), "touches")
-        self.first = stage(self.touches.groupBy("path", "run", "name").agg(F.min("step").alias("first")), "first-touches")
-        self.nexts = stage(facts.select("path", F.inline("nexts")).withColumnRenamed("next", "to_run"), "nexts")
-        behind = self.touches.select("path", "run", "step", F.col("name").alias("to"), F.col("next").alias("to_at"))
-        into = reads.filter("to is not null").join(behind, ["path", "run", "step", "to"])
-        is_source = (F.col("kind") == "text") & _any(F.col("src"), SOURCE_RULES)
-        passed = self.touches.filter("not kills").select("path", "run", F.col("step").alias("at"), "name", F.col("name").alias("to"), F.col("next").alias("to_at"), F.lit(ALL).alias("keep"))
-        moved = into.filter("kind = 'name'").select("path", "run", F.col("step").alias("at"), F.col("src").alias("name"), "to", "to_at", "keep")
-        self.steps = stage(_kept(passed.union(moved)), "steps")
-        self.made = into.filter(is_source).select("path", F.lit(OWN).alias("entry"), "run", F.col("to_at").alias("at"), F.col("to").alias("name"), F.col("keep").alias("bits"))
-        self.given = reads.filter("call is not null")
-        self.given_sources = self.given.filter(is_source).select("path", F.lit(OWN).alias("entry"), "call", "slot", F.col("keep").alias("bits"))
-
-    def entered(self, facts: DataFrame) -> DataFrame:
-        """Facts (path, entry, to_run, name, bits) that come into a run, at the first step that touches them or at its end."""
-        first = self.first.withColumnRenamed("run", "to_run")
-        return facts.join(first, ["path", "to_run", "name"], "left").select("path", "entry", F.col("to_run").alias("run"), F.coalesce("first", F.lit(END)).alias("at"), "name", "bits")
-
-
-    def moved(self, facts: DataFrame) -> DataFrame:
-        """Facts one touch or one run further."""
-        within = facts.filter(F.col("at") < END).join(self.steps, ["path", "run", "at", "name"])
-        within = within.select("path", "entry", "run", F.col("to_at").alias("at"), F.col("to").alias("name"), F.col("bits").bitwiseAND(F.col("keep")).alias("bits"))
-        return within.union(self.entered(facts.filter(F.col("at") == END).join(self.nexts, ["path", "run"]).select("path", "entry", "to_run", "name", "bits")))
-
-
-def _kept(steps: DataFrame) -> DataFrame:
-    return steps.groupBy("path", "run", "at", "name", "to", "to_at").agg(F.bit_or("keep").alias("keep"))
-
-
-def reached(tables: Tables, params: bool = True) -> DataFrame:
-    """(path, entry, run, at, name, bits) of all facts: entry is the parameter that they come from, or OWN for the document's sources."""
-    start = tables.made
-    if params:
-        into = tables.facts.select("path", F.explode("entries").alias("to_run"), "params").select("path", "to_run", F.explode("params").alias("name"))
-        start = start.union(tables.entered(into.select("path", F.col("name").alias("entry"), "to_run", "name", F.lit(ALL).alias("bits"))))
-    new = stage(_or(start, FACT), "facts")
-    seen = new
-    while not new.isEmpty():
-        # Two moves a round: half as many rounds are staged, and what the first move finds twice moves twice.
-        once = _or(tables.moved(new), FACT)
-        found = _or(once.union(tables.moved(once)), FACT)
-        known = _or(seen, FACT).withColumnRenamed("bits", "known")
-        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0))))
-        new = stage(found.join(known, FACT, "left").select(*FACT, fresh.alias("bits")).filter("bits <> 0"), "facts")
-        seen = seen.union(new)
-    return _or(seen, FACT)
+def laid_out(facts: DataFrame) -> DataFrame:
+    """(path, starts, reads, writes, nexts), one row a document: what a walk needs, judged by the rules."""
+    read = lambda r: F.struct(r["run"], r["step"], r["to"], r["call"], r["slot"], r["src"], (r["kind"] == "name").alias("name"), F.lit(ALL).bitwiseXOR(_cleaned(r["through"])).alias("keep"))
+    counts = F.filter("reads", lambda r: (r["kind"] == "name") | ((r["kind"] == "text") & _any(r["src"], SOURCE_RULES)))
+    starts = F.flatten(F.transform("entries", lambda run: F.transform("params", lambda name: F.struct(run.alias("run"), name.alias("name")))))
+    lists = {"starts": starts, "reads": F.transform(counts, read), "writes": F.col("writes"), "nexts": F.col("nexts")}
+    # Rows of one path are one document; where there are none, nothing is shuffled.
+    shared = stage(facts.groupBy("path").count().filter("count > 1 and path is not null").select("path"), "shared-paths")
+    rows = facts.filter("path is not null").select("path", *[c.alias(n) for n, c in lists.items()])
+    if shared.isEmpty():
+        return rows
+    merged = rows.join(shared, "path", "left_semi").groupBy("path").agg(*[F.flatten(F.collect_list(n)).alias(n) for n in lists])
+    return rows.join(shared, "path", "left_anti").union(merged)
+
+
+class Walk:
+    """What may be tainted in one document: facts (run, step that touches the name or END, name) with the bits of all entries."""
+
+    def __init__(self, starts: list[tuple], reads: list[tuple], writes: list[tuple], nexts: list[tuple]):
+        self.reads = reads
+        self.first: dict[tuple, int] = {}
+        self.facts: dict[tuple, int] = {}
+        self.waiting: dict[tuple, int] = {}
+        self.entries = {OWN: 0}
+        for _, name in starts:
+            self.entries.setdefault(name, WIDTH * len(self.entries))
+        self.every = sum(1 << at for at in self.entries.values())
+        touched: dict[tuple, dict[int, bool]] = defaultdict(dict)
+        for run, step, _, _, _, src, is_name, _ in reads:
+            if is_name:
+                touched[run, src].setdefault(step, False)
+        for run, step, name in writes:
+            touched[run, name][step] = True
+        behind, steps, runs = {}, defaultdict(list), defaultdict(set)
+        for (run, name), at in touched.items():
+            order = sorted(at)
+            self.first[run, name] = order[0]
+            for step, after in zip(order, [*order[1:], END]):
+                behind[run, step, name] = after
+                if not at[step]:
+                    steps[run, step, name].append(((run, after, name), ALL * self.every))
+        for run, after in nexts:
+            runs[run].add(after)
+        for run, name in starts:
+            self.enter(run, name, ALL << self.entries[name])
+        for run, step, to, _, _, src, is_name, keep in reads:
+            after = behind.get((run, step, to))
+            if after is not None and is_name:
+                steps[run, step, src].append(((run, after, to), keep * self.every))
+            elif after is not None:
+                self.add((run, after, to), keep)
+        while self.waiting:
+            (run, at, name), bits = self.waiting.popitem()
+            if at == END:
+                for to in runs[run]:
+                    self.enter(to, name, bits)
+            else:
+                for to, keep in steps[run, at, name]:
+                    self.add(to, bits & keep)
+
+    def enter(self, run: int, name: str, bits: int) -> None:
+        self.add((run, self.first.get((run, name), END), name), bits)
+
+    def add(self, fact: tuple, bits: int) -> None:
+        fresh = bits & ~self.facts.get(fact, 0)
+        if fresh:
+            self.facts[fact] = self.facts.get(fact, 0) | fresh
+            self.waiting[fact] = self.waiting.get(fact, 0) | fresh
+
+    def given(self) -> Iterator[tuple[str, int, str, int]]:
+        """(entry, call, slot, bits) of the arguments that may be tainted."""
+        found: dict[tuple, int] = defaultdict(int)
+        for run, step, _, call, slot, src, is_name, keep in self.reads:
+            if call is not None:
+                found[call, slot] |= self.facts.get((run, step, src), 0) & keep * self.every if is_name else keep
+        for (call, slot), bits in found.items():
+            for entry, at in self.entries.items():
+                if own := bits >> at & ALL:
+                    yield entry, call, slot, own
+
+
+def _tuples(column: pa.ListArray) -> Iterator[list[tuple]]:
+    """The lists of structs of a column, structs as tuples."""
+    rows, at = list(zip(*[c.to_pylist() for c in column.flatten().flatten()])), 0
+    for n in column.value_lengths().to_pylist():
+        yield rows[at : at + n]
+        at += n
+
+
+def arguments(facts: DataFrame, params: bool = True) -> DataFrame:
+    """(path, entry, call, slot, bits): the arguments that may be tainted, by the entry that they come from.
+
+    entry is a parameter, or OWN for the document's own sources.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                path, *lists = b.slice(at, ROWS).columns
+                out = [(p, *row) for p, starts, *rest in zip(path.to_pylist(), *map(_tuples, lists)) for row in Walk(starts if params else [], *rest).given()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), GIVEN)], schema=GIVEN)
 
-def arguments(tables: Tables, facts: DataFrame) -> DataFrame:
-    """(path, entry, call, slot, bits): the arguments that may be tainted, by the entry that they come from."""
-    read = tables.given.filter("kind = 'name'").select("path", "run", F.col("step").alias("at"), F.col("src").alias("name"), "call", "slot", "keep")
-    by_name = facts.join(read, ["path", "run", "at", "name"]).select("path", "entry", "call", "slot", F.col("bits").bitwiseAND(F.col("keep")).alias("bits"))
-    return stage(_or(by_name.union(tables.given_sources), ["path", "entry", "call", "slot"]), "arguments")
+    return stage(laid_out(facts).mapInArrow(run, "path string, entry string, call int, slot string, bits int"), "arguments")
 
 
 def calls_of(facts: DataFrame) -> DataFrame:
@@ -153,8 +200,7 @@ def tainted_sinks(facts: DataFrame, *, params: bool = True) -> DataFrame:
     sanitizer for the sink's category. Defined cases: documents that do not parse have no facts, hence no rows;
     documents of one path are one document; nested functions are documents of their own.
     """
-    tables = Tables(facts)
-    return _sink_hits(facts, arguments(tables, reached(tables, params)))
+    return _sink_hits(facts, arguments(facts, params))
 
 
 def _sink_hits(facts: DataFrame, given: DataFrame) -> DataFrame:
@@ -183,8 +229,7 @@ def traces(facts: DataFrame, edges: DataFrame, defines: DataFrame, starts: DataF
     its own sources as well. States are (start, document, entry, bits); a state without a new bit is dropped, so
     cycles end. Witnesses are ordered by hops, then by trace (documents joined by ` > `), line and symbol.
     """
-    tables = Tables(facts)
-    given = arguments(tables, reached(tables))
+    given = arguments(facts)
     hits = stage(_sink_hits(facts, given).filter("not cleaned"), "hits")
     moves = stage(passed_on(facts, given, edges, defines).withColumnRenamed("bits", "keep"), "passed-on")
     key = ["start", "path", "entry"]

@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 from ..operators import accept
 
+#: Documents that a task makes files of, and parses: far more work than their few columns' size says.
+PER_TASK = 2000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_chars) of all documents, dealt anew: a stored table may be one piece, and would be one task."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return rows.repartition(rows.count() // PER_TASK + 1)
+
+
 def code_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text, source, lang): documents under source/lang/id."""
     d = table(spark, sf_dir, "documents")

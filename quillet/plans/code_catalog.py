@@ -437,6 +437,6 @@ def python_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python file for each document, scanned by its syntax tree."""
     codes = F.array(*[F.lit(x) for x in PY_LINES])
     body = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.get(codes, ((F.col("doc_id") * (k + 2) + F.col("n_chars") + k) % len(PY_LINES)).cast("int")))
-    files = B.table(spark, sf_dir, "documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.encode(F.concat(F.lit(PY_HEAD), F.array_join(body, "\n")), "UTF-8").alias("content"))
+    files = B.numbers(spark, sf_dir).select(F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.encode(F.concat(F.lit(PY_HEAD), F.array_join(body, "\n")), "UTF-8").alias("content"))
     docs = stage_facts(python_documents(files).filter("error is null"), "documents")
     return rules.candidates_of(scanned(docs), docs, "repo")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.python_code import python_documents, scanned
+from ..functions.python_facts import python_facts
 from ..operators import authorization, budgets, context, experts, flow, graph, identity, receivers, rules, slices, votes
 from ..sources.staging import stage_facts as stage
 from . import bindings as B
@@ -95,19 +96,20 @@ def handler_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a file m<id>.py for each document."""
     d, n = F.col("doc_id"), F.col("n_chars")
     values = _targets() | {str(j): _pick([*VALUES], (d * (2 * j + 3) + n * (j % 3 + 1) + j * j) % len(VALUES)) for j in range(1, 13)} | {"0": _pick([*STEP_VALUES], (d + n) % len(STEP_VALUES))}
-    return B.table(spark, sf_dir, "documents").select(F.concat(F.lit("m"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(HANDLE, values), "UTF-8").alias("content"))
+    return B.numbers(spark, sf_dir).select(F.concat(F.lit("m"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(HANDLE, values), "UTF-8").alias("content"))
 
 
 def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a file g<id>.py for each document."""
     d, n = F.col("doc_id"), F.col("n_chars")
     values = _targets() | {"0": _pick(FIRST, (d + n) % 4), "1": _pick(LAST, (d + n) % 3), "2": _pick(FIRST, (d * 3 + n) % 4), "3": _pick(LAST, (d * 5 + n) % 3)}
-    return B.table(spark, sf_dir, "documents").select(F.concat(F.lit("g"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(GUARDED, values), "UTF-8").alias("content"))
+    return B.numbers(spark, sf_dir).select(F.concat(F.lit("g"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(GUARDED, values), "UTF-8").alias("content"))
 
 
-def functions_of(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents of the functions of some files, their call graph, and what they define; the parse is staged."""
-    docs = stage(python_documents(files).filter("error is null and symbol <> '<module>'"), "functions")
+def functions_of(files: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents of the functions of some files, with all or some columns, their call graph, and what they define; the parse is staged."""
+    docs = python_documents(files, columns).filter("error is null and symbol <> '<module>'")
+    docs = stage(docs.select(*dict.fromkeys(["path", "symbol", "calls", "defines", *columns])) if columns else docs, "functions")
     each = lambda c: docs.select("path", F.explode(c).alias("symbol"))
     return docs, stage(graph.build_edges(each("calls"), each("defines")), "edges"), each("defines")
 
@@ -148,8 +150,8 @@ hit AS (SELECT 'm' || doc_id || '.py::handle_' || doc_id || '@1-19' AS path, doc
 @query(f"{TWIN} SELECT path, CAST(line AS INT) AS line, symbol, category, entry, NOT bool_or(cat = category) AS cleaned FROM hit GROUP BY ALL")
 def python_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sinks that a function's sources or parameters reach over branches, loops, handlers and re-assignments."""
-    docs, _, _ = functions_of(handler_files(spark, sf_dir))
-    return stage(flow.tainted_sinks(docs), "sinks")
+    docs = python_facts(handler_files(spark, sf_dir), ["symbol", "error", *flow.FACTS]).filter("error is null and symbol <> '<module>'")
+    return stage(flow.tainted_sinks(stage(docs.select(*flow.FACTS), "functions")), "sinks")
 
 
 @query(
@@ -163,7 +165,7 @@ SELECT 'm' || start || '.py::handle_' || start || '@1-19' AS start, category, CA
 )
 def taint_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each handler the first way of calls, three at most, on which taint reaches a sink of each category."""
-    docs, edges, defines = functions_of(handler_files(spark, sf_dir))
+    docs, edges, defines = functions_of(handler_files(spark, sf_dir), flow.FACTS)
     starts = docs.filter("symbol like 'handle%'").select("path", F.explode("params").alias("entry"))
     return stage(flow.traces(docs, edges, defines, starts, 3), "traces")
 
@@ -289,7 +291,7 @@ def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda items, at: F.get(F.array(*items), at.cast("int"))
     call = lambda c: F.concat(c, F.lit("()"))
     values |= {"0": pick([call(far), F.lit("make()")], (d + n) % 2), "1": pick([own, far, F.lit("object")], (d * 3 + n) % 3), "2": pick([F.lit("q"), call(own), call(far)], (d * 5 + n) % 3)}
-    return B.table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(BOXES, values), "UTF-8").alias("content"))
+    return B.numbers(spark, sf_dir).select(F.concat(F.lit("c"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(BOXES, values), "UTF-8").alias("content"))
 
 
 @query(
@@ -366,7 +368,7 @@ def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a file e<id>.py for each document."""
     d, n = F.col("doc_id"), F.col("n_chars")
     values = _targets() | {"0": _pick(AHEAD, (d + n) % 3), "1": _pick(BEHIND, (d * 3 + n) % 4), "2": _pick(HELP, (d * 7 + n) % 5)}
-    return B.table(spark, sf_dir, "documents").select(F.concat(F.lit("e"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(CASES, values), "UTF-8").alias("content"))
+    return B.numbers(spark, sf_dir).select(F.concat(F.lit("e"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(CASES, values), "UTF-8").alias("content"))
 
 
 @query(
@@ -434,7 +436,7 @@ def resource_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a file r<id>.py for each document."""
     d, n = F.col("doc_id"), F.col("n_chars")
     values = _targets() | {"0": _pick(LOOKUPS, (d + n) % 3), "1": _pick(BETWEEN, (d * 3 + n) % 5), "2": _pick(CHECKS, (d * 5 + n) % 4)}
-    return B.table(spark, sf_dir, "documents").select(F.concat(F.lit("r"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(RESOURCES, values), "UTF-8").alias("content"))
+    return B.numbers(spark, sf_dir).select(F.concat(F.lit("r"), values["d"], F.lit(".py")).alias("path"), F.encode(_filled(RESOURCES, values), "UTF-8").alias("content"))
 
 
 @query(
