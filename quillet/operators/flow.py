@@ -8,7 +8,8 @@ bits of one number: a sanitizer clears those it makes safe, a fact that brings n
 never cleared: with it and without the sink's own, a value has been cleaned on every way. The bits of all entries of
 a document lie in one number, side by side, so they move together.
 
-Only arguments of calls leave a document.
+Only arguments of calls leave a document. Ways over documents are followed from the sinks back, so that what callees
+lead to is found once for all their callers.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.python_code import last_parts, qualified
 from ..sources.staging import stage_facts as stage
@@ -226,29 +226,27 @@ def traces(facts: DataFrame, edges: DataFrame, defines: DataFrame, starts: DataF
     """(start, category, hops, trace, line, symbol): the first witness that taint reaches a sink, for each start and category.
 
     starts has (path, entry): the documents to begin in and the parameters that are tainted there; each begins with
-    its own sources as well. States are (start, document, entry, bits); a state without a new bit is dropped, so
-    cycles end. Witnesses are ordered by hops, then by trace (documents joined by ` > `), line and symbol.
+    its own sources as well. Witnesses are ordered by hops, then by trace (documents joined by ` > `), line and symbol.
+    The first of a document, entry and category starts with the document and goes on with the first of where it leads,
+    so each has one row and is found from its ends: rows don't grow with the starts that lead to a sink.
     """
     given = arguments(facts)
-    hits = stage(_sink_hits(facts, given).filter("not cleaned"), "hits")
-    moves = stage(passed_on(facts, given, edges, defines).withColumnRenamed("bits", "keep"), "passed-on")
-    key = ["start", "path", "entry"]
-    begin = starts.select("path", "entry").union(starts.select("path", F.lit(OWN))).distinct()
-    category = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.lit(b).alias("bit")) for c, b in BIT.items()])).alias("c")
-    # A row for each category, so that each has its own first way.
-    new = stage(begin.select(F.col("path").alias("start"), "path", "entry", F.col("path").alias("trace"), category).select("start", "path", "entry", "c.category", "c.bit", "trace"), "states")
-    seen, found = new, None
-    for hop in range(max_hops + 1):
-        at = new.join(hits, ["path", "entry", "category"]).select("start", "category", F.lit(hop).alias("hops"), "trace", "line", "symbol")
-        found = at if found is None else found.union(at)
-        if hop == max_hops:
-            break
-        step = new.join(moves, ["path", "entry"]).filter(F.col("keep").bitwiseAND(F.col("bit")) != 0)
-        step = step.select("start", F.col("to").alias("path"), F.array(F.col("param"), F.lit(OWN)).alias("e"), "category", "bit", F.concat_ws(" > ", "trace", "to").alias("trace"))
-        step = step.withColumn("entry", F.explode("e")).groupBy(*key, "category", "bit").agg(F.min("trace").alias("trace"))
-        new = stage(step.join(seen.select(*key, "category"), [*key, "category"], "left_anti").select(*new.columns), "states")
+    moves = stage(passed_on(facts, given, edges, defines), "passed-on")
+    key, way = ["path", "entry", "category"], F.struct("hops", "trace", "line", "symbol").alias("way")
+    ends = _sink_hits(facts, given).filter("not cleaned").select(*key, F.lit(0).alias("hops"), F.col("path").alias("trace"), "line", "symbol")
+    new = stage(ends.groupBy(*key).agg(F.min(way).alias("way")), "ways")
+    found = new
+    # What reaches a document finds its own sources there as well.
+    moves = moves.select("path", "entry", "to", F.explode(F.array("param", F.lit(OWN))).alias("at"), "bits")
+    for hop in range(1, max_hops + 1):
+        last = new.select(F.col("path").alias("to"), F.col("entry").alias("at"), "category", "way.trace", "way.line", "way.symbol")
+        step = moves.join(last, ["to", "at"]).filter(F.col("bits").bitwiseAND(_bit(F.col("category"))) != 0)
+        step = step.select(*key, F.lit(hop).alias("hops"), F.concat_ws(" > ", "path", "trace").alias("trace"), "line", "symbol")
+        step = step.groupBy(*key).agg(F.min(way).alias("way"))
+        new = stage(step.join(found.select(*key), key, "left_anti"), "ways")
         if new.isEmpty():
             break
-        seen = seen.union(new)
-    first = F.row_number().over(Window.partitionBy("start", "category").orderBy("hops", "trace", "line", "symbol"))
-    return found.withColumn("place", first).filter("place = 1").drop("place")
+        found = found.union(new)
+    begin = starts.select("path", "entry").union(starts.select("path", F.lit(OWN))).distinct()
+    first = begin.join(found, ["path", "entry"]).groupBy(F.col("path").alias("start"), "category").agg(F.min("way").alias("way"))
+    return first.select("start", "category", "way.hops", "way.trace", "way.line", "way.symbol")

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from quillet.functions.python_code import python_documents
-from quillet.operators import flow, locate, retrieval
+from quillet.operators import flow, graph, locate, retrieval
 from quillet.plans import bindings
 from quillet.sources import staging
 
@@ -163,6 +163,21 @@ def test_taint_of_a_long_chain_takes_no_rounds(spark, monkeypatch):
     assert len(staged) < 5
 
 
+def test_ways_from_many_starts_share_what_they_lead_to(spark, monkeypatch):
+    """Starts that call one chain have a row each, not one for each document, entry and category behind them."""
+    n = 40
+    chain = "def one(p):\n    two(p)\n\ndef two(p):\n    three(p)\n    os.system(int(p))\n\ndef three(p):\n    one(p)\n    eval(p)\n    eval(p)\n"
+    docs = functions(spark, [("z.py", chain), *[(f"s{i}.py", f"def start{i}(q):\n    one(q)\n    two(q)\n") for i in range(n)]])
+    each = lambda c: docs.select("path", F.explode(c).alias("symbol"))
+    edges = graph.build_edges(each("calls"), each("defines"))
+    starts = docs.filter("symbol like 'start%'").select("path", F.lit("q").alias("entry"))
+    staged = counted(monkeypatch)
+    got = {tuple(r) for r in flow.traces(docs, edges, each("defines"), starts, 4).collect()}
+    way = lambda i: f"s{i}.py::start{i}@1-3 > z.py::two@4-6 > z.py::three@8-11"
+    assert got == {(f"s{i}.py::start{i}@1-3", "code-execution", 2, way(i), 10, "eval") for i in range(n)}
+    assert sum(staged) < 10 * n
+
+
 def test_documents_are_parsed_in_many_tasks(spark, sf_dir, monkeypatch):
     """A table of one file is dealt to tasks by its rows, none lost."""
     monkeypatch.setattr(bindings, "PER_TASK", 10)
